@@ -1,6 +1,6 @@
 """Input views over the star-schema tables, one text for Spark SQL and for the checking engine.
 
-``@name`` stands for a base table. Spark reads it straight from its parquet
+``$name`` stands for a base table. Spark reads it straight from its parquet
 path, so no temp view is registered and column pruning reaches the scan.
 """
 
@@ -24,23 +24,23 @@ VIEWS: dict[str, str] = {
                CAST(floor(value) AS BIGINT) AS execution_time_ms,
                CAST(replace(replace(props, '{"k": ', ''), '}', '') AS BIGINT) AS llm_tokens_used,
                ts AS created_at
-        FROM @events""",
+        FROM $events""",
     "fav": """
         SELECT user_id, event_id AS history_id, concat('fav ', CAST(event_id AS STRING)) AS favorite_name
-        FROM @events WHERE event_id % 5 = 0
+        FROM $events WHERE event_id % 5 = 0
         UNION ALL
-        SELECT user_id, event_id AS history_id, 'dup' AS favorite_name FROM @events WHERE event_id % 20 = 0""",
+        SELECT user_id, event_id AS history_id, 'dup' AS favorite_name FROM $events WHERE event_id % 20 = 0""",
     "theme": """
         SELECT CAST(r_regionkey AS BIGINT) AS theme_id, r_name AS theme_name,
                concat('theme of ', lower(r_name)) AS theme_description, (r_regionkey = 0) AS is_public,
                CAST(10 - r_regionkey AS INT) AS sort_order
-        FROM @region""",
+        FROM $region""",
     "mtable": """
         SELECT CAST(n_nationkey AS BIGINT) AS table_id, n_name AS table_name_cn, lower(n_name) AS table_name_en,
                (n_nationkey % 6 <> 5) AS is_active
-        FROM @nation""",
+        FROM $nation""",
     "table_theme": """
-        SELECT CAST(n_nationkey AS BIGINT) AS table_id, CAST(n_regionkey AS BIGINT) AS theme_id FROM @nation""",
+        SELECT CAST(n_nationkey AS BIGINT) AS table_id, CAST(n_regionkey AS BIGINT) AS theme_id FROM $nation""",
     "mfield": """
         SELECT CAST(n_nationkey * 10 + r_regionkey AS BIGINT) AS field_id, CAST(n_nationkey AS BIGINT) AS table_id,
                concat('f_', lower(r_name)) AS field_name_en, r_name AS field_name_cn,
@@ -48,24 +48,24 @@ VIEWS: dict[str, str] = {
                     ELSE 'datetime' END AS field_type,
                CASE r_regionkey WHEN 0 THEN 'mask' WHEN 1 THEN 'hash' ELSE 'none' END AS desensitization_type,
                (r_regionkey <> 4) AS is_active
-        FROM @nation CROSS JOIN @region""",
+        FROM $nation CROSS JOIN $region""",
     "glossary": """
         SELECT p_partkey AS term_id, p_brand AS term_name, p_name AS term_description,
                CASE WHEN p_partkey % 3 = 0 THEN 'user' ELSE 'admin' END AS term_type,
                CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 ELSE NULL END AS user_id
-        FROM @part""",
+        FROM $part""",
     "sys_user": """
         SELECT c_custkey AS user_id, c_name AS username, concat(lower(c_name), '@example.com') AS email,
                (c_custkey % 10 <> 0) AS is_active, (c_custkey % 17 = 0) AS is_deleted, c_nationkey AS nation_id
-        FROM @customer""",
+        FROM $customer""",
     "sys_role": """
         SELECT CAST(n_nationkey AS BIGINT) AS role_id, concat('role_', lower(n_name)) AS role_code,
                (n_nationkey <> 6) AS is_active
-        FROM @nation WHERE n_nationkey < 8""",
+        FROM $nation WHERE n_nationkey < 8""",
     "user_role": """
-        SELECT c_custkey AS user_id, CAST(c_custkey % 4 AS BIGINT) AS role_id FROM @customer
+        SELECT c_custkey AS user_id, CAST(c_custkey % 4 AS BIGINT) AS role_id FROM $customer
         UNION ALL
-        SELECT c_custkey AS user_id, CAST(4 + c_custkey % 4 AS BIGINT) AS role_id FROM @customer
+        SELECT c_custkey AS user_id, CAST(4 + c_custkey % 4 AS BIGINT) AS role_id FROM $customer
         WHERE c_custkey % 2 = 0""",
     "sys_permission": """
         SELECT CAST(n_nationkey AS BIGINT) AS permission_id,
@@ -77,10 +77,10 @@ VIEWS: dict[str, str] = {
                CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_regionkey AS BIGINT) END AS data_theme_id,
                CASE WHEN n_nationkey % 3 = 2 THEN CAST(n_nationkey AS BIGINT) END AS table_id,
                (n_nationkey <> 23) AS is_active
-        FROM @nation""",
+        FROM $nation""",
     "role_permission": """
         SELECT CAST(r.n_nationkey AS BIGINT) AS role_id, CAST(p.n_nationkey AS BIGINT) AS permission_id
-        FROM @nation r CROSS JOIN @nation p
+        FROM $nation r CROSS JOIN $nation p
         WHERE r.n_nationkey < 8 AND (r.n_nationkey + p.n_nationkey) % 3 = 0""",
     "node_log": """
         SELECT l_orderkey AS task_id, l_linenumber AS node_order,
@@ -89,20 +89,20 @@ VIEWS: dict[str, str] = {
                     ELSE 'error_handling' END AS node_type,
                CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END AS node_status,
                CAST(floor(l_quantity) AS BIGINT) AS duration_ms, l_shipdate AS start_time, l_partkey, l_suppkey
-        FROM @lineitem""",
+        FROM $lineitem""",
     "feedback": """
         SELECT o_orderkey AS task_id, o_custkey AS user_id,
                CASE o_orderstatus WHEN 'O' THEN 'good' WHEN 'F' THEN 'bad' ELSE 'suggestion' END AS feedback_type,
                CAST(substring(o_orderpriority, 1, 1) AS INT) AS rating, (o_orderkey % 3 = 0) AS is_processed,
                o_orderdate AS created_at
-        FROM @orders""",
+        FROM $orders""",
     "sys_log": """
         SELECT event_id AS log_id,
                CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' ELSE 'info' END AS log_level,
                concat('module_', CAST(event_id % 4 AS STRING)) AS module, user_id,
                CAST(floor(value) AS BIGINT) AS response_time_ms,
                CASE event_type WHEN 'error' THEN 500002 ELSE 0 END AS error_code, ts AS created_at
-        FROM @events""",
+        FROM $events""",
     "sql_log": """
         SELECT o_orderkey AS stmt_id, o_custkey AS user_id,
                CASE o_orderkey % 8 WHEN 0 THEN 'SELECT * FROM users LIMIT 10;' WHEN 1 THEN 'drop table users'
@@ -110,22 +110,22 @@ VIEWS: dict[str, str] = {
                     WHEN 4 THEN 'WITH a AS (SELECT 1) SELECT * FROM a'
                     WHEN 5 THEN 'SELECT updated_at FROM t; DELETE FROM t'
                     WHEN 6 THEN 'select name from t where a = 1' ELSE '  ' END AS sql_text
-        FROM @orders""",
+        FROM $orders""",
     "tmpl": """
         SELECT p_partkey AS template_id,
                CASE p_partkey % 3 WHEN 0 THEN 'Use {table_schema} to answer {user_question}'
                     WHEN 1 THEN 'Answer {user_question}' ELSE 'No variables' END AS template_content,
                CASE p_partkey % 4 WHEN 0 THEN 'table_schema,user_question' WHEN 1 THEN 'user_question'
                     ELSE '' END AS variable_list
-        FROM @part""",
+        FROM $part""",
     "lineage": """
         SELECT CAST(n_nationkey AS BIGINT) AS lineage_id,
                concat('raw_', CAST(n_regionkey AS STRING), ',', 'ods_', CAST(n_nationkey % 4 AS STRING)) AS input_tables,
                lower(n_name) AS output_table
-        FROM @nation""",
+        FROM $nation""",
 }
 
-_BASE = re.compile(r"@(\w+)(?: ([rp])\b)?")
+_BASE = re.compile(r"\$(\w+)(?: ([rp])\b)?")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
