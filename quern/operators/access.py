@@ -124,7 +124,7 @@ def accessible_tables(
         allowed = allowed.join(links.filter(F.col("theme_id") == theme_id), "table_id", "left_semi")
     if table_ids:
         allowed = allowed.filter(F.col("table_id").isin(*table_ids))
-    return allowed
+    return allowed.select(*tables.columns)
 
 
 def _parents(code: str) -> list[str]:

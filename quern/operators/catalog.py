@@ -74,7 +74,7 @@ def list_tables(
     tables: DataFrame, links: DataFrame, theme_id: int | None = None, keyword: str | None = None, active: bool | None = None
 ) -> DataFrame:
     if theme_id:
-        tables = tables.join(links.filter(F.col("theme_id") == theme_id), "table_id", "left_semi")
+        tables = tables.join(links.filter(F.col("theme_id") == theme_id), "table_id", "left_semi").select(*tables.columns)
     return _filtered(tables, keyword, ["table_name_en", "table_name_cn"], active)
 
 
@@ -142,11 +142,11 @@ def already_taken(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> D
 
 
 def deletable_themes(theme: DataFrame, links: DataFrame) -> DataFrame:
-    return theme.join(links.select("theme_id"), "theme_id", "left_anti")
+    return theme.join(links.select("theme_id"), "theme_id", "left_anti").select(*theme.columns)
 
 
 def orphan_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:
-    return fields.join(tables.select("table_id"), "table_id", "left_anti")
+    return fields.join(tables.select("table_id"), "table_id", "left_anti").select(*fields.columns)
 
 
 def upsert_metadata(base: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:

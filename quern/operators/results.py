@@ -232,7 +232,7 @@ def mask_columns(
 
 def row_filter(df: DataFrame, grants: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Only rows whose key is granted. Duplicated grants do not repeat rows."""
-    return df.join(grants, key, "left_semi")
+    return df.join(grants, key, "left_semi").select(*df.columns)
 
 
 def column_filter(df: DataFrame, allowed: Sequence[str], keep_shape: bool = False) -> DataFrame:

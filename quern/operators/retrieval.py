@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.session import ship_package
+
 # at most this many question vectors are sent to every task
 BROADCAST_QUERIES = 4096
 
@@ -95,6 +97,7 @@ def similar_items(
     exist. Question sets of a checked size go to every task; larger ones are
     cut into blocks that meet blocks of items in a grid of tasks.
     """
+    ship_package(items.sparkSession)
     wanted = _usable(queries, query_id, vector)
     stored = _usable(items, item_id, vector)
     schema = f"{query_id} long, {item_id} long, similarity double"

@@ -8,7 +8,7 @@ pre-aggregated row per bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +43,17 @@ def previous_row(df: DataFrame, keys: Names, bucket: Names, order: Names, values
     return joined.withColumn(out, F.coalesce(out, "_carried")).drop("_carried")
 
 
-def running_total(df: DataFrame, keys: Names, bucket: Names, order: Names, value: Column, out: str = "running") -> DataFrame:
-    """Sum of ``value`` from the group's first row to this one."""
+def running_totals(
+    df: DataFrame, keys: Names, bucket: Names, order: Names, values: Mapping[str, Column]
+) -> DataFrame:
+    """Sums of ``values`` from the group's first row to this one, several in one pass."""
     near = W.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inner = df.withColumn(out, F.sum(value).over(near))
-    totals = df.groupBy(*keys, *bucket).agg(F.sum(value).alias("_sum"))
-    joined = _take_over(inner, totals, keys, bucket, F.sum("_sum").over(_earlier_buckets(keys, bucket)))
-    total = F.when(F.col("_carried").isNull(), F.col(out)).otherwise(F.coalesce(F.col(out), F.col("_carried") * 0) + F.col("_carried"))
-    return joined.withColumn(out, total).drop("_carried")
+    inner = df.withColumns({out: F.sum(value).over(near) for out, value in values.items()})
+    totals = df.groupBy(*keys, *bucket).agg(*[F.sum(value).alias(out) for out, value in values.items()])
+    earlier = F.struct(*[F.sum(out).over(_earlier_buckets(keys, bucket)).alias(out) for out in values])
+    joined = _take_over(inner, totals, keys, bucket, earlier)
+    taken = {out: F.coalesce(F.col(out) + F.col(f"_carried.{out}"), F.col(out), F.col(f"_carried.{out}")) for out in values}
+    return joined.withColumns(taken).drop("_carried")
 
 
 def latest_before(
