@@ -238,7 +238,7 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row per column: rows, distinct, nulls, min, max, longest text, numeric or not.
+    """One row per column: rows, distinct, nulls, min, max, length of the longest text, numeric or not.
 
     All figures come from one pass. Exact distinct counts shuffle each
     column's distinct values (combined in the map tasks first); the
@@ -253,7 +253,7 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.count(col).alias(f"n{i}"),
             F.min(col).alias(f"lo{i}"),
             F.max(col).alias(f"hi{i}"),
-            F.max(F.char_length(cell_text(col, field.dataType))).alias(f"len{i}"),
+            *([F.max(F.char_length(col)).alias(f"len{i}")] if isinstance(field.dataType, T.StringType) else []),
         ]
         shown = [
             F.when(F.col(f"{end}{i}").isNotNull(), cell_text(F.col(f"{end}{i}"), field.dataType)) for end in ("lo", "hi")
@@ -266,7 +266,7 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
                 (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
                 shown[0].alias("min_value"),
                 shown[1].alias("max_value"),
-                F.when(F.col(f"n{i}") > 0, F.col(f"len{i}")).alias("max_length"),
+                (F.col(f"len{i}") if isinstance(field.dataType, T.StringType) else F.lit(None).cast("int")).alias("max_length"),
                 F.lit(isinstance(field.dataType, T.NumericType)).alias("is_numeric"),
             )
         )

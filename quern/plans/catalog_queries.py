@@ -308,24 +308,25 @@ def _lineage(spark, d):
     return C.lineage_edges(view(spark, d, "lineage"))
 
 
+_PLAIN, _DOUBLE = "CAST({} AS VARCHAR)", "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
+_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+
+
 def _profile_sql(table: str, columns: dict[str, str]) -> str:
     """Checking text: column name to the expression that shows a value."""
     parts = []
     for name, shown in columns.items():
         numeric = "true" if name in ("p_partkey", "p_size", "p_retailprice") else "false"
+        text = f"max(length({name}))" if shown == _PLAIN and numeric == "false" else "NULL"
         lo, hi = (shown.format(f"{f}({name})") for f in ("min", "max"))
         parts.append(
             f"SELECT '{name}' AS column_name, count(*) AS row_count, count(DISTINCT {name}) AS distinct_count, "
             f"count(*) - count({name}) AS null_count, {lo} AS min_value, {hi} AS max_value, "
-            f"CAST(max(length({shown.format(name)})) AS INTEGER) AS max_length, {numeric} AS is_numeric FROM {table}"
+            f"CAST({text} AS INTEGER) AS max_length, {numeric} AS is_numeric FROM {table}"
         )
     return " UNION ALL ".join(parts)
 
 
-_PLAIN, _DOUBLE = "CAST({} AS VARCHAR)", "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
-_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
-
-
 @query(
     "d20_profile_columns",
     _profile_sql(
@@ -341,8 +342,7 @@ def _profile(spark, d):
     "d20_profile_columns_with_nulls",
     _profile_sql("(SELECT generated_sql, status, created_at FROM hist)", {"generated_sql": _PLAIN, "status": _PLAIN, "created_at": "{}"})
     .replace("min(created_at) AS min_value", "min(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')) AS min_value")
-    .replace("max(created_at) AS max_value", "max(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')) AS max_value")
-    .replace("max(length(created_at))", "max(length(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')))"),
+    .replace("max(created_at) AS max_value", "max(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')) AS max_value"),
     views=("hist",),
 )
 def _profile_nulls(spark, d):
