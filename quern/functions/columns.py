@@ -39,7 +39,7 @@ def iso_text(col: Column) -> Column:
 
 def number_text(col: Column, dtype: T.DataType) -> Column:
     """A number as plain text: no trailing ``.0`` and no exponent."""
-    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+    if not is_double(dtype):
         return col.cast("string")
     text = col.cast("string")
     plain = F.regexp_replace(text, r"\.0$", "")
@@ -60,32 +60,40 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
-def two_decimals(col: Column) -> Column:
-    """A double with two decimals, rounded by its exact binary value, halves up.
+def is_double(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
 
-    1.005 is stored a little below 1.005 and gives 1.00. ``scaled`` is 200x
-    rounded to a double and ``error`` what that rounding lost, so the choice at
-    a half is made on the exact product.
-    """
-    x = F.abs(col)
-    scaled = x * F.lit(200.0)
-    spread = x * F.lit(134217729.0)
+
+def scaled_hundredths(col: Column) -> Column:
+    """200 times the absolute value as a double, and the error of that product."""
+    x = F.abs(col.cast("double"))
+    scaled, spread = x * F.lit(200.0), x * F.lit(134217729.0)
     high = spread - (spread - x)
     error = (high * F.lit(200.0) - scaled) + (x - high) * F.lit(200.0)
-    half = F.floor(scaled / F.lit(2.0)).cast("long")
-    rest = scaled - half.cast("double") * F.lit(2.0)
+    return F.struct(scaled.alias("value"), error.alias("error"))
+
+
+def two_decimals(col: Column, scaled: Column | None = None) -> Column:
+    """A double with two decimals, rounded by its exact binary value, halves up.
+
+    1.005 is stored a little below 1.005 and gives 1.00: at a half the error of
+    the scaled product decides.
+    """
+    parts = scaled_hundredths(col) if scaled is None else scaled
+    value, error = parts["value"], parts["error"]
+    half = F.floor(value / F.lit(2.0)).cast("long")
+    rest = value - half.cast("double") * F.lit(2.0)
     hundredths = half + F.when((rest > 1.0) | ((rest == 1.0) & (error >= 0.0)), F.lit(1)).otherwise(F.lit(0))
-    cents = F.pmod(hundredths, F.lit(100))
-    whole = ((hundredths - cents) / F.lit(100)).cast("long")
-    text = F.concat(whole.cast("string"), F.lit("."), F.lpad(cents.cast("string"), 2, "0"))
+    # a decimal of scale 2 made from the whole number prints both digits
+    text = (hundredths.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)").cast("string")
     return F.when(col < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-def display_text(col: Column, dtype: T.DataType) -> Column:
+def display_text(col: Column, dtype: T.DataType, scaled: Column | None = None) -> Column:
     """Table cell: ``-`` for NULL, whole numbers as they are, other numbers with two decimals."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+    if is_double(dtype):
         value = col.cast("double")
-        text = F.when(value == F.floor(value), number_text(value, T.DoubleType())).otherwise(two_decimals(value))
+        text = F.when(value == F.floor(value), number_text(value, T.DoubleType())).otherwise(two_decimals(value, scaled))
     elif isinstance(dtype, T.DecimalType):
         text = F.when(col == F.floor(col), F.floor(col).cast("string")).otherwise(
             F.round(col, 2).cast("decimal(38,2)").cast("string")

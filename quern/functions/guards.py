@@ -19,6 +19,13 @@ RULES: dict[str, tuple[str, ...]] = {
 EMPTY = "empty"
 
 
+def prepared(col: Column, rule: str) -> Column:
+    """The text a rule looks at. Put it into a column of its own so that it is made once per row."""
+    if rule == "token":
+        return F.concat(F.lit(" "), F.upper(stripped(col)), F.lit(" "))
+    return col if rule == "injection" else F.upper(col)
+
+
 def _is_empty(col: Column, rule: str) -> Column:
     missing = col.isNull() | (col == "")
     if rule == "substring":
@@ -26,15 +33,12 @@ def _is_empty(col: Column, rule: str) -> Column:
     return missing if rule == "token" else F.lit(False)
 
 
-def first_hit(col: Column, rule: str) -> Column:
+def first_hit(col: Column, rule: str, text: Column | None = None) -> Column:
     """The first word or pattern of the rule found in the text, ``empty`` for rejected blanks, else NULL."""
-    if rule == "token":
-        text, words = F.concat(F.lit(" "), F.upper(stripped(col)), F.lit(" ")), [f" {w} " for w in RULES[rule]]
-    elif rule == "injection":
-        text, words = col, list(RULES[rule])
-    else:
-        text, words = F.upper(col), list(RULES[rule])
-    hits = [F.when(F.contains(text, F.lit(word)), F.lit(name)) for word, name in zip(words, RULES[rule])]
+    text = prepared(col, rule) if text is None else text
+    hits = [
+        F.when(F.contains(text, F.lit(f" {word} " if rule == "token" else word)), F.lit(word)) for word in RULES[rule]
+    ]
     return F.coalesce(F.when(_is_empty(col, rule), F.lit(EMPTY)), *hits)
 
 

@@ -237,40 +237,50 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
 # -- profiles -------------------------------------------------------------------
 
 
+def _cells(df: DataFrame) -> DataFrame:
+    """Every cell as (column number, text), NULL cells left out."""
+    cells = [F.struct(F.lit(i).alias("i"), F.col(f.name).cast("string").alias("value")) for i, f in enumerate(df.schema.fields)]
+    return df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL")
+
+
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: rows, distinct, nulls, min, max, length of the longest text, numeric or not.
 
-    All figures come from one pass. Exact distinct counts shuffle each
-    column's distinct values (combined in the map tasks first); the
-    approximate form keeps a sketch per column and shuffles nothing else.
+    Exact distinct counts shuffle each column's distinct values once, combined
+    in the map tasks first; the approximate form keeps a sketch per column and
+    shuffles nothing else.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, field in enumerate(df.schema.fields):
-        col = F.col(field.name)
-        aggregates += [
-            distinct(col).alias(f"d{i}"),
-            F.count(col).alias(f"n{i}"),
-            F.min(col).alias(f"lo{i}"),
-            F.max(col).alias(f"hi{i}"),
-            *([F.max(F.char_length(col)).alias(f"len{i}")] if isinstance(field.dataType, T.StringType) else []),
-        ]
-        shown = [
+        col, is_text = F.col(field.name), isinstance(field.dataType, T.StringType)
+        aggregates += [F.count(col).alias(f"n{i}"), F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
+        aggregates += [F.max(F.char_length(col)).alias(f"len{i}")] if is_text else []
+        aggregates += [F.approx_count_distinct(col).alias(f"d{i}")] if approximate else []
+        low, high = (
             F.when(F.col(f"{end}{i}").isNotNull(), cell_text(F.col(f"{end}{i}"), field.dataType)) for end in ("lo", "hi")
-        ]
+        )
         rows.append(
             F.struct(
+                F.lit(i).alias("i"),
                 F.lit(field.name).alias("column_name"),
                 F.col("rows").alias("row_count"),
-                F.col(f"d{i}").alias("distinct_count"),
+                (F.col(f"d{i}") if approximate else F.lit(0).cast("long")).alias("distinct_count"),
                 (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-                shown[0].alias("min_value"),
-                shown[1].alias("max_value"),
-                (F.col(f"len{i}") if isinstance(field.dataType, T.StringType) else F.lit(None).cast("int")).alias("max_length"),
+                low.alias("min_value"),
+                high.alias("max_value"),
+                (F.col(f"len{i}") if is_text else F.lit(None).cast("int")).alias("max_length"),
                 F.lit(isinstance(field.dataType, T.NumericType)).alias("is_numeric"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    profile = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    if approximate:
+        return profile.drop("i")
+    distinct = _cells(df).groupBy("i", "value").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("_d"))
+    return (
+        profile.join(distinct, "i", "left")
+        .withColumn("distinct_count", F.coalesce("_d", "distinct_count"))
+        .drop("i", "_d")
+    )
 
 
 def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
@@ -279,17 +289,12 @@ def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     Rows become (column, value) counts in the map tasks; each task then keeps
     ``n`` candidates per column before the last shuffle.
     """
-    cells = F.array(
-        *[
-            F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).cast("string").alias("value"))
-            for f in df.schema.fields
-        ]
-    )
+    names = F.array(*[F.lit(c) for c in df.columns])
     counts = (
-        df.select(F.inline(cells))
-        .filter("value IS NOT NULL")
-        .groupBy("column_name", "value")
+        _cells(df)
+        .groupBy("i", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.get(names, "i").alias("column_name"), "value", "n")
     )
     best = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
     kept = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)

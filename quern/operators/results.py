@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import fixed
-from quern.functions.columns import any_of, cell_text, display_text, iso_text, mask_middle, money
-from quern.functions.guards import first_hit, normalised, read_only_problem
+from quern.functions.columns import (
+    any_of,
+    cell_text,
+    display_text,
+    is_double,
+    iso_text,
+    mask_middle,
+    money,
+    scaled_hundredths,
+)
+from quern.functions.guards import first_hit, normalised, prepared, read_only_problem
 
 Order = Sequence[str | Column]
 
@@ -87,7 +96,13 @@ def toggled_direction(column: str, current: str | None, direction: str) -> str:
 
 
 def format_cells(df: DataFrame) -> DataFrame:
-    return df.select(*[display_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    """Every cell as the text of a result table."""
+    fields = df.schema.fields
+    scaled = {f"_scaled_{f.name}": scaled_hundredths(F.col(f.name)) for f in fields if is_double(f.dataType)}
+    staged = df.withColumns(scaled)  # made once per row, used several times below
+    return staged.select(
+        *[display_text(F.col(f.name), f.dataType, F.col(f"_scaled_{f.name}") if is_double(f.dataType) else None).alias(f.name) for f in fields]
+    )
 
 
 def iso_datetimes(df: DataFrame) -> DataFrame:
@@ -103,25 +118,25 @@ def iso_datetimes(df: DataFrame) -> DataFrame:
 
 def audit_sql(df: DataFrame, col: str, rule: str) -> DataFrame:
     """Flag each logged statement, name the first hit and add the normalised text."""
-    return df.withColumns(
-        {
-            "rule": F.lit(rule),
-            "hit": first_hit(F.col(col), rule),
-            "rejected": first_hit(F.col(col), rule).isNotNull(),
-            "clean_sql": normalised(F.col(col)),
-        }
+    return (
+        df.withColumn("_text", prepared(F.col(col), rule))
+        .withColumns({"rule": F.lit(rule), "hit": first_hit(F.col(col), rule, F.col("_text"))})
+        .withColumns({"rejected": F.col("hit").isNotNull(), "clean_sql": normalised(F.col(col))})
+        .drop("_text")
     )
 
 
 def audit_summary(df: DataFrame, col: str, rules: Sequence[str]) -> DataFrame:
-    """Statements per rule and first hit: one pass, all rules at once."""
-    verdicts = F.array(*[F.struct(F.lit(r).alias("rule"), first_hit(F.col(col), r).alias("hit")) for r in rules])
-    return (
-        df.select(F.explode(verdicts).alias("v"))
-        .select("v.rule", "v.hit")
-        .groupBy("rule", "hit")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Statements per rule and first hit: one pass, all rules at once.
+
+    Statements are counted by their combination of hits first, so the rows
+    that are spread over the rules are few.
+    """
+    texts = df.select(F.col(col), *[prepared(F.col(col), r).alias(f"_{r}") for r in rules])
+    hits = texts.select(*[first_hit(F.col(col), r, F.col(f"_{r}")).alias(r) for r in rules])
+    combined = hits.groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))
+    verdicts = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hit"), "n") for r in rules])
+    return combined.select(F.inline(verdicts)).groupBy("rule", "hit").agg(F.sum("n").alias("n"))
 
 
 # -- business queries ---------------------------------------------------------

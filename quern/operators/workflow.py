@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions.columns import any_of, rate, stripped
-from quern.functions.guards import EMPTY, first_hit
+from quern.functions.guards import EMPTY, first_hit, prepared
 from quern.operators.history import _in_range
-from quern.operators.sequences import previous_row
-
-NODE_ORDER = ["node_order", "l_partkey", "l_suppkey", "duration_ms", "start_time"]
-
+from quern.operators.sequences import HOT_ROWS, previous_row
 
 def task_timeline(
-    tasks: DataFrame, nodes: DataFrame, order: list[str] | None = None, bucket: tuple[str, ...] = ("node_order",)
+    tasks: DataFrame, nodes: DataFrame, order: Sequence[str] = ("node_order", "start_time"),
+    bucket: Sequence[str] = ("node_order",), hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Nodes of each task in order, with end time and the gap in ms to the end of the node before."""
-    order = order or ["node_order", "start_time"]
-    joined = nodes.join(tasks, "task_id").withColumn(
+    """Nodes of each task in order, with end time and the gap in ms to the end of the node before.
+
+    A task's nodes are linked before the join, which keeps or drops whole tasks.
+    """
+    timed = nodes.withColumn(
         "end_time", F.col("start_time") + F.make_dt_interval(secs=F.col("duration_ms") / F.lit(1000).cast("decimal(18,6)"))
     )
-    linked = previous_row(joined, ["task_id"], list(bucket), order, ["end_time"], "_before")
+    linked = previous_row(timed, ["task_id"], bucket, order, ["end_time"], "_before", hot_rows)
     gap = F.unix_millis(F.col("start_time").cast("timestamp")) - F.unix_millis(F.col("_before.end_time").cast("timestamp"))
-    return linked.withColumn("gap_ms", gap).drop("_before")
+    return linked.withColumn("gap_ms", gap).drop("_before").join(tasks, "task_id")
 
 
 def node_durations(nodes: DataFrame) -> DataFrame:
@@ -53,9 +55,10 @@ def _message(condition: Column, text: Column) -> Column:
 
 def validation_result(df: DataFrame, sql: str = "sql_text", user: str = "user_id") -> DataFrame:
     """Three checks and their errors in the order syntax, security, permission."""
-    word, pattern = first_hit(F.col(sql), "substring"), first_hit(F.col(sql), "injection")
+    upper = prepared(F.col(sql), "substring")
+    word, pattern = first_hit(F.col(sql), "substring", F.col("_upper")), first_hit(F.col(sql), "injection")
     before, after = fixed.WORD_ERROR
-    checked = df.withColumns({"_word": word, "_pattern": pattern, "_user_ok": F.coalesce(F.col(user) != 0, F.lit(False))})
+    checked = df.withColumn("_upper", upper).withColumns({"_word": word, "_pattern": pattern, "_user_ok": F.coalesce(F.col(user) != 0, F.lit(False))})
     syntax_error = F.when(F.col("_word") == EMPTY, F.lit(fixed.SQL_EMPTY)).otherwise(
         F.concat(F.lit(before), F.col("_word"), F.lit(after))
     )

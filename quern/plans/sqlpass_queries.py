@@ -110,8 +110,8 @@ def _range_join(spark, d):
     """,
 )
 def _asof(spark, d):
-    events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").withColumn("day", F.to_date("ts"))
-    found = S.latest_before(events, ["user_id"], ["day"], "ts", F.col("event_type") == "purchase", ["event_id"])
+    events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").withColumn("hour", F.date_trunc("hour", "ts"))
+    found = S.latest_before(events, ["user_id"], ["hour"], "ts", F.col("event_type") == "purchase", ["event_id"])
     return found.select(
         "event_id", F.col("latest.event_id").alias("purchase_id"), F.col("latest.ts").cast("string").alias("purchase_ts")
     )
@@ -150,13 +150,13 @@ for _name, _grouping in {
     """,
 )
 def _running(spark, d):
-    """Spend and order number so far; both are running totals over months of a customer."""
+    """Spend and order number so far; a customer with very many orders is cut by day."""
     orders = read_table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        "o_orderkey", "o_custkey", "o_orderdate",
         F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
     )
     sums = {"spent": F.col("price"), "order_no": F.lit(1).cast("long")}
-    out = S.running_totals(orders, ["o_custkey"], ["month"], ["o_orderdate", "o_orderkey"], sums)
+    out = S.running_totals(orders, ["o_custkey"], ["o_orderdate"], ["o_orderdate", "o_orderkey"], sums)
     return out.select("o_orderkey", "o_custkey", "order_no", F.col("spent").cast("double").alias("spent"))
 
 
@@ -168,8 +168,8 @@ def _running(spark, d):
     """,
 )
 def _lag(spark, d):
-    events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
-    out = S.previous_row(events, ["user_id"], ["day"], ["ts", "event_id"], ["event_type", "event_id"])
+    events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    out = S.previous_row(events, ["user_id"], ["hour"], ["ts", "event_id"], ["event_type", "event_id"])
     return out.select("event_id", F.col("previous.event_type").alias("before_type"), F.col("previous.event_id").alias("before_id"))
 
 

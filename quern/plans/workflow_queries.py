@@ -11,7 +11,8 @@ from quern.plans.registry import query
 from quern.plans.views import view
 from quern.sources.tables import read_table
 
-_ORDER = ", ".join(G.NODE_ORDER)
+NODE_ORDER = ["node_order", "l_partkey", "l_suppkey", "duration_ms", "start_time"]
+_ORDER = ", ".join(NODE_ORDER)
 
 
 @query(
@@ -27,7 +28,8 @@ _ORDER = ", ".join(G.NODE_ORDER)
 )
 def _timeline(spark, d):
     tasks = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("user_id"))
-    out = G.task_timeline(tasks, view(spark, d, "node_log"), G.NODE_ORDER)
+    nodes = view(spark, d, "node_log").withColumn("part_block", F.floor(F.col("l_partkey") / 64))
+    out = G.task_timeline(tasks, nodes, NODE_ORDER, ["node_order", "part_block"])
     return out.select(
         "task_id", "user_id", "node_order", "node_type", F.col("start_time").cast("string").alias("start_time"),
         F.col("end_time").cast("string").alias("end_time"), "duration_ms", "gap_ms",
