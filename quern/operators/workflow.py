@@ -127,7 +127,7 @@ def positive_share(feedback: DataFrame, goal: float = 0.7) -> DataFrame:
 def validate_templates(df: DataFrame, content: str = "template_content", declared: str = "variable_list") -> DataFrame:
     """``{name}`` placeholders against the declared list: missing, unused and valid."""
     used = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"\{(\w+)\}"), F.lit(1)))
-    names = F.filter(F.transform(F.split(F.coalesce(declared, F.lit("")), ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.coalesce(declared, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     checked = df.withColumns({"_used": F.coalesce(used, F.array().cast("array<string>")), "_declared": F.array_distinct(names)})
     return checked.select(
         *df.columns,
