@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import like_any
+from quern.functions.keys import keys_of
 
 
 def _no_codes() -> Column:
@@ -69,7 +70,7 @@ def user_permission_set(
         .agg(F.collect_set("permission_code").alias("codes"))
     )
     held = (
-        user_role.distinct().join(role_codes, "role_id").groupBy("user_id").agg(F.flatten(F.collect_set("codes")).alias("codes"))
+        user_role.join(role_codes, "role_id").groupBy("user_id").agg(F.flatten(F.collect_set("codes")).alias("codes"))
     )
     star = F.when(F.col("is_superuser"), F.array(F.lit("*"))).otherwise(_no_codes())
     codes = F.array_sort(F.array_distinct(F.concat(F.coalesce("codes", _no_codes()), star)))
@@ -108,9 +109,9 @@ def accessible_tables(
     table_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Active tables a user may query: direct grants, granted themes and public themes, cut to a selection."""
-    own = user_role.filter(F.col("user_id") == user_id).select("role_id")
+    own = keys_of(user_role.filter(F.col("user_id") == user_id), "role_id")
     granted = permissions.filter("is_active").join(
-        role_permission.join(own, "role_id", "left_semi"), "permission_id", "left_semi"
+        keys_of(role_permission.join(own, "role_id", "left_semi"), "permission_id"), "permission_id", "left_semi"
     )
     direct = granted.filter("table_id IS NOT NULL").select("table_id")
     themes = (
@@ -118,10 +119,10 @@ def accessible_tables(
         .select(F.col("data_theme_id").alias("theme_id"))
         .unionByName(theme.filter("is_public").select("theme_id"))
     )
-    through = links.join(themes, "theme_id", "left_semi").select("table_id")
-    allowed = tables.filter("is_active").join(direct.unionByName(through), "table_id", "left_semi")
+    through = links.join(keys_of(themes, "theme_id"), "theme_id", "left_semi").select("table_id")
+    allowed = tables.filter("is_active").join(keys_of(direct.unionByName(through), "table_id"), "table_id", "left_semi")
     if theme_id:
-        allowed = allowed.join(links.filter(F.col("theme_id") == theme_id), "table_id", "left_semi")
+        allowed = allowed.join(keys_of(links.filter(F.col("theme_id") == theme_id), "table_id"), "table_id", "left_semi")
     if table_ids:
         allowed = allowed.filter(F.col("table_id").isin(*table_ids))
     return allowed.select(*tables.columns)
@@ -201,5 +202,5 @@ def replace_links(links: DataFrame, owner: str, new: DataFrame) -> DataFrame:
     A row with a NULL partner only clears its owner.
     """
     partner = next(c for c in links.columns if c != owner)
-    kept = links.join(new.select(owner), owner, "left_anti").select(*links.columns)
+    kept = links.join(keys_of(new, owner), owner, "left_anti").select(*links.columns)
     return kept.unionByName(new.select(*links.columns).filter(F.col(partner).isNotNull()).distinct())

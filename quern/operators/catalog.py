@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from quern.functions import fixed
 from quern.functions.columns import cell_text, contains_any, like_any
+from quern.functions.keys import keys_of
 from quern.operators.history import latest_supplied
 
 
@@ -74,7 +75,9 @@ def list_tables(
     tables: DataFrame, links: DataFrame, theme_id: int | None = None, keyword: str | None = None, active: bool | None = None
 ) -> DataFrame:
     if theme_id:
-        tables = tables.join(links.filter(F.col("theme_id") == theme_id), "table_id", "left_semi").select(*tables.columns)
+        tables = tables.join(keys_of(links.filter(F.col("theme_id") == theme_id), "table_id"), "table_id", "left_semi").select(
+            *tables.columns
+        )
     return _filtered(tables, keyword, ["table_name_en", "table_name_cn"], active)
 
 
@@ -138,11 +141,11 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def already_taken(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows whose key exists."""
-    return new.join(existing.select(*keys), list(keys), "left_semi").select(*new.columns)
+    return new.join(keys_of(existing, *keys), list(keys), "left_semi").select(*new.columns)
 
 
 def deletable_themes(theme: DataFrame, links: DataFrame) -> DataFrame:
-    return theme.join(links.select("theme_id"), "theme_id", "left_anti").select(*theme.columns)
+    return theme.join(keys_of(links, "theme_id"), "theme_id", "left_anti").select(*theme.columns)
 
 
 def orphan_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:

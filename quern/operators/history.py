@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions.columns import like_any, rate
+from quern.functions.keys import keys_of
 
 
 def _in_range(ts: str, start: datetime | str | None, end: datetime | str | None) -> list[Column]:
@@ -181,7 +182,7 @@ def add_favorites(new: DataFrame, existing: DataFrame, order: Column) -> DataFra
     keys = ["user_id", "history_id"]
     rest = [c for c in new.columns if c not in keys]
     first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
-    return first.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+    return first.join(keys_of(existing, *keys), keys, "left_anti").select(*new.columns)
 
 
 def favorite_search(
@@ -252,9 +253,10 @@ def delete_history(
     the asker's own entries go, with everybody's favourites of them.
     """
     asked = ids if user_id is None else ids.select("id", F.lit(user_id).cast(hist.schema["user_id"].dataType).alias("user_id"))
-    doomed = hist.select("id", "user_id").join(asked.select("id", "user_id"), ["id", "user_id"], "left_semi")
-    kept = hist.join(asked.select("id", "user_id"), ["id", "user_id"], "left_anti").select(*hist.columns)
-    kept_fav = fav.join(doomed.select(F.col("id").alias("history_id")), "history_id", "left_anti").select(*fav.columns)
+    asked = keys_of(asked, "id", "user_id")
+    doomed = hist.select("id", "user_id").join(asked, ["id", "user_id"], "left_semi")
+    kept = hist.join(asked, ["id", "user_id"], "left_anti").select(*hist.columns)
+    kept_fav = fav.join(keys_of(doomed, F.col("id").alias("history_id")), "history_id", "left_anti").select(*fav.columns)
     return kept, kept_fav, doomed.agg(F.count(F.lit(1)).alias("deleted"))
 
 

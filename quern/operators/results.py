@@ -20,6 +20,7 @@ from quern.functions.columns import (
     scaled_hundredths,
 )
 from quern.functions.guards import first_hit, normalised, prepared, read_only_problem
+from quern.functions.keys import keys_of
 
 Order = Sequence[str | Column]
 
@@ -247,7 +248,8 @@ def mask_columns(
 
 def row_filter(df: DataFrame, grants: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Only rows whose key is granted. Duplicated grants do not repeat rows."""
-    return df.join(grants, key, "left_semi").select(*df.columns)
+    names = [key] if isinstance(key, str) else list(key)
+    return df.join(keys_of(grants, *names), names, "left_semi").select(*df.columns)
 
 
 def column_filter(df: DataFrame, allowed: Sequence[str], keep_shape: bool = False) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.functions.keys import keys_of
 from quern.session import ship_package
 
 # at most this many question vectors are sent to every task
 BROADCAST_QUERIES = 4096
+# numbers in the item vectors of one grid cell, 64 MB as doubles
+CELL_VALUES = 8_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,7 +106,8 @@ def similar_items(
     schema = f"{query_id} long, {item_id} long, similarity double"
     head = wanted.limit(max_broadcast + 1).toArrow()
     if head.num_rows > max_broadcast:
-        return _rank(_grid(wanted, stored, k, query_id, item_id, vector, max_broadcast), query_id, item_id, k)
+        width = len(head.column(vector)[0])
+        return _rank(_grid(wanted, stored, k, query_id, item_id, vector, max_broadcast, width), query_id, item_id, k)
     if head.num_rows == 0:
         return _rank(items.sparkSession.createDataFrame([], schema), query_id, item_id, k)
 
@@ -121,7 +125,7 @@ def similar_items(
 
 
 def _grid(
-    wanted: DataFrame, stored: DataFrame, k: int, query_id: str, item_id: str, vector: str, block: int, chunk: int = 65_536
+    wanted: DataFrame, stored: DataFrame, k: int, query_id: str, item_id: str, vector: str, block: int, width: int
 ) -> DataFrame:
     """Every query block meets every item chunk in a task of its own.
 
@@ -129,6 +133,7 @@ def _grid(
     copied once per cell of its row or column of the grid.
     """
     counts = wanted.agg(F.count(F.lit(1)).alias("n")).select("n", stored.agg(F.count(F.lit(1))).scalar().alias("m")).first()
+    chunk = max(1024, CELL_VALUES // max(1, width))
     n_blocks, n_chunks = -(-counts.n // block) + 1, -(-counts.m // chunk) + 1
     schema = f"{query_id} long, {item_id} long, similarity double"
 
@@ -158,10 +163,10 @@ def similar_allowed(
     queries: DataFrame, items: DataFrame, allowed: DataFrame, k: int = 5, item_id: str = "item_id", **options: object
 ) -> DataFrame:
     """The same among permitted items only. The filter comes before the ranking, so k rows are found when k are permitted."""
-    return similar_items(queries, items.join(allowed.select(item_id), item_id, "left_semi"), k, item_id=item_id, **options)
+    return similar_items(queries, items.join(keys_of(allowed, item_id), item_id, "left_semi"), k, item_id=item_id, **options)
 
 
 def replace_documents(store: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Delete by id, then write the new versions; a change given twice is kept once per distinct row."""
-    kept = store.join(changed.select(key), key, "left_anti").select(*store.columns)
+    kept = store.join(keys_of(changed, key), key, "left_anti").select(*store.columns)
     return kept.unionByName(changed.select(*store.columns))

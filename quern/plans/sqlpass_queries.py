@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.keys import keep_all
 from quern.operators import sequences as S
 from quern.operators.results import run_sql
 from quern.plans.registry import query
@@ -48,18 +49,36 @@ _sql(
     "i03_left_join",
     ("orders", "customer"),
     f"""
-    SELECT c_custkey, count(o_orderkey) AS orders, {_MONEY.format('o_totalprice')} AS amount
-    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= DATE '2001-01-01' GROUP BY c_custkey
+    SELECT c_custkey, coalesce(orders, 0) AS orders, amount FROM customer LEFT JOIN (
+      SELECT o_custkey, count(*) AS orders, {_MONEY.format('o_totalprice')} AS amount
+      FROM orders WHERE o_orderdate >= DATE '2001-01-01' GROUP BY o_custkey) o ON c_custkey = o_custkey
     """,
 )
 _sql(
     "i03_right_join",
     ("orders", "customer"),
     """
-    SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 450000) o
+    SELECT c_custkey, c_mktsegment, newest FROM (
+      SELECT o_custkey, max(o_orderkey) AS newest FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey) o
     RIGHT JOIN customer ON c_custkey = o_custkey
     """,
 )
+
+
+@query(
+    "i03_outer_join_hot_keys",
+    """
+    SELECT c_custkey, o_orderkey, o_totalprice FROM customer
+    LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey
+    """,
+)
+def _outer_rows(spark, d):
+    """All customers with each of their larger orders; one customer may hold a large part of the orders."""
+    orders = read_table(spark, d, "orders").filter("o_totalprice > 250000")
+    larger = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return keep_all(read_table(spark, d, "customer").select("c_custkey"), larger, ["c_custkey"])
+
+
 _sql(
     "i03_full_join",
     ("customer", "supplier"),
@@ -73,14 +92,17 @@ _sql(
     "i04_semi_join",
     ("orders", "customer"),
     """
-    SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
-      AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
+    SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000)
+      AND EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') f WHERE o_custkey = c_custkey)
     """,
 )
 _sql(
     "i04_anti_join",
     ("part", "lineitem"),
-    "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)",
+    """
+    SELECT p_partkey FROM part WHERE NOT EXISTS (
+      SELECT 1 FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) l WHERE l_partkey = p_partkey)
+    """,
 )
 
 

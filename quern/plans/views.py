@@ -1,7 +1,8 @@
 """Input views over the star-schema tables, one text for Spark SQL and for the checking engine.
 
 ``$name`` stands for a base table. Spark reads it straight from its parquet
-path, so no temp view is registered and column pruning reaches the scan.
+path, so no temp view is registered and column pruning reaches the scan. Fields
+are every nation with every region: 25 times 5 rows at any scale factor.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ VIEWS: dict[str, str] = {
         FROM $nation""",
     "role_permission": """
         SELECT CAST(r.n_nationkey AS BIGINT) AS role_id, CAST(p.n_nationkey AS BIGINT) AS permission_id
-        FROM $nation r CROSS JOIN $nation p
-        WHERE r.n_nationkey < 8 AND (r.n_nationkey + p.n_nationkey) % 3 = 0""",
+        FROM $nation r JOIN $nation p ON p.n_nationkey % 3 = (3 - r.n_nationkey % 3) % 3
+        WHERE r.n_nationkey < 8""",
     "node_log": """
         SELECT l_orderkey AS task_id, l_linenumber AS node_order,
                CASE l_linenumber % 5 WHEN 1 THEN 'sql_generation' WHEN 2 THEN 'sql_validation'

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions.columns import cell_text
+from quern.functions.keys import keys_of
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
@@ -57,7 +58,7 @@ def metadata_of_themes(
     tables: DataFrame, fields: DataFrame, links: DataFrame, theme_ids: Sequence[int]
 ) -> tuple[DataFrame, DataFrame]:
     """Tables and fields that belong to the listed themes."""
-    wanted = links.filter(F.col("theme_id").isin(*theme_ids)).select("table_id")
+    wanted = keys_of(links.filter(F.col("theme_id").isin(*theme_ids)), "table_id")
     kept = tables.join(wanted, "table_id", "left_semi").select(*tables.columns)
     return kept, fields.join(kept.select("table_id"), "table_id", "left_semi").select(*fields.columns)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.functions.keys import keep_all
 from quern.operators import retrieval as V
 from quern.operators import sequences as S
 
@@ -97,3 +98,9 @@ def test_similar_items_edges(spark, vectors):
     assert V.similar_items(one, items.limit(0)).count() == 0
     allowed = spark.createDataFrame([(5,), (6,), (6,)], "item_id long")
     assert {r.item_id for r in V.similar_allowed(one, items, allowed, 5).collect()} == {5, 6}
+
+
+def test_keep_all_equals_a_left_join(spark):
+    kept = spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "k int")
+    other = spark.range(50).select(F.expr("IF(id < 40, 2, CAST(id % 3 AS INT))").alias("k"), F.col("id").alias("v"))
+    same(keep_all(kept, other, ["k"]), kept.join(other, "k", "left"))
