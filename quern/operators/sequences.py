@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 Names = Sequence[str]
 
 # a group is hot above this many rows, and above a share that leaves at most MAX_HOT_GROUPS of them
-HOT_ROWS = 1_000_000
+HOT_ROWS = 5_000_000
 MAX_HOT_GROUPS = 100_000
 
 

@@ -22,12 +22,14 @@ def _views(spark, d, *names):
 
 @query(
     "e01_user_permissions",
-    f"SELECT u.user_id, username, permission_code, permission_type, data_theme_id, p.table_id {_JOIN} WHERE {_LIVE}",
+    f"SELECT u.user_id, username, permission_code, permission_type, CAST(data_theme_id AS VARCHAR) AS data_theme_id, "
+    f"CAST(p.table_id AS VARCHAR) AS table_id {_JOIN} WHERE {_LIVE}",
     views=_RBAC,
 )
 def _permissions(spark, d):
     return A.user_permissions(*_views(spark, d, *_RBAC)).select(
-        "user_id", "username", "permission_code", "permission_type", "data_theme_id", "table_id"
+        "user_id", "username", "permission_code", "permission_type",
+        F.col("data_theme_id").cast("string").alias("data_theme_id"), F.col("table_id").cast("string").alias("table_id"),
     )
 
 

@@ -312,6 +312,11 @@ _PLAIN, _DOUBLE = "CAST({} AS VARCHAR)", "regexp_replace(CAST({} AS VARCHAR), '\
 _TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
 
 
+def _shown(profile):
+    """Lengths as text: they are NULL for columns without text."""
+    return profile.withColumn("max_length", F.col("max_length").cast("string"))
+
+
 def _profile_sql(table: str, columns: dict[str, str]) -> str:
     """Checking text: column name to the expression that shows a value."""
     parts = []
@@ -322,7 +327,7 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
         parts.append(
             f"SELECT '{name}' AS column_name, count(*) AS row_count, count(DISTINCT {name}) AS distinct_count, "
             f"count(*) - count({name}) AS null_count, {lo} AS min_value, {hi} AS max_value, "
-            f"CAST({text} AS INTEGER) AS max_length, {numeric} AS is_numeric FROM {table}"
+            f"CAST({text} AS VARCHAR) AS max_length, {numeric} AS is_numeric FROM {table}"
         )
     return " UNION ALL ".join(parts)
 
@@ -335,7 +340,7 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
     ),
 )
 def _profile(spark, d):
-    return C.profile_columns(read_table(spark, d, "part"))
+    return _shown(C.profile_columns(read_table(spark, d, "part")))
 
 
 @query(
@@ -346,7 +351,7 @@ def _profile(spark, d):
     views=("hist",),
 )
 def _profile_nulls(spark, d):
-    return C.profile_columns(view(spark, d, "hist").select("generated_sql", "status", "created_at"))
+    return _shown(C.profile_columns(view(spark, d, "hist").select("generated_sql", "status", "created_at")))
 
 
 @query("d20_profile_columns_approximate")

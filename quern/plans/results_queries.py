@@ -293,11 +293,11 @@ def _row_filter(spark, d):
 
 @query(
     "b18_column_filter",
-    "SELECT c_custkey, c_name, CAST(NULL AS INTEGER) AS c_nationkey, c_mktsegment FROM customer",
+    "SELECT c_custkey, c_name, c_nationkey, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer",
 )
 def _column_filter(spark, d):
     customer = read_table(spark, d, "customer").drop("c_acctbal")
-    return R.column_filter(customer, ["c_custkey", "c_name", "c_mktsegment"], keep_shape=True)
+    return R.column_filter(customer, ["c_custkey", "c_name", "c_nationkey"], keep_shape=True)
 
 
 _QUESTION = """CASE event_type WHEN 'purchase' THEN '最近的订单' WHEN 'view' THEN '用户列表'

@@ -58,7 +58,7 @@ _sql(
     "i03_right_join",
     ("orders", "customer"),
     """
-    SELECT c_custkey, c_mktsegment, newest FROM (
+    SELECT c_custkey, c_mktsegment, CAST(newest AS STRING) AS newest FROM (
       SELECT o_custkey, max(o_orderkey) AS newest FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey) o
     RIGHT JOIN customer ON c_custkey = o_custkey
     """,
@@ -68,14 +68,16 @@ _sql(
 @query(
     "i03_outer_join_hot_keys",
     """
-    SELECT c_custkey, o_orderkey, o_totalprice FROM customer
+    SELECT c_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_totalprice FROM customer
     LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey
     """,
 )
 def _outer_rows(spark, d):
     """All customers with each of their larger orders; one customer may hold a large part of the orders."""
     orders = read_table(spark, d, "orders").filter("o_totalprice > 250000")
-    larger = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    larger = orders.select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice"
+    )
     return keep_all(read_table(spark, d, "customer").select("c_custkey"), larger, ["c_custkey"])
 
 
@@ -83,7 +85,7 @@ _sql(
     "i03_full_join",
     ("customer", "supplier"),
     """
-    SELECT c.k AS customer_key, s.k AS supplier_key, coalesce(c.n, 0) + coalesce(s.n, 0) AS n
+    SELECT CAST(c.k AS STRING) AS customer_key, CAST(s.k AS STRING) AS supplier_key, coalesce(c.n, 0) + coalesce(s.n, 0) AS n
     FROM (SELECT c_custkey % 40 AS k, count(*) AS n FROM customer GROUP BY 1) c
     FULL JOIN (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k
     """,
@@ -126,7 +128,7 @@ def _range_join(spark, d):
 @query(
     "i06_asof_join",
     """
-    SELECT e.event_id, p.event_id AS purchase_id, CAST(p.ts AS VARCHAR) AS purchase_ts
+    SELECT e.event_id, CAST(p.event_id AS VARCHAR) AS purchase_id, CAST(p.ts AS VARCHAR) AS purchase_ts
     FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
       ON e.user_id = p.user_id AND e.ts > p.ts
     """,
@@ -135,7 +137,7 @@ def _asof(spark, d):
     events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").withColumn("hour", F.date_trunc("hour", "ts"))
     found = S.latest_before(events, ["user_id"], ["hour"], "ts", F.col("event_type") == "purchase", ["event_id"])
     return found.select(
-        "event_id", F.col("latest.event_id").alias("purchase_id"), F.col("latest.ts").cast("string").alias("purchase_ts")
+        "event_id", F.col("latest.event_id").cast("string").alias("purchase_id"), F.col("latest.ts").cast("string").alias("purchase_ts")
     )
 
 
@@ -185,14 +187,14 @@ def _running(spark, d):
 @query(
     "i09_lag",
     """
-    SELECT event_id, lag(event_type) OVER w AS before_type, lag(event_id) OVER w AS before_id
+    SELECT event_id, lag(event_type) OVER w AS before_type, CAST(lag(event_id) OVER w AS VARCHAR) AS before_id
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
     """,
 )
 def _lag(spark, d):
     events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", F.date_trunc("hour", "ts").alias("hour"))
     out = S.previous_row(events, ["user_id"], ["hour"], ["ts", "event_id"], ["event_type", "event_id"])
-    return out.select("event_id", F.col("previous.event_type").alias("before_type"), F.col("previous.event_id").alias("before_id"))
+    return out.select("event_id", F.col("previous.event_type").alias("before_type"), F.col("previous.event_id").cast("string").alias("before_id"))
 
 
 _sql(

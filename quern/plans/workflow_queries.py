@@ -20,7 +20,7 @@ _ORDER = ", ".join(NODE_ORDER)
     f"""
     SELECT task_id, user_id, node_order, node_type, CAST(start_time AS VARCHAR) AS start_time,
            CAST(end_time AS VARCHAR) AS end_time, duration_ms,
-           epoch_ms(start_time) - epoch_ms(lag(end_time) OVER (PARTITION BY task_id ORDER BY {_ORDER})) AS gap_ms
+           CAST(epoch_ms(start_time) - epoch_ms(lag(end_time) OVER (PARTITION BY task_id ORDER BY {_ORDER})) AS VARCHAR) AS gap_ms
     FROM (SELECT n.*, o_custkey AS user_id, start_time + to_milliseconds(duration_ms) AS end_time
           FROM node_log n JOIN orders ON o_orderkey = task_id)
     """,
@@ -32,7 +32,7 @@ def _timeline(spark, d):
     out = G.task_timeline(tasks, nodes, NODE_ORDER, ["node_order", "part_block"])
     return out.select(
         "task_id", "user_id", "node_order", "node_type", F.col("start_time").cast("string").alias("start_time"),
-        F.col("end_time").cast("string").alias("end_time"), "duration_ms", "gap_ms",
+        F.col("end_time").cast("string").alias("end_time"), "duration_ms", F.col("gap_ms").cast("string").alias("gap_ms"),
     )
 
 
