@@ -153,49 +153,47 @@ def _users(spark, d):
     return page(found, [F.desc("user_id")], 1, 20).select("user_id", "username", "email")
 
 
-@query("e09_list_roles", "SELECT role_id, role_code FROM sys_role WHERE role_code ILIKE '%nation_%'", views=("sys_role",))
+@query("e09_list_roles", "SELECT role_id, role_code FROM many_roles WHERE role_code ILIKE '%r#_0%3%'", views=("many_roles",))
 def _roles(spark, d):
-    return A.list_roles(view(spark, d, "sys_role"), "NATION_").select("role_id", "role_code")
+    return A.list_roles(view(spark, d, "many_roles"), "R#_0%3").select("role_id", "role_code")
 
 
 @query(
     "e10_role_detail",
     """
     SELECT role_id, role_code, coalesce(string_agg(permission_code, ',' ORDER BY permission_code), '') AS permissions
-    FROM sys_role LEFT JOIN (SELECT * FROM role_permission JOIN sys_permission USING (permission_id) WHERE role_id <> 2)
-    USING (role_id) GROUP BY 1, 2
+    FROM many_roles LEFT JOIN (SELECT theme_id AS role_id, permission_code FROM rare_link
+                               JOIN many_permissions ON permission_id = table_id) USING (role_id) GROUP BY 1, 2
     """,
-    views=("sys_role", "role_permission", "sys_permission"),
+    views=("many_roles", "rare_link", "many_permissions"),
 )
 def _detail(spark, d):
-    roles, grants, permissions = _views(spark, d, "sys_role", "role_permission", "sys_permission")
-    out = A.role_detail(roles, grants.filter("role_id <> 2"), permissions)
+    roles, links, permissions = _views(spark, d, "many_roles", "rare_link", "many_permissions")
+    out = A.role_detail(roles, links.toDF("permission_id", "role_id"), permissions)
     return out.select("role_id", "role_code", F.array_join("permissions", ",").alias("permissions"))
 
 
 @query(
     "e11_role_user_counts",
     """
-    SELECT role_id, role_code, count(user_id) AS user_count FROM sys_role
-    LEFT JOIN (SELECT * FROM user_role WHERE role_id <> 5) USING (role_id) GROUP BY 1, 2
+    SELECT role_id, role_code, count(user_id) AS user_count FROM many_roles LEFT JOIN user_role USING (role_id) GROUP BY 1, 2
     """,
-    views=("sys_role", "user_role"),
+    views=("many_roles", "user_role"),
 )
 def _role_counts(spark, d):
-    roles, links = _views(spark, d, "sys_role", "user_role")
-    return A.role_user_counts(roles, links.filter("role_id <> 5")).select("role_id", "role_code", "user_count")
+    return A.role_user_counts(*_views(spark, d, "many_roles", "user_role")).select("role_id", "role_code", "user_count")
 
 
 @query(
     "e12_list_permissions",
     """
-    SELECT permission_id, permission_type, permission_code FROM sys_permission
-    ORDER BY permission_type, permission_code, permission_id LIMIT 12
+    SELECT permission_id, permission_type, permission_code FROM many_permissions
+    ORDER BY permission_type, permission_code, permission_id LIMIT 100
     """,
-    views=("sys_permission",),
+    views=("many_permissions",),
 )
 def _list_permissions(spark, d):
-    return A.list_permissions(view(spark, d, "sys_permission")).limit(12).select(
+    return A.list_permissions(view(spark, d, "many_permissions")).limit(100).select(
         "permission_id", "permission_type", "permission_code"
     )
 
@@ -203,12 +201,13 @@ def _list_permissions(spark, d):
 @query(
     "e13_replace_links",
     """
-    SELECT * FROM user_role WHERE user_id % 3 <> 0
-    UNION ALL SELECT DISTINCT user_id, (user_id + 1) % 8 AS role_id FROM user_role WHERE user_id % 3 = 0 AND user_id % 2 = 0
+    SELECT * FROM user_role WHERE user_id IN (SELECT user_id FROM sys_user WHERE is_active)
+    UNION ALL SELECT user_id, (user_id + 1) % 8 AS role_id FROM sys_user WHERE NOT is_active AND NOT is_deleted
     """,
-    views=("user_role",),
+    views=("user_role", "sys_user"),
 )
 def _replace(spark, d):
-    links = view(spark, d, "user_role")
-    new = links.filter("user_id % 3 = 0").selectExpr("user_id", "IF(user_id % 2 = 0, (user_id + 1) % 8, NULL) AS role_id")
+    """Inactive users get one new role; deleted ones lose theirs."""
+    links, users = _views(spark, d, "user_role", "sys_user")
+    new = users.filter("NOT is_active").selectExpr("user_id", "IF(is_deleted, NULL, (user_id + 1) % 8) AS role_id")
     return A.replace_links(links, "user_id", new)

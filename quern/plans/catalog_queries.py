@@ -24,27 +24,26 @@ def _four(spark, d):
     "d01_list_themes",
     """
     SELECT theme_id, theme_name, sort_order, (SELECT count(*) FROM table_theme l WHERE l.theme_id = t.theme_id) AS table_count
-    FROM theme t WHERE NOT is_public AND (theme_name ILIKE '%a%' OR theme_description ILIKE '%a%')
-    ORDER BY sort_order, theme_id LIMIT 2
+    FROM theme t WHERE NOT is_public AND (theme_name ILIKE '%r#_0%1%' OR theme_description ILIKE '%r#_0%1%')
+    ORDER BY sort_order, theme_id LIMIT 5
     """,
     views=("theme", "table_theme"),
 )
 def _themes(spark, d):
-    found = C.list_themes(view(spark, d, "theme"), view(spark, d, "table_theme"), is_public=False, keyword="A")
-    return page(found, C.theme_order(found), 1, 2).select("theme_id", "theme_name", "sort_order", "table_count")
+    found = C.list_themes(view(spark, d, "theme"), view(spark, d, "table_theme"), is_public=False, keyword="R#_0%1")
+    return page(found, C.theme_order(found), 1, 5).select("theme_id", "theme_name", "sort_order", "table_count")
 
 
 @query(
     "d02_theme_table_counts",
     """
     SELECT t.theme_id, count(l.table_id) AS table_count FROM theme t
-    LEFT JOIN (SELECT * FROM table_theme WHERE theme_id <> 4) l ON t.theme_id = l.theme_id GROUP BY 1
+    LEFT JOIN rare_link l ON t.theme_id = l.theme_id GROUP BY 1
     """,
-    views=("theme", "table_theme"),
+    views=("theme", "rare_link"),
 )
 def _theme_counts(spark, d):
-    links = view(spark, d, "table_theme").filter("theme_id <> 4")
-    return C.theme_table_counts(view(spark, d, "theme"), links).select("theme_id", "table_count")
+    return C.theme_table_counts(view(spark, d, "theme"), view(spark, d, "rare_link")).select("theme_id", "table_count")
 
 
 @query(
@@ -80,26 +79,26 @@ def _fields(spark, d):
 @query(
     "d05_list_tables",
     """
-    SELECT table_id, table_name_en FROM mtable WHERE is_active AND (contains(lower(table_name_en), 'nation_1') OR
-        contains(lower(table_name_cn), 'nation_1')) AND table_id IN (SELECT table_id FROM table_theme WHERE theme_id = 2)
+    SELECT table_id, table_name_en FROM mtable WHERE is_active AND (contains(lower(table_name_en), 'red') OR
+        contains(lower(table_name_cn), 'red')) AND table_id IN (SELECT table_id FROM table_theme WHERE theme_id = 2)
     """,
     views=("mtable", "table_theme"),
 )
 def _tables(spark, d):
-    out = C.list_tables(view(spark, d, "mtable"), view(spark, d, "table_theme"), 2, "Nation_1", True)
+    out = C.list_tables(view(spark, d, "mtable"), view(spark, d, "table_theme"), 2, "Red", True)
     return out.select("table_id", "table_name_en")
 
 
 @query(
     "d06_list_fields",
     """
-    SELECT field_id, table_id, field_name_en FROM mfield WHERE is_active AND (contains(lower(field_name_en), 'am') OR
-        contains(lower(field_name_cn), 'am'))
+    SELECT field_id, table_id, field_name_en FROM mfield WHERE is_active AND (contains(lower(field_name_en), 'd 3') OR
+        contains(lower(field_name_cn), 'd 3'))
     """,
     views=("mfield",),
 )
 def _list_fields(spark, d):
-    return C.list_fields(view(spark, d, "mfield"), keyword="AM", active=True).select("field_id", "table_id", "field_name_en")
+    return C.list_fields(view(spark, d, "mfield"), keyword="D 3", active=True).select("field_id", "table_id", "field_name_en")
 
 
 @query(
@@ -169,12 +168,11 @@ def _taken(spark, d):
 
 @query(
     "d11_deletable_themes",
-    "SELECT theme_id, theme_name FROM theme WHERE theme_id NOT IN (SELECT theme_id FROM table_theme WHERE table_id % 5 < 3)",
-    views=("theme", "table_theme"),
+    "SELECT theme_id, theme_name FROM theme WHERE theme_id NOT IN (SELECT theme_id FROM rare_link)",
+    views=("theme", "rare_link"),
 )
 def _deletable(spark, d):
-    links = view(spark, d, "table_theme").filter("table_id % 5 < 3")
-    return C.deletable_themes(view(spark, d, "theme"), links).select("theme_id", "theme_name")
+    return C.deletable_themes(view(spark, d, "theme"), view(spark, d, "rare_link")).select("theme_id", "theme_name")
 
 
 @query(
@@ -301,7 +299,7 @@ def _cardinality(spark, d):
 
 @query(
     "d19_lineage_edges",
-    "SELECT lineage_id, trim(unnest(string_split(input_tables, ','))) AS input_table, output_table FROM lineage",
+    "SELECT * FROM (SELECT lineage_id, trim(unnest(string_split(input_tables, ','))) AS input_table, output_table FROM lineage) WHERE input_table <> ''",
     views=("lineage",),
 )
 def _lineage(spark, d):
@@ -383,12 +381,12 @@ _DDL_CASE = "CASE field_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in f
     SELECT t.table_id, table_name_en, 'CREATE TABLE ' || table_name_en || ' (' || chr(10) ||
            coalesce(string_agg('    ' || field_name_en || ' ' || {_DDL_CASE}, ',' || chr(10) ORDER BY field_id), '')
            || chr(10) || ');' AS ddl
-    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE table_id <> 7) f ON f.table_id = t.table_id GROUP BY 1, 2
+    FROM mtable t LEFT JOIN mfield f ON f.table_id = t.table_id GROUP BY 1, 2
     """,
     views=("mtable", "mfield"),
 )
 def _ddl(spark, d):
-    return C.table_ddl(view(spark, d, "mtable"), view(spark, d, "mfield").filter("table_id <> 7"))
+    return C.table_ddl(view(spark, d, "mtable"), view(spark, d, "mfield"))
 
 
 @query(
@@ -398,7 +396,7 @@ def _ddl(spark, d):
            CASE WHEN t.table_id % 2 = 0 THEN 'about ' || table_name_en ELSE '无描述' END ||
            coalesce(chr(10) || '字段说明:' || chr(10) || string_agg('- ' || field_name_cn || ' (' || field_name_en || '): '
            || field_type, chr(10) ORDER BY field_id), '') AS doc
-    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE table_id <> 7) f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
+    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE field_type = 'string') f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
     """,
     views=("mtable", "mfield"),
 )
@@ -406,7 +404,7 @@ def _docs(spark, d):
     tables = view(spark, d, "mtable").withColumn(
         "table_description", F.expr("CASE WHEN table_id % 2 = 0 THEN concat('about ', table_name_en) WHEN table_id % 3 = 0 THEN '' END")
     )
-    return C.table_docs(tables, view(spark, d, "mfield").filter("table_id <> 7"))
+    return C.table_docs(tables, view(spark, d, "mfield").filter("field_type = 'string'"))
 
 
 @query(
@@ -414,12 +412,12 @@ def _docs(spark, d):
     """
     SELECT t.table_id, table_name_en, '表' || table_name_cn || '(' || table_name_en || '): ' ||
            coalesce(string_agg(field_name_cn || '(' || field_name_en || ')', ', ' ORDER BY field_id), '') AS prompt_line
-    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE table_id <> 7) f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
+    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE field_type = 'string') f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
     """,
     views=("mtable", "mfield"),
 )
 def _prompt(spark, d):
-    return C.schema_prompt(view(spark, d, "mtable"), view(spark, d, "mfield").filter("table_id <> 7"))
+    return C.schema_prompt(view(spark, d, "mtable"), view(spark, d, "mfield").filter("field_type = 'string'"))
 
 
 @query(

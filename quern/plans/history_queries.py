@@ -19,8 +19,8 @@ _STATS = """count(*) AS total_queries, count(*) FILTER (status = 'completed') AS
     round(avg(execution_time_ms) FILTER (status = 'completed'), 6) AS avg_execution_time_ms,
     CAST(coalesce(sum(llm_tokens_used), 0) AS BIGINT) AS total_tokens_used"""
 # table ids of an entry; some of them do not exist
-_TABLE_IDS_SPARK = "array_distinct(array(id % 30, (id + user_id) % 25, user_id % 28))"
-_TABLE_IDS_DUCK = "list_distinct([id % 30, (id + user_id) % 25, user_id % 28])"
+_TABLE_IDS_SPARK = "array_distinct(array(id % 30, (id + user_id) % 25, id * 2))"
+_TABLE_IDS_DUCK = "list_distinct([id % 30, (id + user_id) % 25, id * 2])"
 
 
 def _with_tables(spark, d):

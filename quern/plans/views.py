@@ -1,8 +1,9 @@
 """Input views over the star-schema tables, one text for Spark SQL and for the checking engine.
 
 ``$name`` stands for a base table. Spark reads it straight from its parquet
-path, so no temp view is registered and column pruning reaches the scan. Fields
-are every nation with every region: 25 times 5 rows at any scale factor.
+path, so no temp view is registered and column pruning reaches the scan. Themes,
+tables, fields, links and users grow with the data; the eight roles with their
+25 permissions are the nations.
 """
 
 from __future__ import annotations
@@ -32,24 +33,27 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT user_id, event_id AS history_id, 'dup' AS favorite_name FROM $events WHERE event_id % 20 = 0""",
     "theme": """
-        SELECT CAST(r_regionkey AS BIGINT) AS theme_id, r_name AS theme_name,
-               concat('theme of ', lower(r_name)) AS theme_description, (r_regionkey = 0) AS is_public,
-               CAST(10 - r_regionkey AS INT) AS sort_order
-        FROM $region""",
+        SELECT s_suppkey AS theme_id, s_name AS theme_name, concat('theme of ', lower(s_name)) AS theme_description,
+               (s_suppkey % 20 = 0) AS is_public, 10 - s_nationkey % 10 AS sort_order
+        FROM $supplier""",
     "mtable": """
-        SELECT CAST(n_nationkey AS BIGINT) AS table_id, n_name AS table_name_cn, lower(n_name) AS table_name_en,
-               (n_nationkey % 6 <> 5) AS is_active
-        FROM $nation""",
+        SELECT p_partkey AS table_id, concat(upper(p_name), ' ', CAST(p_partkey AS STRING)) AS table_name_cn,
+               concat('t_', CAST(p_partkey AS STRING)) AS table_name_en, (p_size % 6 <> 5) AS is_active
+        FROM $part""",
     "table_theme": """
-        SELECT CAST(n_nationkey AS BIGINT) AS table_id, CAST(n_regionkey AS BIGINT) AS theme_id FROM $nation""",
+        SELECT DISTINCT l_partkey AS table_id, l_suppkey AS theme_id FROM $lineitem""",
     "mfield": """
-        SELECT CAST(n_nationkey * 10 + r_regionkey AS BIGINT) AS field_id, CAST(n_nationkey AS BIGINT) AS table_id,
-               concat('f_', lower(r_name)) AS field_name_en, r_name AS field_name_cn,
-               CASE r_regionkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'decimal'
+        SELECT DISTINCT l_partkey * 10 + l_linenumber AS field_id, l_partkey AS table_id,
+               concat('f_', CAST(l_linenumber AS STRING)) AS field_name_en,
+               concat('Field ', CAST(l_linenumber AS STRING)) AS field_name_cn,
+               CASE l_linenumber % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'decimal'
                     ELSE 'datetime' END AS field_type,
-               CASE r_regionkey WHEN 0 THEN 'mask' WHEN 1 THEN 'hash' ELSE 'none' END AS desensitization_type,
-               (r_regionkey <> 4) AS is_active
-        FROM $nation CROSS JOIN $region""",
+               CASE l_linenumber WHEN 1 THEN 'mask' WHEN 2 THEN 'hash' ELSE 'none' END AS desensitization_type,
+               (l_linenumber <> 4) AS is_active
+        FROM $lineitem""",
+    # links of the few tables sold at the highest prices: most themes have none
+    "rare_link": """
+        SELECT DISTINCT l_partkey AS table_id, l_suppkey AS theme_id FROM $lineitem WHERE l_extendedprice > 104900""",
     "glossary": """
         SELECT p_partkey AS term_id, p_brand AS term_name, p_name AS term_description,
                CASE WHEN p_partkey % 3 = 0 THEN 'user' ELSE 'admin' END AS term_type,
@@ -83,6 +87,13 @@ VIEWS: dict[str, str] = {
         SELECT CAST(r.n_nationkey AS BIGINT) AS role_id, CAST(p.n_nationkey AS BIGINT) AS permission_id
         FROM $nation r JOIN $nation p ON p.n_nationkey % 3 = (3 - r.n_nationkey % 3) % 3
         WHERE r.n_nationkey < 8""",
+    # as many roles as suppliers and permissions as parts, for the lists
+    "many_roles": """
+        SELECT s_suppkey AS role_id, concat('role_', lower(s_name)) AS role_code FROM $supplier""",
+    "many_permissions": """
+        SELECT p_partkey AS permission_id, concat('res', CAST(p_size AS STRING), ':', lower(p_type)) AS permission_code,
+               CASE p_partkey % 3 WHEN 0 THEN 'menu' WHEN 1 THEN 'data_theme' ELSE 'data_table' END AS permission_type
+        FROM $part""",
     "node_log": """
         SELECT l_orderkey AS task_id, l_linenumber AS node_order,
                CASE l_linenumber % 5 WHEN 1 THEN 'sql_generation' WHEN 2 THEN 'sql_validation'
@@ -120,10 +131,10 @@ VIEWS: dict[str, str] = {
                     ELSE '' END AS variable_list
         FROM $part""",
     "lineage": """
-        SELECT CAST(n_nationkey AS BIGINT) AS lineage_id,
-               concat('raw_', CAST(n_regionkey AS STRING), ',', 'ods_', CAST(n_nationkey % 4 AS STRING)) AS input_tables,
-               lower(n_name) AS output_table
-        FROM $nation""",
+        SELECT o_orderkey AS lineage_id,
+               concat('raw_', CAST(o_custkey AS STRING), ', ', 'ods_', CAST(o_orderkey % 4 AS STRING), ',') AS input_tables,
+               concat('dwd_', o_orderstatus) AS output_table
+        FROM $orders""",
 }
 
 _BASE = re.compile(r"\$(\w+)(?: ([rp])\b)?")
