@@ -21,6 +21,7 @@ from quern.functions.columns import (
 )
 from quern.functions.guards import first_hit, normalised, prepared, read_only_problem
 from quern.functions.keys import keys_of
+from quern.session import shared_dir
 
 Order = Sequence[str | Column]
 
@@ -44,9 +45,43 @@ def cap_rows(df: DataFrame, n: int = fixed.RESULT_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-def page(df: DataFrame, order: Order, page: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
-    """One page of rows. ``order`` has to end in a unique key; Spark keeps offset + size rows per task."""
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+# up to this many rows are skipped in the tasks' own top lists
+SHALLOW_ROWS = 1_000_000
+
+
+def page(
+    df: DataFrame, order: Order, page: int = 1, size: int = fixed.PAGE_SIZE, shallow_rows: int = SHALLOW_ROWS
+) -> DataFrame:
+    """One page of rows; ``order`` has to end in a unique key.
+
+    Near pages keep offset + size rows per task. Pages further down would keep
+    most of the table in one task and are found by ``_far_page``.
+    """
+    offset = (page - 1) * size
+    if offset + size > shallow_rows:
+        return _far_page(df, order, offset, size)
+    return df.orderBy(*order).offset(offset).limit(size)
+
+
+def _far_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame:
+    """Order the table into range parts, written once, and read only the parts the page lies in.
+
+    The parts are written to the shared folder so that both reads see the same
+    bounds; the driver sees one row count per part.
+    """
+    path = shared_dir(df.sparkSession, "page")
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts.write.partitionBy("_part").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])
+    written = df.sparkSession.read.schema(schema).parquet(path)
+    before, wanted, skipped = 0, [], 0
+    for row in written.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        if before + row.n > offset and before < offset + size:
+            skipped = before if not wanted else skipped
+            wanted.append(row["_part"])
+        before += row.n
+    near = written.filter(F.col("_part").isin(*wanted)) if wanted else written.limit(0)
+    return near.drop("_part").orderBy(*order).offset(max(0, offset - skipped)).limit(size)
 
 
 def page_info(df: DataFrame, size: int = fixed.PAGE_SIZE) -> DataFrame:

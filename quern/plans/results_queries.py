@@ -58,6 +58,22 @@ def _page(spark, d):
     return rows.select("id", "user_id", "status", "total", "pages")
 
 
+@query(
+    "b03_page_far_down",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 50 OFFSET 4950
+    """,
+)
+def _far_page(spark, d):
+    """Page 100 of 50 rows, taken the way that far pages of large tables are."""
+    lines = read_table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
+    )
+    order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return R.page(lines, order, 100, 50, shallow_rows=1000)
+
+
 @query("b04_preview", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def _preview(spark, d):
     return R.preview(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])

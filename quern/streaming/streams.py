@@ -83,16 +83,32 @@ def stream_task_timeout(
 
 
 def _start(df: DataFrame, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Start with this job's settings; a query keeps those it was started with.
+
+    State is not coalesced at run time, so its partitions are held to twice the
+    cores at the first start; the checkpoint fixes them from then on.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        return (
+            df.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _write_batches(path: str) -> Callable[[DataFrame, int], None]:

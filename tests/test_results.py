@@ -30,6 +30,15 @@ def test_pages_cover_all_rows_once_in_spite_of_ties(spark):
     assert sorted(seen) == list(range(55))
 
 
+@pytest.mark.parametrize("page,size", [(1, 7), (3, 7), (9, 40), (13, 8), (14, 8), (50, 8), (1, 500)])
+def test_far_pages_equal_near_pages(spark, page, size):
+    df = spark.range(100).select(F.col("id"), F.expr("IF(id % 9 = 0, NULL, id % 4)").alias("tie"))
+    order = [F.desc("tie"), "id"]
+    near = [r.id for r in R.page(df, order, page, size).collect()]
+    far = [r.id for r in R.page(df, order, page, size, shallow_rows=0).collect()]
+    assert far == near
+
+
 def test_cap_keeps_a_smaller_limit(spark):
     assert R.cap_rows(spark.range(10).limit(3), 5).count() == 3
     assert R.cap_rows(spark.range(10), 5).count() == 5
