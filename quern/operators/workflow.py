@@ -21,9 +21,7 @@ def task_timeline(
 
     A task's nodes are linked before the join, which keeps or drops whole tasks.
     """
-    timed = nodes.withColumn(
-        "end_time", F.col("start_time") + F.make_dt_interval(secs=F.col("duration_ms") / F.lit(1000).cast("decimal(18,6)"))
-    )
+    timed = nodes.withColumn("end_time", F.timestamp_add("MILLISECOND", F.col("duration_ms"), F.col("start_time")))
     linked = previous_row(timed, ["task_id"], bucket, order, ["end_time"], "_before", hot_rows)
     gap = F.unix_millis(F.col("start_time").cast("timestamp")) - F.unix_millis(F.col("_before.end_time").cast("timestamp"))
     return linked.withColumn("gap_ms", gap).drop("_before").join(tasks, "task_id")

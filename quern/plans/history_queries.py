@@ -8,6 +8,7 @@ from quern.operators import history as H
 from quern.operators.results import page
 from quern.plans.registry import query
 from quern.plans.views import view
+from quern.sources.tables import read_table
 
 USER, START, END = 13, "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 _RANGE = f"created_at >= TIMESTAMP '{START}' AND created_at <= TIMESTAMP '{END}'"
@@ -272,7 +273,7 @@ _CHANGES = """
 )
 def _updates(spark, d):
     hist = view(spark, d, "hist").select("id", "status", "execution_time_ms", F.lit(0).alias("updated_at"))
-    changes = spark.sql(_CHANGES.format(events=f"parquet.`{d}/events.parquet`"))
+    changes = spark.sql(_CHANGES, events=read_table(spark, d, "events"))
     return H.apply_history_updates(hist, changes, ["status", "execution_time_ms"], seq="step")
 
 

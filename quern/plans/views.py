@@ -1,7 +1,7 @@
 """Input views over the star-schema tables, one text for Spark SQL and for the checking engine.
 
-``$name`` stands for a base table. Spark reads it straight from its parquet
-path, so no temp view is registered and column pruning reaches the scan. Themes,
+``$name`` stands for a base table. Spark gets it as a DataFrame, so filters and
+column pruning reach its scan. Themes,
 tables, fields, links and users grow with the data; the eight roles with their
 25 permissions are the nations.
 """
@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.sources.tables import table_path
+from quern.sources.tables import read_table
 
 VIEWS: dict[str, str] = {
     "hist": """
@@ -142,11 +142,10 @@ _BASE = re.compile(r"\$(\w+)(?: ([rp])\b)?")
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a lazy DataFrame."""
-    return spark.sql(
-        _BASE.sub(
-            lambda m: f"parquet.`{table_path(sf_dir, m.group(1))}` AS {m.group(2) or m.group(1)}", VIEWS[name]
-        )
-    )
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    text = _BASE.sub(lambda m: f"{{{m.group(1)}}} AS {m.group(2) or m.group(1)}", text)
+    bases = {m.group(1) for m in _BASE.finditer(VIEWS[name])}
+    return spark.sql(text, **{base: read_table(spark, sf_dir, base) for base in bases})
 
 
 def with_views(*names: str) -> str:

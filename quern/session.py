@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # do not look up the calling line for every column expression; plans build several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # split hot join keys even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
