@@ -1,8 +1,7 @@
 """Word lists, limits and texts that results must show exactly."""
 
 # -- row limits -------------------------------------------------------------
-RESULT_ROWS = 1000
-RESULT_ROWS_PRODUCTION = 5000
+RESULT_ROWS = 1000  # 5000 in production: pass max_rows
 PREVIEW_ROWS = 100
 EXPORT_ROWS = 10_000
 PAGE_SIZE = 20
@@ -85,7 +84,7 @@ UPDATE_METHODS = ("real_time", "daily", "weekly", "monthly", "manual")
 
 # -- task states ------------------------------------------------------------
 # running and success are the task table's words for processing and completed
-STATUS_ALIASES = {"running": "processing", "success": "completed"}
+SAME_STATES = (("running", "processing"), ("success", "completed"))
 ACTIVE_STATES = ("pending", "running", "processing")
 EXPIRABLE_STATES = ("success", "completed", "failed", "cancelled")
 FINAL_STATES = ("success", "completed", "failed", "cancelled", "timeout")

@@ -28,6 +28,12 @@ def _in_range(ts: str, start: datetime | str | None, end: datetime | str | None)
     return bounds
 
 
+def in_state(word: str, col: str = "status") -> Column:
+    """The state under the history's word or the task table's word for it."""
+    words = next((pair for pair in fixed.SAME_STATES if word in pair), (word,))
+    return F.col(col).isin(*words)
+
+
 def history_search(
     hist: DataFrame,
     user_id: int | None = None,
@@ -46,7 +52,7 @@ def history_search(
     if user_id is not None:
         conditions.append(F.col("user_id") == user_id)
     if status:
-        conditions.append(F.col("status") == status)
+        conditions.append(in_state(status))
     if theme_id:
         conditions.append(F.col("theme_id") == theme_id)
     if keyword:
@@ -100,7 +106,7 @@ def _scoped(hist: DataFrame, user_id, start, end) -> DataFrame:
 
 
 def statistics_columns() -> list[Column]:
-    done = F.col("status") == "completed"
+    done = in_state("completed")
     total, completed = F.count(F.lit(1)), F.count_if(done)
     return [
         total.alias("total_queries"),
@@ -135,7 +141,7 @@ def theme_statistics(hist: DataFrame, theme: DataFrame, user_id=None, start=None
     counts = (
         _scoped(hist, user_id, start, end)
         .groupBy(F.col("theme_id").cast("long").alias("theme_id"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "completed").alias("completed"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(in_state("completed")).alias("completed"))
     )
     return counts.join(theme.select("theme_id", "theme_name"), "theme_id", "left")
 
@@ -165,7 +171,7 @@ def admin_overview(users: DataFrame, hist: DataFrame) -> DataFrame:
     """
     total_users = users.agg(F.count(F.lit(1))).scalar()
     today = hist.agg(F.to_date(F.max("created_at"))).scalar()
-    done = F.col("status") == "completed"
+    done = in_state("completed")
     return (
         hist.select("status", "execution_time_ms", (F.to_date("created_at") == today).alias("is_today"))
         .agg(
@@ -181,7 +187,7 @@ def add_favorites(new: DataFrame, existing: DataFrame, order: Column) -> DataFra
     """Favourites to insert: the first per (user, entry) in the batch, none that exist already."""
     keys = ["user_id", "history_id"]
     rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order.alias("_order"), *rest)).alias("_row")).select(*keys, "_row.*")
     return first.join(keys_of(existing, *keys), keys, "left_anti").select(*new.columns)
 
 
@@ -211,14 +217,15 @@ def latest_supplied(changes: DataFrame, key: Sequence[str], fields: Sequence[str
 
     A field counts as supplied when it is listed in ``supplied``, or without
     that column when it is not NULL. Changes to different fields of one key
-    add up, as they would one after the other.
+    add up, as they would one after the other; of changes at the same moment
+    the greater value stays, whatever the partitioning.
     """
 
     def given(name: str) -> Column:
         return F.array_contains("supplied", name) if "supplied" in changes.columns else F.col(name).isNotNull()
 
     return changes.groupBy(*key).agg(
-        *[F.max_by(F.struct(F.col(f).alias("v")), F.when(given(f), F.col(seq))).alias(f) for f in fields],
+        *[F.max_by(F.struct(F.col(f).alias("v")), F.when(given(f), F.struct(F.col(seq), F.col(f)))).alias(f) for f in fields],
         F.max(seq).alias("_seq"),
     )
 
@@ -274,7 +281,7 @@ def active_tasks(tasks: DataFrame, status: str = "status") -> DataFrame:
 def batch_status(tasks: DataFrame, batch: str = "batch_id", status: str = "status") -> DataFrame:
     return tasks.groupBy(batch).agg(
         F.count(F.lit(1)).alias("total_tasks"),
-        F.count_if(F.col(status).isin("completed", "success")).alias("completed_tasks"),
+        F.count_if(in_state("completed", status)).alias("completed_tasks"),
         F.count_if(F.col(status) == "failed").alias("failed_tasks"),
     )
 

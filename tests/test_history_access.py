@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quern.operators import access as A
 from quern.operators import catalog as C
 from quern.operators import history as H
+from quern.operators import results as R
 
 HIST = "id long, user_id long, status string, theme_id int, user_question string, generated_sql string, execution_time_ms long, llm_tokens_used long, created_at timestamp_ntz"
 
@@ -51,6 +52,21 @@ def test_updates_add_up_and_may_set_null(spark):
     assert rows(implied.select("id", "status", "execution_time_ms"))[0] == (1, "x", 9)
 
 
+def test_both_words_for_a_state(spark):
+    df = hist(spark, [(1, 1, "success", 1, "q", "s", 4, 1, day(1)), (2, 1, "completed", 1, "q", "s", 6, 1, day(1)), (3, 1, "running", 1, "q", "s", 5, 1, day(1))])
+    assert rows(H.query_statistics(df)) == [(3, 2, 0, 0.666667, 5.0, 3)]
+    assert H.history_search(df, status="completed").count() == 2
+    assert H.history_search(df, status="processing").count() == 1
+    assert rows(H.active_tasks(df)) == [(1,)]
+
+
+def test_changes_at_the_same_moment_do_not_depend_on_partitions(spark):
+    changes = spark.createDataFrame([(1, v, 1) for v in "bca"], "id int, name string, step int")
+    for n in (1, 3, 7):
+        out = H.latest_supplied(changes.repartition(n), ["id"], ["name"], "step").first()
+        assert out.name.v == "c"
+
+
 def test_delete_only_own_rows(spark):
     df = hist(spark, [(1, 1, "a", 1, "q", "s", 5, 1, day(1)), (2, 2, "b", 1, "q", "s", 6, 1, day(1))])
     fav = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "user_id long, history_id long")
@@ -96,6 +112,13 @@ def test_profile_counts(spark):
     assert abs(many.distinct_count - 20_000) < 2_000 and many.row_count == 20_000
 
 
+def test_approximate_daily_users(spark):
+    df = spark.range(30_000).select(F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.expr("IF(id % 3 = 0, 7, id)").alias("user_id"))
+    exact = R.daily_active_users(df).first().active_users
+    rough = R.daily_active_users(df, approximate=True).first().active_users
+    assert exact == 20_000 and abs(rough - exact) < 0.1 * exact
+
+
 def test_permission_wildcards(spark):
     sets = spark.createDataFrame(
         [(1, False, ["a:b:c"]), (2, False, ["a:*"]), (3, False, ["a:b:*"]), (4, False, ["*"]), (5, True, []), (6, False, []), (7, False, ["b:*"])],
