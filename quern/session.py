@@ -59,9 +59,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application; their Python workers import it by name."""
-    if spark.conf.get("quern.shipped", None):
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip"
@@ -69,4 +73,4 @@ def ship_package(spark: SparkSession) -> None:
         for source in root.rglob("*.py"):
             archive.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
-    spark.conf.set("quern.shipped", "true")
+    _SHIPPED.add(application)
