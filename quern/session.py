@@ -14,12 +14,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # do not look up the calling line for every column expression; plans build several times faster
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # split hot join keys even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# only when a session starts: no look-up of the calling line for every column, so plans build faster
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on; sizes of partitions stay with the cluster's own settings."""
@@ -39,7 +40,7 @@ def local_session(cpus: str = "*", app: str = "quern", **conf: str) -> SparkSess
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
     )
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

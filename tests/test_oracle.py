@@ -3,6 +3,7 @@
 import pytest
 
 from quern.plans import load_all
+from quern.session import RUNTIME_CONF
 from tests.oracle import connect, difference, duck_rows, spark_rows
 
 REGISTRY = load_all()
@@ -24,6 +25,10 @@ def test_rows_only(spark, sf_dir, name):
     assert REGISTRY.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_prepare_sets_only_what_may_change(spark):
+    assert all(spark.conf.isModifiable(key) for key in RUNTIME_CONF)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
