@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, mixing, pii, sharding
+from quern.llm import encoding, mixing, pii, sharding, suffixes
 from quern.llm.common import read
 from quern.session import prepare
 
@@ -32,6 +32,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query("op3_bpe_encode")
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"), TOKENIZER_FILE, digests=True)
