@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, mixing, pii, sharding, suffixes
+from quern.llm import encoding, minhash, mixing, pii, sharding, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare
 
@@ -42,6 +42,11 @@ def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"), TOKENIZER_FILE, digests=True)
 
 
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +65,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_minhash_dedup")
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op9_mix_sources")
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
