@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, minhash, mixing, pii, sharding, suffixes, vectors
+from quern.llm import encoding, minhash, mixing, pii, quality, sharding, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare
 
@@ -70,6 +70,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_metrics(read(spark, sf_dir, "documents"))
+
+
 @query("op9_mix_sources")
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
