@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, minhash, mixing, pii, quality, sharding, suffixes, vectors
+from quern.llm import encoding, licences, minhash, mixing, pii, quality, sharding, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare
 
@@ -65,6 +65,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_licence_scan", sql=licences.oracle())
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
 @query("op7_minhash_dedup")
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
