@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, licences, minhash, mixing, pii, quality, sharding, suffixes, vectors
+from quern.llm import encoding, html_text, licences, minhash, mixing, pii, quality, sharding, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare
 
@@ -37,6 +37,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_text.Model.trained(html_text.labelled_pages())
+    found = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_bpe_encode")
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"), TOKENIZER_FILE, digests=True)
