@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_path
+from quern.llm.common import shared_path, staged
 
 #: Words of the automaton: those seen most often. A bound on a cache, results do not depend on it.
 LEXICON_WORDS = 300_000
@@ -264,8 +264,17 @@ def build_lexicon(docs: DataFrame, text_col: str, path: str, words: int = LEXICO
     """
     spark = docs.sparkSession
     rules = tokenizer(path)
-    often = count_words(docs, text_col, path).filter("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    entries = {row[0].encode("utf-8", "surrogatepass"): rules.merge(row[0]) for row in often.select("word").collect()}
+    counted = staged(count_words(docs, text_col, path).filter("n > 1"), "word-counts")
+    # counts fall into few classes of like size; the cut is the lowest class that keeps the lexicon within its bound
+    level = F.floor(F.log2("n") * 16).cast("int")
+    classes = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    cut, held = 1 << 20, 0
+    for row in sorted(classes, reverse=True):
+        if held + row["words"] > words:
+            break
+        cut, held = row["level"], held + row["words"]
+    often = counted.filter(level >= cut).select("word")
+    entries = {row[0].encode("utf-8", "surrogatepass"): rules.merge(row[0]) for row in often.toLocalIterator()}
     block = pack_lexicon(entries)
     target = shared_path(spark, "lexicon") + f"-{hashlib.sha256(block).hexdigest()[:16]}.fst"
     _write_bytes(spark, target, block)

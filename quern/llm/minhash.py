@@ -16,7 +16,9 @@ frequent leader, then the links between what those leave apart.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ ROWS = 5
 COORDINATES = BANDS * ROWS
 #: Darts expected on a text: all coordinates are hit nearly always.
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
-#: Words handled at a time.
-BATCH_WORDS = 400_000
+#: Darts taken at a time, by the number taken before.
+THROWS = (1, 1, 2, 2, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 8, 8, 32)
+#: Words handled at a time, and words remembered.
+BATCH_WORDS = 800_000
+MEMORY_WORDS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +61,7 @@ class _Words(dict):
     """Word to index, with the hash of each."""
 
     def __init__(self) -> None:
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -64,47 +69,44 @@ class _Words(dict):
         return number
 
 
-def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def units(texts: list[bytes], words: _Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The units of each text's weighted shingle set: hashes, and the index of their text (ascending).
 
     A text of fewer than five words is one shingle; without words it has none.
+    ``words`` keeps hashes of words between calls.
     """
-    words = _Words()
+    words = _Words() if words is None else words
     number = words.__getitem__
-    coded = [np.array(list(map(number, t.split())), np.int64) for t in texts]
+    coded = [list(map(number, t.split())) for t in texts]
     counts = np.fromiter(map(len, coded), np.int64, len(coded))
-    hashes = np.array(words.hashes, np.uint64)
-    line = hashes[np.concatenate(coded)] if len(coded) else np.zeros(0, np.uint64)
-    n = len(line)
+    n = int(counts.sum())
+    codes = np.fromiter(chain.from_iterable(coded), np.int64, n)
+    line = np.frombuffer(words.hashes, np.uint64)[codes]
     starts = np.cumsum(counts) - counts
-    shingles = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
+    sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    first = np.cumsum(sizes) - sizes
+    of_text = np.repeat(np.arange(len(coded)), sizes)
+    line = np.concatenate([line, np.zeros(SHINGLE, np.uint64)])
+    at = np.arange(len(of_text)) + np.repeat(starts - first, sizes)
+    h = np.zeros(len(of_text), np.uint64)
     for k in range(SHINGLE):
-        shingles += line[k : k + len(shingles)] * _ODD[k]
-    of_text = np.repeat(np.arange(len(coded)), np.maximum(counts - SHINGLE + 1, 0))
-    inside = np.arange(len(of_text)) - np.repeat(
-        np.cumsum(np.maximum(counts - SHINGLE + 1, 0)) - np.maximum(counts - SHINGLE + 1, 0),
-        np.maximum(counts - SHINGLE + 1, 0),
-    )
-    h = mix(shingles[starts[of_text] + inside]) if len(of_text) else np.zeros(0, np.uint64)
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    if len(short):
-        own = [
-            int(np.sum(hashes[coded[i]] * _ODD[: counts[i]], dtype=np.uint64)) + int(counts[i]) & (1 << 64) - 1 for i in short
-        ]
-        h = np.concatenate([h, mix(np.array(own, np.uint64))])
-        of_text = np.concatenate([of_text, short])
+        h += line[at + k] * _ODD[k]
+    for i in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
+        a, c = int(starts[i]), int(counts[i])
+        h[first[i]] = np.sum(line[a : a + c] * _ODD[:c], dtype=np.uint64) + np.uint64(c)
+    h = mix(h)
     # number the copies of a shingle within its text
     key = mix(h + of_text.astype(np.uint64) * _STEP)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
-    first = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
-    at = np.arange(len(ranked))
-    copy = np.empty(len(ranked), np.int64)
-    copy[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    repeated = copy > 0
-    h[repeated] = mix(h[repeated] + copy[repeated].astype(np.uint64) * _STEP)
-    by_text = np.argsort(of_text, kind="stable")
-    return h[by_text], of_text[by_text]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
+    if not new.all():
+        at = np.arange(len(ranked))
+        copy = np.empty(len(ranked), np.int64)
+        copy[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+        repeated = copy > 0
+        h[repeated] = mix(h[repeated] + copy[repeated].astype(np.uint64) * _STEP)
+    return h, of_text
 
 
 def signatures(unit: np.ndarray, of_text: np.ndarray, n: int) -> np.ndarray:
@@ -119,18 +121,21 @@ def signatures(unit: np.ndarray, of_text: np.ndarray, n: int) -> np.ndarray:
         when, throw = np.zeros(len(u)), 0
         owner, place, time, name = [], [], [], []
         while len(u):
-            dart = mix(u + np.uint64((2 * throw + 1) * int(_STEP) & (1 << 64) - 1))
-            gap = (dart >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            when = when - np.log1p(-gap)
-            live = when < theta[t]
-            u, t, when, dart = u[live], t[live], when[live], dart[live]
-            throw += 1
-            owner.append(t)
-            name.append(mix(dart + _STEP))
+            many = THROWS[min(throw, len(THROWS) - 1)]  # units that are still live after a few darts take many
+            salt = np.arange(2 * throw + 1, 2 * (throw + many) + 1, 2, dtype=np.uint64) * _STEP
+            dart = mix(u[:, None] + salt[None, :])
+            times = np.cumsum(-np.log1p((dart >> np.uint64(11)).astype(np.float64) * -(2.0**-53)), axis=1)
+            times += when[:, None]
+            row, col = np.nonzero(times < theta[t][:, None])
+            owner.append(t[row])
+            name.append(mix(dart[row, col] + _STEP))
             place.append((name[-1] % np.uint64(COORDINATES)).astype(np.int64))
-            time.append(when)
+            time.append(times[row, col])
+            live = times[:, -1] < theta[t]
+            u, t, when = u[live], t[live], times[live, -1]
+            throw += many
         owner, place, time, name = (np.concatenate(x) for x in (owner, place, time, name))
-        late_first = np.argsort(-time, kind="stable")
+        late_first = np.argsort(-time)
         cell = (owner * COORDINATES + place)[late_first]
         hit = np.zeros(n * COORDINATES, bool)
         hit[cell] = True
@@ -148,40 +153,38 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch with a bounded number of words (a longer text stands alone)."""
-    texts = batch.column(0).to_pylist()
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= BATCH_WORDS * 6):
-            size += len(texts[b])
-            b += 1
-        yield batch.slice(a, b - a), texts[a:b]
-        a = b
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Parts of batches with a bounded number of words (a longer text stands alone), and their units."""
+    words = _Words()
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= BATCH_WORDS * 6):
+                size += len(texts[b])
+                b += 1
+            yield batch.slice(a, b - a), b - a, *units(texts[a:b], words)
+            if len(words) > MEMORY_WORDS:
+                words = _Words()
+            a = b
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in _slices(batch):
-            unit, of_text = units(texts)
-            keys = band_keys(signatures(unit, of_text, len(texts)))
-            some = np.bincount(of_text, minlength=len(texts)) > 0
-            flat = pa.array(keys[some].astype(np.int64).reshape(-1))
-            offsets = np.zeros(len(texts) + 1, np.int32)
-            np.cumsum(some * BANDS, out=offsets[1:])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["cls", "bands"]
-            )
+    for part, n, unit, of_text in _slices(batches):
+        keys = band_keys(signatures(unit, of_text, n))
+        some = np.bincount(of_text, minlength=n) > 0
+        flat = pa.array(keys[some].astype(np.int64).reshape(-1))
+        offsets = np.zeros(n + 1, np.int32)
+        np.cumsum(some * BANDS, out=offsets[1:])
+        yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["cls", "bands"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in _slices(batch):
-            unit, of_text = units(texts)
-            cuts = np.searchsorted(of_text, np.arange(len(texts) + 1))
-            sets = [np.unique(unit[a:b]).astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], names=["cls", "grams"])
+    for part, n, unit, of_text in _slices(batches):
+        cuts = np.searchsorted(of_text, np.arange(n + 1))
+        sets = [np.sort(unit[a:b]).astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], names=["cls", "grams"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +198,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 score[i] = 0.0  # sizes alone rule it out
                 continue
             merged = np.concatenate([x, y])
-            merged.sort(kind="stable")
+            merged.sort()
             both = int(np.count_nonzero(merged[1:] == merged[:-1]))
             score[i] = both / (together - both) if together else 0.0
         yield pa.RecordBatch.from_arrays(
@@ -208,6 +211,11 @@ def text_class(text_col: str) -> Column:
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
+def _short(col: str) -> Column:
+    """A number for a class; two classes may share one."""
+    return F.xxhash64(col)
+
+
 def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """Of (a, b) pairs those whose exact weighted similarity reaches the threshold."""
     joined = pairs.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
@@ -222,30 +230,36 @@ def class_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col(text_col).cast("string").cast("binary").alias("text"), text_class(text_col).alias("cls")
     )
     signed = staged(texts.mapInArrow(_bands, "cls binary, bands array<bigint>"), "minhash-bands")
-    keys = signed.select("cls", F.explode("bands").alias("band"))
-    # a leader per band, drawn by hash: bands of the same texts have different leaders
+    # short names are enough to meet; the classes are looked up for pairs, so names that clash cost a check only
+    keys = signed.select(_short("cls").alias("key"), F.explode("bands").alias("band"))
+    # a leader per band, smallest after mixing with the band: bands of the same texts have different leaders
+    mixed = F.col("key").bitwiseXOR(F.col("band"))
     leaders = (
         keys.groupBy("band")
-        .agg(
-            F.min(F.struct(F.xxhash64("band", "cls").alias("o"), "cls")).alias("lead"),
-            F.min("cls").alias("low"),
-            F.max("cls").alias("high"),
-        )
+        .agg(F.min(mixed).alias("lead"), F.min("key").alias("low"), F.max("key").alias("high"))
         .filter("low < high")
-        .select("band", F.col("lead.cls").alias("lead"))
+        .select("band", F.col("lead").bitwiseXOR(F.col("band")).alias("lead"))
     )
-    proposed = staged(
-        keys.join(leaders, "band")
-        .filter("cls != lead")
-        .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
-        .groupBy("a", "b")
+    # leaders grow with the texts: never broadcast, so the plan is the same at every size
+    met = staged(
+        keys.join(leaders.hint("merge"), "band")
+        .filter("key != lead")
+        .select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb"))
+        .groupBy("ka", "kb")
         .agg(F.count(F.lit(1)).alias("n")),
         "minhash-pairs",
     )
+    ends = met.select(F.col("ka").alias("key")).unionByName(met.select(F.col("kb").alias("key"))).distinct()
+    names = staged(
+        signed.select(_short("cls").alias("key"), "cls").join(ends.hint("merge"), "key").distinct(), "minhash-names"
+    )
+    proposed = met.join(names.select(F.col("key").alias("ka"), F.col("cls").alias("a")).hint("merge"), "ka")
+    proposed = proposed.join(names.select(F.col("key").alias("kb"), F.col("cls").alias("b")).hint("merge"), "kb")
+    proposed = staged(proposed.select("a", "b", "n"), "minhash-pairs")
     involved = proposed.select(F.col("a").alias("cls")).unionByName(proposed.select(F.col("b").alias("cls"))).distinct()
     grams = staged(
         texts.dropDuplicates(["cls"])
-        .join(involved, "cls", "left_semi")
+        .join(involved.hint("merge"), "cls", "left_semi")
         .select("text", "cls")
         .mapInArrow(_grams, "cls binary, grams binary"),
         "minhash-grams",
