@@ -43,8 +43,21 @@ def number_text(col: Column, dtype: T.DataType) -> Column:
         return col.cast("string")
     text = col.cast("string")
     plain = F.regexp_replace(text, r"\.0$", "")
-    wide = F.rtrim(F.rtrim(col.cast("decimal(38,12)").cast("string"), F.lit("0")), F.lit("."))
-    return F.when(F.contains(text, F.lit("E")) & (F.abs(col) < 1e21), wide).otherwise(plain)
+    return F.when(F.contains(text, F.lit("E")), _without_exponent(text)).otherwise(plain)
+
+
+def _without_exponent(text: Column) -> Column:
+    """``-1.25E-7`` as ``-0.000000125``: the same digits, with the point moved."""
+    sign = F.regexp_extract(text, r"^(-?)", 1)
+    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
+    fraction = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)E", 1), r"0+$", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    digits = F.concat(whole, fraction)
+    point = F.length(whole) + power
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)))
+    inside = F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1))
+    return F.concat(sign, F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(inside))
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
@@ -81,7 +94,7 @@ def two_decimals(col: Column, scaled: Column | None = None) -> Column:
     """
     parts = scaled_hundredths(col) if scaled is None else scaled
     value, error = parts["value"], parts["error"]
-    half = F.floor(value / F.lit(2.0)).cast("long")
+    half = F.when(F.abs(value) < 2.0**62, F.floor(value / F.lit(2.0))).otherwise(F.lit(0)).cast("long")
     rest = value - half.cast("double") * F.lit(2.0)
     hundredths = half + F.when((rest > 1.0) | ((rest == 1.0) & (error >= 0.0)), F.lit(1)).otherwise(F.lit(0))
     # a decimal of scale 2 made from the whole number prints both digits
@@ -93,7 +106,11 @@ def display_text(col: Column, dtype: T.DataType, scaled: Column | None = None) -
     """Table cell: ``-`` for NULL, whole numbers as they are, other numbers with two decimals."""
     if is_double(dtype):
         value = col.cast("double")
-        text = F.when(value == F.floor(value), number_text(value, T.DoubleType())).otherwise(two_decimals(value, scaled))
+        # from 2^53 on every double is whole; NaN and infinities have no decimals
+        whole = F.isnan(value) | (F.abs(value) >= 2.0**53)
+        text = F.when(whole, number_text(value, T.DoubleType())).otherwise(
+            F.when(value == F.floor(value), number_text(value, T.DoubleType())).otherwise(two_decimals(value, scaled))
+        )
     elif isinstance(dtype, T.DecimalType):
         text = F.when(col == F.floor(col), F.floor(col).cast("string")).otherwise(
             F.round(col, 2).cast("decimal(38,2)").cast("string")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import ParseException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
@@ -67,3 +68,30 @@ def read_only_problem(sql: str | None) -> str | None:
     if not start or start.group(0).upper() not in ("SELECT", "WITH", "VALUES"):
         return "not a query"
     return None
+
+
+# functions that call into the JVM, and relations that read files past the catalogue
+_CALLS = re.compile(r"['.](?:(?:try_)?reflect|java_method)\(", re.I)
+_FILES = re.compile(r"'UnresolvedRelation \[(?:parquet|json|csv|orc|text|avro|xml|binaryfile|delta)\s*,", re.I)
+_SCRIPT = re.compile(r"ScriptTransformation", re.I)
+
+
+def plan_problem(spark: SparkSession, sql: str) -> str | None:
+    """What a statement's parsed plan shows that no query needs: shell scripts, JVM calls, direct file reads.
+
+    The parser's own tree is searched, so comments, quoting and white space
+    hide nothing. A statement that does not parse is left to Spark's error.
+    """
+    width = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(width)
+    spark.conf.set(width, str(2**31 - 1))  # long lists are shown in full
+    try:
+        text = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    except ParseException:
+        return None
+    finally:
+        spark.conf.set(width, before)
+    for pattern, problem in ((_SCRIPT, "script transformation"), (_CALLS, "JVM call"), (_FILES, "direct file read")):
+        if pattern.search(text):
+            return problem
+    return None

@@ -8,6 +8,7 @@ sides, splitting hot roles with its adaptive skew join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,24 +134,40 @@ def _parents(code: str) -> list[str]:
     return [":".join(parts[:i]) + ":*" for i in range(len(parts) - 1, 0, -1)]
 
 
-def check_permissions(permission_sets: DataFrame, required: Sequence[str]) -> DataFrame:
-    """``allowed`` when superuser or ``*``, or when each code is held itself or through a parent ``a:*``."""
-    held = F.col("permissions")
-    allowed = F.lit(True)
-    for code in required:
-        allowed = allowed & F.arrays_overlap(held, F.array(*[F.lit(c) for c in [code, *_parents(code)]]))
-    return permission_sets.withColumn(
-        "allowed", F.col("is_superuser") | F.array_contains(held, "*") | allowed
+def check_permissions(
+    users: DataFrame, user_role: DataFrame, role_permission: DataFrame, permissions: DataFrame, required: Sequence[str]
+) -> DataFrame:
+    """(user, allowed) of active users: superuser or ``*``, or each code held itself or through a parent ``a:*``.
+
+    Only permissions that can decide are looked at: one flag per role and
+    required code, then one per user; no list of codes is built.
+    """
+    accepted = [[code, *_parents(code), "*"] for code in required]
+    flags = [f"f{i}" for i in range(len(required))]
+    useful = permissions.filter(F.col("permission_code").isin(*{c for codes in accepted for c in codes})).select(
+        "permission_id", *[F.col("permission_code").isin(*codes).alias(f) for f, codes in zip(flags, accepted)]
+    )
+    either = [F.bool_or(f).alias(f) for f in flags]
+    if not flags:
+        return users.filter("is_active").select("user_id", F.lit(True).alias("allowed"))
+    of_role = role_permission.join(useful, "permission_id").groupBy("role_id").agg(*either)
+    of_user = user_role.join(of_role, "role_id").groupBy("user_id").agg(*either)
+    every = reduce(lambda a, b: a & b, [F.coalesce(f, F.lit(False)) for f in flags])
+    return (
+        users.filter("is_active")
+        .select("user_id", "is_superuser")
+        .join(of_user, "user_id", "left")
+        .select("user_id", (F.col("is_superuser") | every).alias("allowed"))
     )
 
 
 def check_roles(users: DataFrame, user_role: DataFrame, roles: DataFrame, required: Sequence[str]) -> DataFrame:
-    """``allowed`` when superuser or when all listed roles are held.
+    """``allowed`` when superuser or when all listed roles are held, by name.
 
     Only links to the listed roles are counted, so no list of roles is built.
     """
-    wanted = roles.filter(F.col("role_code").isin(*required)).select("role_id", "role_code")
-    held = user_role.join(wanted, "role_id").groupBy("user_id").agg(F.count_distinct("role_code").alias("held"))
+    wanted = roles.filter(F.col("role_name").isin(*required)).select("role_id", "role_name")
+    held = user_role.join(wanted, "role_id").groupBy("user_id").agg(F.count_distinct("role_name").alias("held"))
     enough = F.coalesce("held", F.lit(0)) >= len(set(required))
     return (
         users.filter("is_active")

@@ -240,34 +240,36 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
 # -- profiles -------------------------------------------------------------------
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    """Every cell as (column number, text), NULL cells left out."""
-    cells = [F.struct(F.lit(i).alias("i"), F.col(f.name).cast("string").alias("value")) for i, f in enumerate(df.schema.fields)]
-    return df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL")
+#: Standard error of the sketches that count distinct values.
+SKETCH_ERROR = 0.01
 
 
-def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
     """One row per column: rows, distinct, nulls, min, max, length of the longest text, numeric or not.
 
-    Exact distinct counts shuffle each column's distinct values once, combined
-    in the map tasks first; the approximate form keeps a sketch per column and
-    shuffles nothing else.
+    Distinct values are counted by sketches, one per column and task, in the
+    same scan as everything else. Columns named in ``exact`` are counted
+    exactly instead, each by a scan of that column alone that shuffles its
+    distinct values.
     """
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, field in enumerate(df.schema.fields):
         col, is_text = F.col(field.name), isinstance(field.dataType, T.StringType)
         aggregates += [F.count(col).alias(f"n{i}"), F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
         aggregates += [F.max(F.char_length(col)).alias(f"len{i}")] if is_text else []
-        aggregates += [F.approx_count_distinct(col).alias(f"d{i}")] if approximate else []
+        if field.name in exact:
+            known = df.select(field.name).filter(col.isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
+        else:
+            aggregates.append(F.approx_count_distinct(col, SKETCH_ERROR).alias(f"d{i}"))
+            known = F.col(f"d{i}")
         low, high = (
             F.when(F.col(f"{end}{i}").isNotNull(), cell_text(F.col(f"{end}{i}"), field.dataType)) for end in ("lo", "hi")
         )
         rows.append(
             F.struct(
-                F.lit(i).alias("i"),
                 F.lit(field.name).alias("column_name"),
                 F.col("rows").alias("row_count"),
-                (F.col(f"d{i}") if approximate else F.lit(0).cast("long")).alias("distinct_count"),
+                known.alias("distinct_count"),
                 (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
                 low.alias("min_value"),
                 high.alias("max_value"),
@@ -275,34 +277,25 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
                 F.lit(isinstance(field.dataType, T.NumericType)).alias("is_numeric"),
             )
         )
-    profile = df.agg(*aggregates).select(F.inline(F.array(*rows)))
-    if approximate:
-        return profile.drop("i")
-    distinct = _cells(df).groupBy("i", "value").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("_d"))
-    return (
-        profile.join(distinct, "i", "left")
-        .withColumn("distinct_count", F.coalesce("_d", "distinct_count"))
-        .drop("i", "_d")
-    )
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` most frequent values of each column, most frequent first.
+    """The ``n`` most frequent values of each column as texts, most frequent first, equal ones by text.
 
-    Rows become (column, value) counts in the map tasks; each task then keeps
-    ``n`` candidates per column before the last shuffle.
+    Each column is read alone and its typed values are counted in the map
+    tasks first; every task then keeps ``n`` candidates.
     """
-    names = F.array(*[F.lit(c) for c in df.columns])
-    counts = (
-        _cells(df)
-        .groupBy("i", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.get(names, "i").alias("column_name"), "value", "n")
-    )
-    best = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    kept = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return kept.groupBy("column_name").agg(F.transform(ranked, lambda s: s["value"]).alias("sample_values"))
+    whole = None
+    for name in df.columns:
+        value = F.col(f"`{name}`")
+        counts = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        best = counts.select(F.col("v").cast("string").alias("value"), "n").orderBy(F.desc("n"), "value").limit(n)
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "value")))
+        one = best.agg(ranked.alias("s")).filter(F.size("s") > 0)
+        one = one.select(F.lit(name).alias("column_name"), F.transform("s", lambda x: x["value"]).alias("sample_values"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
 
 
 # -- generated texts --------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,8 @@ from quern.functions.columns import (
     money,
     scaled_hundredths,
 )
-from quern.functions.guards import first_hit, normalised, prepared, read_only_problem
+from quern.functions.guards import first_hit, normalised, plan_problem, prepared, read_only_problem
 from quern.functions.keys import keys_of
-from quern.session import shared_dir
 
 Order = Sequence[str | Column]
 
@@ -30,10 +30,10 @@ def run_sql(
     spark: SparkSession,
     sql: str,
     args: Mapping[str, object] | Sequence[object] | None = None,
-    max_rows: int | None = fixed.RESULT_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Run a read-only statement with bound parameters and cap its rows."""
-    problem = read_only_problem(sql)
+    """Run a read-only statement with bound parameters; all rows, unless ``max_rows`` caps them."""
+    problem = read_only_problem(sql) or plan_problem(spark, sql.strip().rstrip(";"))
     if problem:
         raise ValueError(f"statement refused: {problem}")
     result = spark.sql(sql.strip().rstrip(";"), args=args) if args else spark.sql(sql.strip().rstrip(";"))
@@ -45,43 +45,80 @@ def cap_rows(df: DataFrame, n: int = fixed.RESULT_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-# up to this many rows are skipped in the tasks' own top lists
-SHALLOW_ROWS = 1_000_000
+# rows are told apart by this many splitters at a time, until this many are left to sort
+SPLITTERS = 31
+SORTED_ROWS = 100_000
+_ORDER_TEXT = re.compile(r"^(.*?)(?: (ASC|DESC)(?: NULLS (FIRST|LAST))?)?$", re.S)
 
 
-def page(
-    df: DataFrame, order: Order, page: int = 1, size: int = fixed.PAGE_SIZE, shallow_rows: int = SHALLOW_ROWS
-) -> DataFrame:
-    """One page of rows; ``order`` has to end in a unique key.
+def _parts_of(order: Order) -> list[tuple[Column, bool, bool]]:
+    """Key, descending and nulls-first of every entry of an order."""
+    parts = []
+    for item in order:
+        text = item if isinstance(item, str) else item._jc.toString()
+        name, direction, nulls = _ORDER_TEXT.match(text).groups()
+        descending = direction == "DESC"
+        parts.append((F.expr(f"`{name}`" if isinstance(item, str) else name), descending, nulls == "FIRST" if nulls else not descending))
+    return parts
 
-    Near pages keep offset + size rows per task. Pages further down would keep
-    most of the table in one task and are found by ``_far_page``.
-    """
-    offset = (page - 1) * size
-    if offset + size > shallow_rows:
-        return _far_page(df, order, offset, size)
-    return df.orderBy(*order).offset(offset).limit(size)
 
+def after_key(order: Order, key: Sequence[Column]) -> Column:
+    """Rows that come after a key in an order: later in the first entry that differs."""
+    later = F.lit(False)
+    for (col, descending, nulls_first), value in reversed(list(zip(_parts_of(order), key))):
+        beyond = F.coalesce(col < value if descending else col > value, F.lit(False))
+        at_null = col.isNotNull() & value.isNull() if nulls_first else col.isNull() & value.isNotNull()
+        later = beyond | at_null | (col.eqNullSafe(value) & later)
+    return later
 
-def _far_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame:
-    """Order the table into range parts, written once, and read only the parts the page lies in.
 
-    The parts are written to the shared folder so that both reads see the same
-    bounds; the driver sees one row count per part.
+def page(df: DataFrame, order: Order, page: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
+    """One page of rows; ``order`` has to end in a unique key.
+
+    The rows before the page are counted, not sorted: splitters drawn by hash
+    cut the rows into ranges, each task counts its rows per range, and the
+    range that holds the page's first row is cut again until few rows are
+    left. Only these are sorted. Nothing is written, and the driver sees the
+    splitters and one count for each. Pages after a known row need no count:
+    :func:`page_after`.
     """
-    path = shared_dir(df.sparkSession, "page")
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts.write.partitionBy("_part").parquet(path)
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])
-    written = df.sparkSession.read.schema(schema).parquet(path)
-    before, wanted, skipped = 0, [], 0
-    for row in written.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
-        if before + row.n > offset and before < offset + size:
-            skipped = before if not wanted else skipped
-            wanted.append(row["_part"])
-        before += row.n
-    near = written.filter(F.col("_part").isin(*wanted)) if wanted else written.limit(0)
-    return near.drop("_part").orderBy(*order).offset(max(0, offset - skipped)).limit(size)
+    offset = (page - 1) * size
+    start, stop, before = None, None, 0  # the page lies after start, which has so many rows up to it, and not after stop
+
+    def rest() -> DataFrame:
+        rows = df.filter(after_key(order, start)) if start else df
+        return rows.filter(~after_key(order, stop)) if stop else rows
+
+    left = df.count()
+    while left > max(SORTED_ROWS, 2 * size):
+        rows = rest()
+        splitters = _splitters(rows, order)
+        upto = list(rows.agg(*[F.count_if(~after_key(order, s)).alias(f"n{i}") for i, s in enumerate(splitters)]).first())
+        low = max((n, i) for n, i in [(0, -1), *((n, i) for i, n in enumerate(upto) if before + n <= offset)])
+        high = min((n, i) for n, i in [(left, -1), *((n, i) for i, n in enumerate(upto) if before + n >= offset + size)])
+        if high[0] - low[0] == left:
+            break
+        start = splitters[low[1]] if low[1] >= 0 else start
+        stop = splitters[high[1]] if high[1] >= 0 else stop
+        before, left = before + low[0], high[0] - low[0]
+    return rest().orderBy(*order).offset(offset - before).limit(size)
+
+
+def _splitters(df: DataFrame, order: Order) -> list[list[Column]]:
+    """Order keys of up to ``SPLITTERS`` rows drawn by hash; one candidate per task and draw is shuffled."""
+    keys = [F.col(f"k{i}") for i in range(len(order))]
+    drawn = df.select(*[col.alias(f"k{i}") for i, (col, _, _) in enumerate(_parts_of(order))])
+    drawn = drawn.withColumn("h", F.xxhash64(*keys))
+    drawn = drawn.groupBy(F.pmod("h", F.lit(SPLITTERS)).alias("b")).agg(F.min_by(F.struct(*keys), "h").alias("key"))
+    types = drawn.schema["key"].dataType
+    return [
+        [F.lit(row.key[i]).cast(f.dataType) for i, f in enumerate(types.fields)] for row in drawn.select("key").collect()
+    ]
+
+
+def page_after(df: DataFrame, order: Order, key: Sequence[object], size: int = fixed.PAGE_SIZE) -> DataFrame:
+    """The page that follows the row with this order key. Its cost does not depend on how far down the row is."""
+    return df.filter(after_key(order, [F.lit(v) for v in key])).orderBy(*order).limit(size)
 
 
 def page_info(df: DataFrame, size: int = fixed.PAGE_SIZE) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,75 +11,44 @@ from pyspark.sql.window import Window as W
 from quern.functions.keys import keys_of
 from quern.session import ship_package
 
-# at most this many question vectors are sent to every task
-BROADCAST_QUERIES = 4096
-# numbers in the item vectors of one grid cell, 64 MB as doubles
-CELL_VALUES = 8_000_000
+# questions and items of one score matrix
+QUESTIONS = 512
+ITEMS = 8192
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column as rows of unit length, in double; zero vectors stay zero."""
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    flat = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column of one width as rows of unit length, in double; zero vectors stay zero."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     norm = np.linalg.norm(flat, axis=1, keepdims=True)
     return np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: higher similarity first, then smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _scores(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Similarity of every query to every item, rounded so that ties do not hang on the summation order."""
-    return np.round(queries @ items.T, 6)
-
-
-class _TopK:
-    """The k best items per query seen so far."""
-
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.ids = [np.empty(0, dtype=np.int64)] * len(query_ids)
-        self.scores = [np.empty(0)] * len(query_ids)
+def _top(questions: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and similarities of each question's k best items; equal ones by position.
 
-    def add(self, item_ids: np.ndarray, items: np.ndarray) -> None:
-        """Score items in slices whose score matrix stays near 32 MB."""
-        step = max(1, 4_000_000 // max(1, len(self.query_ids)))
-        for start in range(0, len(item_ids), step):
-            self._add(item_ids[start : start + step], items[start : start + step])
-
-    def _add(self, item_ids: np.ndarray, items: np.ndarray) -> None:
-        for q, row in enumerate(_scores(self.queries, items)):
-            if len(row) > 4 * self.k:  # keep everything not below the k-th best
-                near = row >= np.partition(row, len(row) - self.k)[len(row) - self.k]
-                row, ids = row[near], item_ids[near]
-            else:
-                ids = item_ids
-            scores, ids = np.concatenate([self.scores[q], row]), np.concatenate([self.ids[q], ids])
-            keep = _best(ids, scores, self.k)
-            self.scores[q], self.ids[q] = scores[keep], ids[keep]
-
-    def batch(self, names: tuple[str, str]) -> pa.RecordBatch:
-        counts = [len(x) for x in self.ids]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(self.query_ids, counts), pa.int64()),
-                pa.array(np.concatenate(self.ids), pa.int64()),
-                pa.array(np.concatenate(self.scores), pa.float64()),
-            ],
-            names=[*names, "similarity"],
-        )
+    Similarities are whole millionths, so ties do not hang on the order of
+    summation; position and similarity make one number that is ranked at once.
+    """
+    best = np.empty((len(questions), 0), np.int64)
+    n = len(items)
+    for a in range(0, n, ITEMS):
+        score = np.rint(questions @ items[a : a + ITEMS].T * 1e6).astype(np.int64)
+        ranked = score * n + (n - 1 - np.arange(a, a + score.shape[1]))
+        both = np.concatenate([best, ranked], axis=1)
+        best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if both.shape[1] > k else both
+    return n - 1 - best % n, np.floor_divide(best, n) / 1e6
 
 
-def _rank(best: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
-    order = W.partitionBy(query_id).orderBy(F.desc("similarity"), item_id)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def unusable(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows with ``usable``: false for vectors that are NULL, empty or hold a NULL, NaN or infinite number."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vector) > 0)
+    return df.withColumn("usable", F.coalesce(fine, F.lit(False)))
 
 
-def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(key), vector).filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+def _ready(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Keys and vectors that can be compared, with their width."""
+    kept = unusable(df, vector).filter(F.col("usable") & F.col(key).isNotNull())
+    return kept.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("width"))
 
 
 def similar_items(
@@ -91,72 +58,43 @@ def similar_items(
     query_id: str = "query_id",
     item_id: str = "item_id",
     vector: str = "embedding",
-    max_broadcast: int = BROADCAST_QUERIES,
 ) -> DataFrame:
     """The k most similar items per query, with similarity and rank.
 
-    Each task scans its items once as Arrow batches and keeps k candidates per
-    query, so only k rows per query and task are shuffled and no pair rows
-    exist. Question sets of a checked size go to every task; larger ones are
-    cut into blocks that meet blocks of items in a grid of tasks.
+    Items are dealt into as many chunks as the session has shuffle partitions;
+    each item goes to one chunk and each query to all. A chunk returns k
+    candidates per query, so no pair rows exist. Vectors of different width
+    are never compared, and vectors that :func:`unusable` marks are left out.
     """
     ship_package(items.sparkSession)
-    wanted = _usable(queries, query_id, vector)
-    stored = _usable(items, item_id, vector)
-    schema = f"{query_id} long, {item_id} long, similarity double"
-    head = wanted.limit(max_broadcast + 1).toArrow()
-    if head.num_rows > max_broadcast:
-        width = len(head.column(vector)[0])
-        return _rank(_grid(wanted, stored, k, query_id, item_id, vector, max_broadcast, width), query_id, item_id, k)
-    if head.num_rows == 0:
-        return _rank(items.sparkSession.createDataFrame([], schema), query_id, item_id, k)
-
-    ids = np.asarray(head.column(query_id), dtype=np.int64)
-    sent = items.sparkSession.sparkContext.broadcast((ids, _matrix(head.column(vector).combine_chunks())))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(*sent.value, k)
-        for batch in batches:
-            if batch.num_rows:
-                best.add(np.asarray(batch.column(0), dtype=np.int64), _matrix(batch.column(1)))
-        yield best.batch((query_id, item_id))
-
-    return _rank(stored.mapInArrow(search, schema), query_id, item_id, k)
-
-
-def _grid(
-    wanted: DataFrame, stored: DataFrame, k: int, query_id: str, item_id: str, vector: str, block: int, width: int
-) -> DataFrame:
-    """Every query block meets every item chunk in a task of its own.
-
-    Blocks and chunks are hash groups of bounded expected size; each row is
-    copied once per cell of its row or column of the grid.
-    """
-    counts = wanted.agg(F.count(F.lit(1)).alias("n")).select("n", stored.agg(F.count(F.lit(1))).scalar().alias("m")).first()
-    chunk = max(1024, CELL_VALUES // max(1, width))
-    n_blocks, n_chunks = -(-counts.n // block) + 1, -(-counts.m // chunk) + 1
-    schema = f"{query_id} long, {item_id} long, similarity double"
-
-    def spread(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.select(
-            F.pmod(F.xxhash64(key), F.lit(own_n)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))).alias(other),
-            F.col(key).alias("id"),
-            vector,
-        )
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], pa.schema([(query_id, pa.int64()), (item_id, pa.int64()), ("similarity", pa.float64())]))
-        best = _TopK(np.asarray(left.column("id"), dtype=np.int64), _matrix(left.column(vector).combine_chunks()), k)
-        ids = np.asarray(right.column("id"), dtype=np.int64)
-        items = _matrix(right.column(vector).combine_chunks())
-        best.add(ids, items)
-        return pa.Table.from_batches([best.batch((query_id, item_id))])
-
-    left = spread(wanted, query_id, "b", n_blocks, "c", n_chunks).groupBy("b", "c")
-    right = spread(stored, item_id, "c", n_chunks, "b", n_blocks).groupBy("b", "c")
-    return left.cogroup(right).applyInArrow(search, schema)
+    chunks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = _ready(items, item_id, vector).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    wanted = _ready(queries, query_id, vector).withColumn("chunk", every)
+    found = wanted.groupBy("chunk", "width").cogroup(stored.groupBy("chunk", "width")).applyInArrow(
+        lambda asked, given: _search(asked, given, k), "query_id long, item_id long, similarity double"
+    )
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias(query_id), F.col("item_id").alias(item_id), "similarity", "rank")
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
+
+
+def _search(asked: pa.Table, given: pa.Table, k: int) -> pa.Table:
+    if not asked.num_rows or not given.num_rows:
+        return _FOUND.empty_table()
+    given = given.sort_by("id")
+    width = given.column("width")[0].as_py()
+    ids, items = given.column("id").to_numpy(), _matrix(given.column("vector"), width)
+    parts = []
+    for a in range(0, asked.num_rows, QUESTIONS):
+        some = asked.slice(a, QUESTIONS)
+        at, score = _top(_matrix(some.column("vector"), width), items, k)
+        names = np.repeat(some.column("id").to_numpy(), at.shape[1])
+        parts.append(pa.table([names, ids[at.ravel()], score.ravel()], schema=_FOUND))
+    return pa.concat_tables(parts)
 
 
 def similar_allowed(

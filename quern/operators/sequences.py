@@ -1,11 +1,14 @@
-"""Ordered work inside groups, some of which may be very large.
-
-A plain window puts a whole group into one task. Groups above a row limit are
-therefore cut into buckets that follow their order (hours, for example): the
-window runs inside each bucket, and what a bucket takes over from the earlier
-ones comes from one pre-aggregated row per bucket, put in front of it. All
-other groups keep a single bucket, so without hot groups the only extra work is
-a count per group.
+"""Ordered work inside groups, any of which may be very large.
+
+A plain window puts a whole group into one task. Here every group is cut into
+buckets that follow its order (hours, for example), whatever its size: one
+aggregate per bucket, made in the map tasks first, a window over these bucket
+rows, and a window inside each bucket. What a bucket takes over from the
+earlier ones stands in a row in front of it. The plan is the same for all
+groups: two scans, no counting, nothing broadcast.
+
+``bucket`` may name several columns, each further along the order, so that a
+bucket with very many rows (all at one instant, say) is cut again by the next.
 """
 
 from __future__ import annotations
@@ -18,43 +21,23 @@ from pyspark.sql.window import Window as W
 
 Names = Sequence[str]
 
-# a group is hot above this many rows, and above a share that leaves at most MAX_HOT_GROUPS of them
-HOT_ROWS = 5_000_000
-MAX_HOT_GROUPS = 100_000
-
-
-def _hot_groups(df: DataFrame, keys: Names, hot_rows: int) -> DataFrame:
-    """Keys of hot groups. Never more than MAX_HOT_GROUPS rows, whatever the size of the table."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = sizes.agg((F.coalesce(F.sum("_n"), F.lit(0)) / MAX_HOT_GROUPS).cast("long")).scalar()
-    hot = sizes.filter(F.col("_n") > F.greatest(F.lit(hot_rows).cast("long"), share))
-    return hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
 
-
-def _cut(df: DataFrame, keys: Names, bucket: Names, hot_rows: int) -> tuple[DataFrame, list[str]]:
-    """Add ``_hot`` and bucket columns that are NULL outside hot groups."""
-    on = F.lit(True)
-    for key in keys:
-        on = on & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
-    marked = df.join(F.broadcast(_hot_groups(df, keys, hot_rows)), on, "left").drop(*[f"_hot_{k}" for k in keys])
-    cuts = [f"_cut_{name}" for name in bucket]
-    return marked.withColumns({cut: F.when(F.col("_hot"), F.col(name)) for cut, name in zip(cuts, bucket)}), cuts
-
-
-def _with_front_rows(rows: DataFrame, keys: Names, cuts: Names, state: Mapping[str, Column], earlier: Mapping[str, Column]) -> DataFrame:
-    """Put one row in front of each bucket of a hot group, holding what it takes over.
+def _with_front_rows(
+    rows: DataFrame, keys: Names, bucket: Names, state: Mapping[str, Column], earlier: Mapping[str, Column]
+) -> DataFrame:
+    """Put one row in front of each bucket, holding what it takes over.
 
     ``state`` aggregates a bucket, ``earlier`` turns the states of the buckets
     before into the row's values.
     """
-    per_bucket = rows.filter("_hot").groupBy(*keys, *cuts).agg(*[c.alias(n) for n, c in state.items()])
-    front = per_bucket.select(*keys, *cuts, *[c.alias(n) for n, c in earlier.items()], F.lit(False).alias("_real"))
+    per_bucket = rows.groupBy(*keys, *bucket).agg(*[c.alias(n) for n, c in state.items()])
+    front = per_bucket.select(*keys, *bucket, *[c.alias(n) for n, c in earlier.items()], F.lit(False).alias("_real"))
     return rows.withColumn("_real", F.lit(True)).unionByName(front, allowMissingColumns=True)
 
 
-def _windows(keys: Names, cuts: Names):
-    groups = W.partitionBy(*keys).orderBy(*cuts)
-    return groups, groups.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys, *cuts)
+def _windows(keys: Names, bucket: Names):
+    groups = W.partitionBy(*keys).orderBy(*bucket)
+    return groups, groups.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys, *bucket)
 
 
 def _finish(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -62,49 +45,45 @@ def _finish(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def previous_row(
-    df: DataFrame, keys: Names, bucket: Names, order: Names, values: Names, out: str = "previous", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Names, bucket: Names, order: Names, values: Names, out: str = "previous"
 ) -> DataFrame:
     """A struct of ``values`` from the row before in the group's order, NULL for the first.
 
     ``bucket`` columns must never go down along ``order``.
     """
-    rows, cuts = _cut(df, keys, bucket, hot_rows)
-    groups, _, inside = _windows(keys, cuts)
-    rows = rows.withColumn("_held", F.struct(*values))
+    groups, _, inside = _windows(keys, bucket)
+    rows = df.withColumn("_held", F.struct(*values))
     whole = _with_front_rows(
-        rows, keys, cuts, {"_held": F.max_by("_held", F.struct(*order))}, {"_held": F.lag("_held").over(groups)}
+        rows, keys, bucket, {"_held": F.max_by("_held", F.struct(*order))}, {"_held": F.lag("_held").over(groups)}
     )
     before = F.lag("_held").over(inside.orderBy("_real", *order))
     return _finish(whole.withColumn(out, before), [*df.columns, out])
 
 
 def running_totals(
-    df: DataFrame, keys: Names, bucket: Names, order: Names, values: Mapping[str, Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Names, bucket: Names, order: Names, values: Mapping[str, Column]
 ) -> DataFrame:
     """Sums of ``values`` from the group's first row to this one, several in one pass."""
-    rows, cuts = _cut(df, keys, bucket, hot_rows)
-    _, earlier, inside = _windows(keys, cuts)
+    _, earlier, inside = _windows(keys, bucket)
     parts = {f"_part_{out}": value for out, value in values.items()}
-    rows = rows.withColumns(parts)
     whole = _with_front_rows(
-        rows, keys, cuts, {n: F.sum(n) for n in parts}, {n: F.sum(n).over(earlier) for n in parts}
+        df.withColumns(parts), keys, bucket, {n: F.sum(n) for n in parts}, {n: F.sum(n).over(earlier) for n in parts}
     )
     near = inside.orderBy("_real", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return _finish(whole.withColumns({out: F.sum(f"_part_{out}").over(near) for out in values}), [*df.columns, *values])
 
 
 def latest_before(
-    df: DataFrame, keys: Names, bucket: Names, ts: str, is_source: Column, values: Names, out: str = "latest",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Names, bucket: Names, ts: str, is_source: Column, values: Names, out: str = "latest"
 ) -> DataFrame:
     """As-of join of a table with marked rows of itself: the newest source row strictly earlier in time.
 
-    Source rows of the same instant are told apart by ``values``.
+    Source rows of the same instant are told apart by ``values``. ``bucket``
+    columns have to follow from ``ts``.
     """
-    rows, cuts = _cut(df, keys, bucket, hot_rows)
-    _, earlier, inside = _windows(keys, cuts)
-    rows = rows.withColumn("_source", F.when(is_source, F.struct(F.col(ts).alias("ts"), *values)))
-    whole = _with_front_rows(rows, keys, cuts, {"_source": F.max("_source")}, {"_source": F.max("_source").over(earlier)})
+    _, earlier, inside = _windows(keys, bucket)
+    rows = df.withColumn("_source", F.when(is_source, F.struct(F.col(ts).alias("ts"), *values)))
+    whole = _with_front_rows(rows, keys, bucket, {"_source": F.max("_source")}, {"_source": F.max("_source").over(earlier)})
     instant = F.unix_micros(F.coalesce(F.col(ts), F.col("_source.ts")).cast("timestamp"))
     near = inside.orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
     found = whole.withColumn("_at", instant).withColumn(out, F.max("_source").over(near))

@@ -6,25 +6,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quern.functions import fixed
 from quern.functions.columns import any_of, rate, stripped
 from quern.functions.guards import EMPTY, first_hit, prepared
 from quern.operators.history import _in_range
-from quern.operators.sequences import HOT_ROWS, previous_row
+from quern.operators.sequences import previous_row
+
+#: Nodes of a task that stay together when their gaps are worked out.
+NODES = 10_000
+
 
 def task_timeline(
     tasks: DataFrame, nodes: DataFrame, order: Sequence[str] = ("node_order", "start_time"),
-    bucket: Sequence[str] = ("node_order",), hot_rows: int = HOT_ROWS,
+    bucket: Sequence[str] = ("_block",),
 ) -> DataFrame:
     """Nodes of each task in order, with end time and the gap in ms to the end of the node before.
 
     A task's nodes are linked before the join, which keeps or drops whole tasks.
+    ``node_order`` counts the nodes of a task, so unless another ``bucket`` is
+    given, a task with very many nodes is cut at every ``NODES`` of them.
     """
     timed = nodes.withColumn("end_time", F.timestamp_add("MILLISECOND", F.col("duration_ms"), F.col("start_time")))
-    linked = previous_row(timed, ["task_id"], bucket, order, ["end_time"], "_before", hot_rows)
+    timed = timed.withColumn("_block", F.floor(F.col("node_order") / NODES))
+    linked = previous_row(timed, ["task_id"], bucket, order, ["end_time"], "_before")
     gap = F.unix_millis(F.col("start_time").cast("timestamp")) - F.unix_millis(F.col("_before.end_time").cast("timestamp"))
-    return linked.withColumn("gap_ms", gap).drop("_before").join(tasks, "task_id")
+    return linked.withColumn("gap_ms", gap).drop("_before", "_block").join(tasks, "task_id")
 
 
 def node_durations(nodes: DataFrame) -> DataFrame:
@@ -114,7 +122,8 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
         F.count_if("is_processed").alias("processed"),
         *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in scores],
     )
-    return per_type.withColumn("share", rate(F.col("n"), feedback.agg(F.count(F.lit(1))).scalar()))
+    # the total of the few types, so that the feedback is read once
+    return per_type.withColumn("share", rate(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))))
 
 
 def positive_share(feedback: DataFrame, goal: float = 0.7) -> DataFrame:

@@ -120,15 +120,17 @@ def _accessible(spark, d):
     views=_RBAC,
 )
 def _check(spark, d):
-    return A.check_permissions(_sets(spark, d), ["res1:read", "res3:export"]).select("user_id", "allowed")
+    users, user_role, role_permission, permissions = _views(spark, d, "sys_user", "user_role", "role_permission", "sys_permission")
+    users = users.withColumn("is_superuser", F.expr(_SUPER))
+    return A.check_permissions(users, user_role, role_permission, permissions, ["res1:read", "res3:export"])
 
 
 @query(
     "e07_check_roles",
     f"""
     SELECT u.user_id, {_SUPER.replace('user_id', 'u.user_id')} OR (
-      SELECT count(DISTINCT role_code) FROM user_role ur JOIN sys_role r ON ur.role_id = r.role_id
-      WHERE ur.user_id = u.user_id AND role_code IN ('role_nation_0', 'role_nation_4')) = 2 AS allowed
+      SELECT count(DISTINCT role_name) FROM user_role ur JOIN sys_role r ON ur.role_id = r.role_id
+      WHERE ur.user_id = u.user_id AND role_name IN ('Role of nation_0', 'Role of nation_4')) = 2 AS allowed
     FROM sys_user u WHERE is_active
     """,
     views=("sys_user", "user_role", "sys_role"),
@@ -136,7 +138,7 @@ def _check(spark, d):
 def _roles_check(spark, d):
     users, user_role, roles = _views(spark, d, "sys_user", "user_role", "sys_role")
     return A.check_roles(
-        users.withColumn("is_superuser", F.expr(_SUPER)), user_role, roles, ["role_nation_0", "role_nation_4"]
+        users.withColumn("is_superuser", F.expr(_SUPER)), user_role, roles, ["Role of nation_0", "Role of nation_4"]
     )
 
 
@@ -153,22 +155,22 @@ def _users(spark, d):
     return page(found, [F.desc("user_id")], 1, 20).select("user_id", "username", "email")
 
 
-@query("e09_list_roles", "SELECT role_id, role_code FROM many_roles WHERE role_code ILIKE '%r#_0%3%'", views=("many_roles",))
+@query("e09_list_roles", "SELECT role_id, role_code FROM many_roles WHERE role_code ILIKE '%r#_0%3%' ORDER BY role_id LIMIT 20", views=("many_roles",))
 def _roles(spark, d):
-    return A.list_roles(view(spark, d, "many_roles"), "R#_0%3").select("role_id", "role_code")
+    return page(A.list_roles(view(spark, d, "many_roles"), "R#_0%3"), ["role_id"], 1, 20).select("role_id", "role_code")
 
 
 @query(
     "e10_role_detail",
     """
     SELECT role_id, role_code, coalesce(string_agg(permission_code, ',' ORDER BY permission_code), '') AS permissions
-    FROM many_roles LEFT JOIN (SELECT theme_id AS role_id, permission_code FROM rare_link
+    FROM every_role LEFT JOIN (SELECT theme_id AS role_id, permission_code FROM table_theme
                                JOIN many_permissions ON permission_id = table_id) USING (role_id) GROUP BY 1, 2
     """,
-    views=("many_roles", "rare_link", "many_permissions"),
+    views=("every_role", "table_theme", "many_permissions"),
 )
 def _detail(spark, d):
-    roles, links, permissions = _views(spark, d, "many_roles", "rare_link", "many_permissions")
+    roles, links, permissions = _views(spark, d, "every_role", "table_theme", "many_permissions")
     out = A.role_detail(roles, links.toDF("permission_id", "role_id"), permissions)
     return out.select("role_id", "role_code", F.array_join("permissions", ",").alias("permissions"))
 
@@ -188,12 +190,12 @@ def _role_counts(spark, d):
     "e12_list_permissions",
     """
     SELECT permission_id, permission_type, permission_code FROM many_permissions
-    ORDER BY permission_type, permission_code, permission_id LIMIT 100
+    ORDER BY permission_type, permission_code, permission_id
     """,
     views=("many_permissions",),
 )
 def _list_permissions(spark, d):
-    return A.list_permissions(view(spark, d, "many_permissions")).limit(100).select(
+    return A.list_permissions(view(spark, d, "many_permissions")).select(
         "permission_id", "permission_type", "permission_code"
     )
 

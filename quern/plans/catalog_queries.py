@@ -37,13 +37,13 @@ def _themes(spark, d):
 @query(
     "d02_theme_table_counts",
     """
-    SELECT t.theme_id, count(l.table_id) AS table_count FROM theme t
-    LEFT JOIN rare_link l ON t.theme_id = l.theme_id GROUP BY 1
+    SELECT t.theme_id, count(l.table_id) AS table_count FROM every_theme t
+    LEFT JOIN table_theme l ON t.theme_id = l.theme_id GROUP BY 1
     """,
-    views=("theme", "rare_link"),
+    views=("every_theme", "table_theme"),
 )
 def _theme_counts(spark, d):
-    return C.theme_table_counts(view(spark, d, "theme"), view(spark, d, "rare_link")).select("theme_id", "table_count")
+    return C.theme_table_counts(view(spark, d, "every_theme"), view(spark, d, "table_theme")).select("theme_id", "table_count")
 
 
 @query(
@@ -168,11 +168,11 @@ def _taken(spark, d):
 
 @query(
     "d11_deletable_themes",
-    "SELECT theme_id, theme_name FROM theme WHERE theme_id NOT IN (SELECT theme_id FROM rare_link)",
-    views=("theme", "rare_link"),
+    "SELECT theme_id, theme_name FROM every_theme WHERE theme_id NOT IN (SELECT theme_id FROM table_theme)",
+    views=("every_theme", "table_theme"),
 )
 def _deletable(spark, d):
-    return C.deletable_themes(view(spark, d, "theme"), view(spark, d, "rare_link")).select("theme_id", "theme_name")
+    return C.deletable_themes(view(spark, d, "every_theme"), view(spark, d, "table_theme")).select("theme_id", "theme_name")
 
 
 @query(
@@ -330,6 +330,10 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _exact(df):
+    return C.profile_columns(df, exact=df.columns)
+
+
 @query(
     "d20_profile_columns",
     _profile_sql(
@@ -338,7 +342,7 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
     ),
 )
 def _profile(spark, d):
-    return _shown(C.profile_columns(read_table(spark, d, "part")))
+    return _shown(_exact(read_table(spark, d, "part")))
 
 
 @query(
@@ -349,12 +353,24 @@ def _profile(spark, d):
     views=("hist",),
 )
 def _profile_nulls(spark, d):
-    return _shown(C.profile_columns(view(spark, d, "hist").select("generated_sql", "status", "created_at")))
+    return _shown(_exact(view(spark, d, "hist").select("generated_sql", "status", "created_at")))
+
 
+_SKETCHED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+             "l_returnflag", "l_linestatus", "l_shipdate")
 
-@query("d20_profile_columns_approximate")
+
+@query(
+    "d20_profile_columns_approximate",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) >= 0 AS near FROM lineitem" for c in _SKETCHED),
+)
 def _profile_approx(spark, d):
-    return C.profile_columns(read_table(spark, d, "lineitem"), approximate=True)
+    """Sketched distinct counts, held against exact ones: within five per cent."""
+    lines = read_table(spark, d, "lineitem").select(*_SKETCHED)
+    rough = C.profile_columns(lines).select("column_name", "row_count", F.col("distinct_count").alias("rough"))
+    sure = _exact(lines).select("column_name", F.col("distinct_count").alias("sure"))
+    near = F.abs(F.col("rough") - F.col("sure")) <= 0.05 * F.col("sure")
+    return rough.join(sure, "column_name").select("column_name", "row_count", near.alias("near"))
 
 
 @query(
@@ -363,12 +379,13 @@ def _profile_approx(spark, d):
     SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM (
       SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rn FROM (
         SELECT 'p_name' AS column_name, p_name AS value FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL
-        SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part)
+        SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part
+        UNION ALL SELECT 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT 'p_retailprice', CAST(p_retailprice AS VARCHAR) FROM part)
       GROUP BY 1, 2) WHERE rn <= 5 GROUP BY 1
     """,
 )
 def _samples(spark, d):
-    out = C.sample_values(read_table(spark, d, "part").select("p_name", "p_brand", "p_type", "p_size"), 5)
+    out = C.sample_values(read_table(spark, d, "part"), 5)
     return out.select("column_name", _joined("sample_values"))
 
 
@@ -396,7 +413,7 @@ def _ddl(spark, d):
            CASE WHEN t.table_id % 2 = 0 THEN 'about ' || table_name_en ELSE '无描述' END ||
            coalesce(chr(10) || '字段说明:' || chr(10) || string_agg('- ' || field_name_cn || ' (' || field_name_en || '): '
            || field_type, chr(10) ORDER BY field_id), '') AS doc
-    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE field_type = 'string') f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
+    FROM mtable t LEFT JOIN mfield f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
     """,
     views=("mtable", "mfield"),
 )
@@ -404,7 +421,7 @@ def _docs(spark, d):
     tables = view(spark, d, "mtable").withColumn(
         "table_description", F.expr("CASE WHEN table_id % 2 = 0 THEN concat('about ', table_name_en) WHEN table_id % 3 = 0 THEN '' END")
     )
-    return C.table_docs(tables, view(spark, d, "mfield").filter("field_type = 'string'"))
+    return C.table_docs(tables, view(spark, d, "mfield"))
 
 
 @query(
@@ -412,12 +429,12 @@ def _docs(spark, d):
     """
     SELECT t.table_id, table_name_en, '表' || table_name_cn || '(' || table_name_en || '): ' ||
            coalesce(string_agg(field_name_cn || '(' || field_name_en || ')', ', ' ORDER BY field_id), '') AS prompt_line
-    FROM mtable t LEFT JOIN (SELECT * FROM mfield WHERE field_type = 'string') f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
+    FROM mtable t LEFT JOIN mfield f ON f.table_id = t.table_id GROUP BY 1, 2, table_name_cn
     """,
     views=("mtable", "mfield"),
 )
 def _prompt(spark, d):
-    return C.schema_prompt(view(spark, d, "mtable"), view(spark, d, "mfield").filter("field_type = 'string'"))
+    return C.schema_prompt(view(spark, d, "mtable"), view(spark, d, "mfield"))
 
 
 @query(

@@ -225,14 +225,15 @@ _FAV_EXTRA = "concat('folder ', CAST(history_id % 3 AS STRING)) AS folder_name"
     f"""
     SELECT user_id, history_id, favorite_name FROM (SELECT *, {_FAV_EXTRA} FROM fav)
     WHERE folder_name = 'folder 1' AND favorite_name ILIKE '%FAV%' AND history_id % 4 IN (0, 1)
+    ORDER BY history_id DESC, user_id, favorite_name LIMIT 20
     """,
     views=("fav",),
 )
 def _fav_search(spark, d):
     fav = view(spark, d, "fav").selectExpr("*", _FAV_EXTRA, "array(CAST(history_id % 4 AS STRING), 'all') AS tags")
-    return H.favorite_search(fav, folder="folder 1", keyword="FAV", tags=["0", "1"]).select(
-        "user_id", "history_id", "favorite_name"
-    )
+    found = H.favorite_search(fav, folder="folder 1", keyword="FAV", tags=["0", "1"])
+    order = [F.desc("history_id"), "user_id", "favorite_name"]
+    return page(found, order, 1, 20).select("user_id", "history_id", "favorite_name")
 
 
 @query(

@@ -20,7 +20,7 @@ def _money(*cols: str):
     """
     SELECT user_id, status, count(*) AS n, CAST(sum(execution_time_ms) AS BIGINT) AS total_ms
     FROM hist WHERE execution_time_ms >= 100 GROUP BY user_id, status
-    ORDER BY user_id, status LIMIT 1000
+    ORDER BY user_id, status
     """,
     views=("hist",),
 )
@@ -66,12 +66,26 @@ def _page(spark, d):
     """,
 )
 def _far_page(spark, d):
-    """Page 100 of 50 rows, taken the way that far pages of large tables are."""
+    """Page 100 of 50 rows."""
     lines = read_table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
     )
     order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    return R.page(lines, order, 100, 50, shallow_rows=1000)
+    return R.page(lines, order, 100, 50)
+
+
+@query(
+    "b03_page_after_key",
+    """
+    SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+    WHERE o_orderstatus > 'F' OR (o_orderstatus = 'F' AND (o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 5)))
+    ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 50
+    """,
+)
+def _after(spark, d):
+    """The rows that follow a known one."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return R.page_after(orders, ["o_orderstatus", F.desc("o_totalprice"), "o_orderkey"], ["F", 200000.0, 5], 50)
 
 
 @query("b04_preview", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -108,35 +122,38 @@ def _search_nulls(spark, d):
 @query(
     "b06_sort_rows",
     """
-    SELECT p_partkey, p_name FROM part ORDER BY lower(p_name) DESC, p_partkey LIMIT 500
+    SELECT p_partkey, p_name FROM part ORDER BY lower(p_name) DESC, p_partkey
     """,
 )
 def _sort_rows(spark, d):
     parts = read_table(spark, d, "part").select("p_partkey", "p_name")
-    return R.sort_rows(parts, "p_name", "desc", tie=["p_partkey"]).limit(500)
+    return R.sort_rows(parts, "p_name", "desc", tie=["p_partkey"])
 
 
 @query(
     "b06_sort_rows_numeric",
-    "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 500",
+    "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey",
 )
 def _sort_numeric(spark, d):
     parts = read_table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return R.sort_rows(parts, "p_retailprice", "desc", tie=["p_partkey"]).limit(500)
+    return R.sort_rows(parts, "p_retailprice", "desc", tie=["p_partkey"])
 
 
 @query(
     "b07_format_cells",
     """
     SELECT CAST(id AS VARCHAR) AS id, coalesce(generated_sql, '-') AS generated_sql,
-           CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+           CASE WHEN isnan(value) THEN 'NaN' WHEN isinf(value) THEN 'Infinity' WHEN value = 1e20 THEN '100000000000000000000'
+                WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
                 ELSE printf('%.2f', value) END AS value
-    FROM (SELECT h.id, h.generated_sql, e.value FROM hist h JOIN events e ON h.id = e.event_id)
+    FROM (SELECT h.id, h.generated_sql, CASE h.id % 50 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN 1e20
+                 ELSE e.value END AS value FROM hist h JOIN events e ON h.id = e.event_id)
     """,
     views=("hist",),
 )
 def _format_cells(spark, d):
-    events = read_table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
+    value = F.expr("CASE event_id % 50 WHEN 1 THEN double('NaN') WHEN 2 THEN double('Infinity') WHEN 3 THEN 1e20 ELSE value END")
+    events = read_table(spark, d, "events").select(F.col("event_id").alias("id"), value.alias("value"))
     return R.format_cells(view(spark, d, "hist").select("id", "generated_sql").join(events, "id"))
 
 

@@ -37,9 +37,22 @@ def _similar(spark, d):
 
 @query("f01_similar_items_blocks", _KNN.format(where=""))
 def _similar_blocks(spark, d):
-    """The way taken when the questions outgrow what may be sent to every task."""
+    """The first vector of every label asks, in questions of another order and name."""
     asked, items = _sides(spark, d)
-    return V.similar_items(asked, items, 5, max_broadcast=4)
+    return V.similar_items(asked.orderBy(F.desc("query_id")), items, 5)
+
+
+@query(
+    "f01_similar_items_all",
+    _KNN.format(where="").replace(
+        "SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label",
+        "SELECT vec_id, embedding FROM embeddings",
+    ),
+)
+def _similar_all(spark, d):
+    """Every vector asks."""
+    vectors = read_table(spark, d, "embeddings")
+    return V.similar_items(vectors.withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "item_id"), 5)
 
 
 @query("f02_similar_allowed", _KNN.format(where="WHERE i.label IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"))

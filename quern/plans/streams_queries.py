@@ -17,7 +17,8 @@ def _events(spark, d):
 def _drain(spark, df, mode):
     """Run until the available input is used up, then read what was written."""
     out = shared_dir(spark, "stream")
-    H.start_batches(df, f"{out}/data", f"{out}/checkpoint", mode).awaitTermination()
+    parts = spark.sparkContext.defaultParallelism
+    H.start_batches(df, f"{out}/data", f"{out}/checkpoint", mode, parts).awaitTermination()
     return H.read_batches(spark, f"{out}/data", df.schema)
 
 
@@ -28,13 +29,13 @@ _STATUS = "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'fai
 @query(
     "h01_stream_task_state",
     f"""
-    SELECT user_id AS task_id, CAST(max(ts) AS VARCHAR) AS ts, arg_max({_STATUS}, ts) AS status, arg_max(event_id, ts) AS event_id
+    SELECT user_id AS task_id, CAST(max(ts) AS VARCHAR) AS ts, last({_STATUS} ORDER BY ts, event_id) AS status, last(event_id ORDER BY ts, event_id) AS event_id
     FROM events GROUP BY 1
     """,
 )
 def _state(spark, d):
     messages = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", F.expr(_STATUS).alias("status"), "event_id")
-    written = _drain(spark, H.stream_task_state(messages), "update")
+    written = _drain(spark, H.stream_task_state(messages, tie=["event_id"]), "update")
     return H.latest_of_batches(written, "task_id").withColumn("ts", F.col("ts").cast("string"))
 
 
@@ -66,9 +67,9 @@ def _stats(spark, d):
     """
     SELECT doc_id, source, n_chars, CAST(updated_at AS VARCHAR) AS updated_at FROM (
       SELECT doc_id, source, n_chars, TIMESTAMP '2023-01-01 00:00:00' AS updated_at FROM documents
-      WHERE doc_id NOT IN (SELECT event_id % 1500 FROM events)
+      WHERE doc_id NOT IN (SELECT event_id // 4 FROM events)
       UNION ALL
-      SELECT event_id % 1500 AS doc_id, arg_max(event_type, ts), CAST(arg_max(floor(value), ts) AS BIGINT), max(ts)
+      SELECT event_id // 4 AS doc_id, last(event_type ORDER BY ts, event_type, floor(value)), CAST(last(floor(value) ORDER BY ts, event_type, floor(value)) AS BIGINT), max(ts)
       FROM events GROUP BY 1)
     """,
 )
@@ -77,11 +78,13 @@ def _sync(spark, d):
     base = read_table(spark, d, "documents").select(
         "doc_id", "source", "n_chars", F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at")
     )
-    changes = _events(spark, d).select(
-        F.expr("event_id % 1500").alias("doc_id"), F.col("event_type").alias("source"),
+    out = shared_dir(spark, "sync")
+    events = read_table(spark, d, "events")
+    events.repartitionByRange(4, F.desc("ts")).write.parquet(f"{out}/changes")  # the newest file first
+    changes = H.read_stream(spark, f"{out}/changes", events.schema, max_files=1).select(
+        F.expr("event_id div 4").alias("doc_id"), F.col("event_type").alias("source"),
         F.floor("value").cast("long").alias("n_chars"), F.col("ts").alias("updated_at"),
     )
-    out = shared_dir(spark, "sync")
     H.start_metadata_sync(changes, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     store = H.synced_documents(base, H.read_batches(spark, f"{out}/data", changes.schema))
     return store.withColumn("updated_at", F.col("updated_at").cast("string"))
@@ -91,9 +94,9 @@ def _sync(spark, d):
     "h04_stream_task_timeout",
     f"""
     SELECT task_id, last_status, CAST(last_seen AS VARCHAR) AS last_seen, messages, 'timeout' AS status FROM (
-      SELECT task_id, session, arg_max(status, ts) AS last_status, max(ts) AS last_seen, count(*) AS messages FROM (
+      SELECT task_id, session, last(status ORDER BY ts, event_id) AS last_status, max(ts) AS last_seen, count(*) AS messages FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
-          SELECT user_id AS task_id, ts, {_STATUS} AS status,
+          SELECT user_id AS task_id, ts, event_id, {_STATUS} AS status,
                  CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS fresh
           FROM events)) GROUP BY 1, 2)
     WHERE last_seen + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
@@ -101,6 +104,6 @@ def _sync(spark, d):
     """,
 )
 def _timeout(spark, d):
-    messages = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", F.expr(_STATUS).alias("status"))
-    written = _drain(spark, H.stream_task_timeout(messages, gap="60 minutes"), "append")
+    messages = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr(_STATUS).alias("status"))
+    written = _drain(spark, H.stream_task_timeout(messages, gap="60 minutes", tie=["event_id"]), "append")
     return written.select("task_id", "last_status", F.col("last_seen").cast("string").alias("last_seen"), "messages", "status")

@@ -51,9 +51,13 @@ VIEWS: dict[str, str] = {
                CASE l_linenumber WHEN 1 THEN 'mask' WHEN 2 THEN 'hash' ELSE 'none' END AS desensitization_type,
                (l_linenumber <> 4) AS is_active
         FROM $lineitem""",
-    # links of the few tables sold at the highest prices: most themes have none
-    "rare_link": """
-        SELECT DISTINCT l_partkey AS table_id, l_suppkey AS theme_id FROM $lineitem WHERE l_extendedprice > 104900""",
+    # every tenth supplier also stands for a theme (and role) without any link
+    "every_theme": """
+        SELECT s_suppkey AS theme_id, s_name AS theme_name FROM $supplier
+        UNION ALL SELECT -1 - s_suppkey AS theme_id, concat('empty ', s_name) AS theme_name FROM $supplier WHERE s_suppkey % 10 = 0""",
+    "every_role": """
+        SELECT s_suppkey AS role_id, concat('role_', lower(s_name)) AS role_code FROM $supplier
+        UNION ALL SELECT -1 - s_suppkey AS role_id, concat('empty_', lower(s_name)) AS role_code FROM $supplier WHERE s_suppkey % 10 = 0""",
     "glossary": """
         SELECT p_partkey AS term_id, p_brand AS term_name, p_name AS term_description,
                CASE WHEN p_partkey % 3 = 0 THEN 'user' ELSE 'admin' END AS term_type,
@@ -65,7 +69,7 @@ VIEWS: dict[str, str] = {
         FROM $customer""",
     "sys_role": """
         SELECT CAST(n_nationkey AS BIGINT) AS role_id, concat('role_', lower(n_name)) AS role_code,
-               (n_nationkey <> 6) AS is_active
+               concat('Role of ', lower(n_name)) AS role_name, (n_nationkey <> 6) AS is_active
         FROM $nation WHERE n_nationkey < 8""",
     "user_role": """
         SELECT c_custkey AS user_id, CAST(c_custkey % 4 AS BIGINT) AS role_id FROM $customer

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
@@ -46,18 +46,33 @@ def local_session(cpus: str = "*", app: str = "quern", **conf: str) -> SparkSess
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh path below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
 
-    Every executor must see it, so on a cluster the setting is required; a
-    temporary folder stands in only for a local master.
+    Driver and executors share both. What is written there goes when the
+    application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quern"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_bytes(spark: SparkSession, path: str, block: bytes) -> None:
+    """Write one file through Spark's own file systems; it goes when the application ends."""
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    out = system.create(target)
+    try:
+        for at in range(0, len(block), 1 << 20):
+            out.write(bytearray(block[at : at + (1 << 20)]))
+    finally:
+        out.close()
 
 
 _SHIPPED: set[str] = set()
@@ -69,9 +84,11 @@ def ship_package(spark: SparkSession) -> None:
     if application in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in root.rglob("*.py"):
-            archive.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.writestr(str(source.relative_to(root.parent)), source.read_bytes())
+    target = f"{shared_dir(spark, 'package')}.zip"
+    write_bytes(spark, target, packed.getvalue())
+    spark.sparkContext.addPyFile(target)
     _SHIPPED.add(application)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
@@ -15,25 +15,34 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def _first(df: DataFrame, max_rows: int | None, order: Sequence[str | Column]) -> DataFrame:
+    if max_rows is not None and not order:
+        raise ValueError("a capped export needs an order that ends in a unique key")
     ordered = df.orderBy(*order) if order else df
     return ordered if max_rows is None else ordered.limit(max_rows)
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, counted while they are written, so that the input is computed once."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("total")), seen
+
+
 def export_csv(
-    df: DataFrame, path: str, max_rows: int | None = fixed.EXPORT_ROWS, order: Sequence[str | Column] = ()
+    df: DataFrame, path: str, max_rows: int | None = None, order: Sequence[str | Column] = ()
 ) -> DataFrame:
-    """Write the first rows as CSV, every cell quoted and quotes doubled; say how many were left out.
+    """Write rows as CSV, every cell quoted and quotes doubled; all of them, unless ``max_rows`` keeps the first of an order.
 
     NULL becomes an empty cell. Returns one row: path, total, exported, truncated.
     """
     texts = [
         F.when(F.col(f.name).isNotNull(), cell_text(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields
     ]
-    _first(df, max_rows, order).select(*texts).write.options(**CSV_OPTIONS, quoteAll="true", emptyValue="").csv(path)
-    total = F.count(F.lit(1))
-    exported = total if max_rows is None else F.least(total, F.lit(max_rows).cast("long"))
-    return df.agg(
-        F.lit(path).alias("path"), total.alias("total"), exported.alias("exported"), (total > exported).alias("truncated")
+    rows, seen = _counted(df)
+    _first(rows, max_rows, order).select(*texts).write.options(**CSV_OPTIONS, quoteAll="true", emptyValue="").csv(path)
+    total = seen.get["total"]
+    exported = total if max_rows is None else min(total, max_rows)
+    return df.sparkSession.createDataFrame(
+        [(path, total, exported, total > exported)], "path string, total long, exported long, truncated boolean"
     )
 
 
@@ -41,11 +50,12 @@ def export_json(
     df: DataFrame, path: str, execution_time_ms: int = 0, order: Sequence[str | Column] = (), max_rows: int | None = None
 ) -> DataFrame:
     """Rows as one JSON object per line below ``rows``; columns and figures in one line below ``metadata``."""
-    _first(df, max_rows, order).write.option("ignoreNullFields", "false").json(f"{path}/rows")
-    about = df.agg(
+    rows, seen = _counted(df)
+    _first(rows, max_rows, order).write.option("ignoreNullFields", "false").json(f"{path}/rows")
+    about = df.sparkSession.range(1).select(
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         F.struct(
-            F.count(F.lit(1)).alias("total_count"),
+            F.lit(seen.get["total"]).cast("long").alias("total_count"),
             F.lit(execution_time_ms).alias("execution_time_ms"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("exported_at"),
         ).alias("metadata"),
@@ -66,10 +76,10 @@ def metadata_of_themes(
 def export_metadata(
     tables: DataFrame, fields: DataFrame, links: DataFrame, theme_ids: Sequence[int], path: str, fmt: str = "csv"
 ) -> None:
-    """Write the metadata of the themes, uncapped, below ``tables`` and ``fields``."""
+    """Write the metadata of the themes, all of it, below ``tables`` and ``fields``."""
     write = {"csv": export_csv, "json": export_json}[fmt]
     for name, frame in zip(("tables", "fields"), metadata_of_themes(tables, fields, links, theme_ids)):
-        write(frame, f"{path}/{name}", max_rows=None)
+        write(frame, f"{path}/{name}")
 
 
 # columns, required columns and value domains of import files

@@ -8,7 +8,8 @@ executor or driver overwrites its own folder and nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,18 @@ BATCH = "batch_id"
 def read_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
     """Parquet files as a stream; ``max_files`` bounds a micro-batch.
 
-    The path may be a folder or one file. A stream takes a single file only by
-    a pattern, so the last letter is written as a class of one.
+    The path may be a folder or one file; a file is streamed as the one of its
+    folder that has its name.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    name = re.sub(r"([\\*?\[\]{}])", r"\\\1", target.getName())
+    return reader.option("pathGlobFilter", name).parquet(target.getParent().toString())
 
 
 def event_time(col: str) -> Column:
@@ -41,10 +47,12 @@ def event_time(col: str) -> Column:
     return F.col(col).cast("timestamp")
 
 
-def stream_task_state(messages: DataFrame, key: str = "task_id", ts: str = "ts") -> DataFrame:
-    """Newest message per task (update mode). Late old messages never replace newer ones."""
+def stream_task_state(
+    messages: DataFrame, key: str = "task_id", ts: str = "ts", tie: Sequence[str] = ()
+) -> DataFrame:
+    """Newest message per task (update mode). Late old messages never replace newer ones; ``tie`` orders one instant."""
     rest = [c for c in messages.columns if c not in (key, ts)]
-    newest = F.max_by(F.struct(*rest), F.struct(ts, *rest)).alias("_m")
+    newest = F.max_by(F.struct(*rest), F.struct(ts, *tie, *[c for c in rest if c not in tie])).alias("_m")
     return messages.groupBy(key).agg(F.max(ts).alias(ts), newest).select(key, ts, "_m.*")
 
 
@@ -66,14 +74,14 @@ def stream_query_stats(
 
 def stream_task_timeout(
     messages: DataFrame, key: str = "task_id", ts: str = "ts", status: str = "status", gap: str = "60 seconds",
-    lateness: str = LATENESS,
+    lateness: str = LATENESS, tie: Sequence[str] = (),
 ) -> DataFrame:
     """Tasks silent for ``gap`` whose last message is not final (append mode: closed sessions)."""
     return (
         messages.withColumn(ts, event_time(ts))
         .withWatermark(ts, lateness)
         .groupBy(key, F.session_window(ts, gap).alias("s"))
-        .agg(F.max_by(status, ts).alias("last_status"), F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("messages"))
+        .agg(F.max_by(status, F.struct(ts, *tie, status)).alias("last_status"), F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("messages"))
         .filter(~F.col("last_status").isin(*fixed.FINAL_STATES))
         .select(key, "last_status", "last_seen", "messages", F.lit("timeout").alias("status"))
     )
@@ -82,16 +90,18 @@ def stream_task_timeout(
 # -- sinks ----------------------------------------------------------------------
 
 
-def _start(df: DataFrame, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def _start(
+    df: DataFrame, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None], partitions: int | None
+) -> StreamingQuery:
     """Start with this job's settings; a query keeps those it was started with.
 
-    State is not coalesced at run time, so its partitions are held to twice the
-    cores at the first start; the checkpoint fixes them from then on.
+    State has ``partitions`` parts, the session's shuffle partitions unless
+    given; the checkpoint fixes them at the first start, so they should suit
+    the largest cluster the job will see.
     """
     spark = df.sparkSession
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     wanted = {
-        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.shuffle.partitions": str(partitions or spark.conf.get("spark.sql.shuffle.partitions")),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
@@ -118,9 +128,9 @@ def _write_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def start_batches(df: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
+def start_batches(df: DataFrame, path: str, checkpoint: str, mode: str, partitions: int | None = None) -> StreamingQuery:
     """Take what is available now and write each micro-batch to a folder of its own."""
-    return _start(df, checkpoint, mode, _write_batches(path))
+    return _start(df, checkpoint, mode, _write_batches(path), partitions)
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -129,10 +139,11 @@ def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(full).option("basePath", path).parquet(path)
 
 
-def latest_of_batches(written: DataFrame, key: str) -> DataFrame:
-    """Of rows written more than once the one of the newest batch; update mode writes a key once per batch."""
+def latest_of_batches(written: DataFrame, key: str, ts: str | None = None) -> DataFrame:
+    """Of rows written more than once the newest by ``ts``, then by batch; without ``ts`` that of the newest batch."""
     rest = [c for c in written.columns if c not in (key, BATCH)]
-    return written.groupBy(key).agg(F.max_by(F.struct(*rest), BATCH).alias("_m")).select(key, "_m.*")
+    order = F.struct(*([ts] if ts else []), BATCH, *[c for c in rest if c != ts])
+    return written.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_m")).select(key, "_m.*")
 
 
 def start_metadata_sync(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", ts: str = "updated_at") -> StreamingQuery:
@@ -150,9 +161,15 @@ def start_metadata_sync(changes: DataFrame, path: str, checkpoint: str, key: str
         )
         newest.select(key, ts, "_m.*").write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
-    return _start(changes, checkpoint, "append", write)
+    return _start(changes, checkpoint, "append", write, None)
+
+
+def synced_documents(base: DataFrame, written: DataFrame, key: str = "doc_id", ts: str = "updated_at") -> DataFrame:
+    """The store after the sync: the newest version by time replaces the base row, in whatever order changes came."""
+    return replace_documents(base, latest_of_batches(written, key, ts).select(*base.columns), key)
 
 
-def synced_documents(base: DataFrame, written: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The store after the sync: newest applied versions replace the base rows by id."""
-    return replace_documents(base, latest_of_batches(written, key).select(*base.columns), key)
+def compact(base: DataFrame, written: DataFrame, path: str, key: str = "doc_id", ts: str = "updated_at") -> DataFrame:
+    """Write the store with the log worked in; it is the next base, and the log's batches up to now may go."""
+    synced_documents(base, written, key, ts).write.parquet(path)
+    return base.sparkSession.read.schema(base.schema).parquet(path)

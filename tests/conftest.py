@@ -4,8 +4,9 @@ from quern.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", "quern-tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session("8", "quern-tests", **{"spark.checkpoint.dir": f"file://{shared}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

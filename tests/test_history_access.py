@@ -104,11 +104,11 @@ def test_cardinality_kinds(spark):
 
 def test_profile_counts(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, None), (2, "bcd", None)], "n int, s string, e double")
-    exact = {r.column_name: (r.row_count, r.distinct_count, r.null_count, r.min_value, r.max_value, r.max_length, r.is_numeric) for r in C.profile_columns(df).collect()}
+    exact = {r.column_name: (r.row_count, r.distinct_count, r.null_count, r.min_value, r.max_value, r.max_length, r.is_numeric) for r in C.profile_columns(df, exact=df.columns).collect()}
     assert exact == {"n": (3, 2, 0, "1", "2", None, True), "s": (3, 2, 1, "a", "bcd", 3, False), "e": (3, 0, 3, None, None, None, True)}
     empty = C.profile_columns(df.limit(0)).collect()
     assert [(r.row_count, r.distinct_count) for r in empty] == [(0, 0)] * 3
-    many = C.profile_columns(spark.range(20_000), approximate=True).first()
+    many = C.profile_columns(spark.range(20_000)).first()
     assert abs(many.distinct_count - 20_000) < 2_000 and many.row_count == 20_000
 
 
@@ -120,13 +120,22 @@ def test_approximate_daily_users(spark):
 
 
 def test_permission_wildcards(spark):
-    sets = spark.createDataFrame(
-        [(1, False, ["a:b:c"]), (2, False, ["a:*"]), (3, False, ["a:b:*"]), (4, False, ["*"]), (5, True, []), (6, False, []), (7, False, ["b:*"])],
-        "user_id int, is_superuser boolean, permissions array<string>",
-    )
-    assert {r.user_id for r in A.check_permissions(sets, ["a:b:c"]).collect() if r.allowed} == {1, 2, 3, 4, 5}
-    assert {r.user_id for r in A.check_permissions(sets, ["a:b:c", "b:x"]).collect() if r.allowed} == {4, 5}
-    assert A.check_permissions(sets, []).filter("allowed").count() == 7
+    held = {1: ["a:b:c"], 2: ["a:*"], 3: ["a:b:*"], 4: ["*"], 5: [], 6: [], 7: ["b:*"], 8: ["a:b:c", "b:*"]}
+    users = spark.createDataFrame([(u, u == 5, True) for u in held], "user_id int, is_superuser boolean, is_active boolean")
+    codes = sorted({c for cs in held.values() for c in cs})
+    permissions = spark.createDataFrame(list(enumerate(codes)), "permission_id int, permission_code string")
+    links = [(u, codes.index(c)) for u, cs in held.items() for c in cs]
+    user_role = spark.createDataFrame([(u, 100 * u + p) for u, p in links], "user_id int, role_id int")
+    role_permission = spark.createDataFrame([(100 * u + p, p) for u, p in links], "role_id int, permission_id int")
+
+    def allowed(required):
+        out = A.check_permissions(users, user_role, role_permission, permissions, required)
+        assert "collect_" not in out._jdf.queryExecution().executedPlan().toString()
+        return {r.user_id for r in out.collect() if r.allowed}
+
+    assert allowed(["a:b:c"]) == {1, 2, 3, 4, 5, 8}
+    assert allowed(["a:b:c", "b:x"]) == {4, 5, 8}
+    assert allowed([]) == set(held)
 
 
 def test_grants_by_union_and_intersection(spark):

@@ -18,6 +18,7 @@ def skewed(spark):
         .withColumn("k", F.expr("CASE WHEN id % 3 < 2 THEN 7 WHEN id % 30 = 2 THEN NULL ELSE id % 11 END"))
         .withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id % 1999 AS INT))"))
         .withColumn("hour", F.date_trunc("hour", "ts"))
+        .withColumn("none", F.lit(1))
         .withColumn("v", F.expr("IF(id % 13 = 0, NULL, id % 100)"))
         .withColumn("is_source", F.expr("id % 5 = 0"))
     )
@@ -27,23 +28,23 @@ def same(a, b):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 300, 10**6])
-def test_previous_row(skewed, hot_rows):
-    got = S.previous_row(skewed, ["k"], ["hour"], ["ts", "id"], ["v", "id"], hot_rows=hot_rows)
+@pytest.mark.parametrize("bucket", [["hour"], ["none"], ["hour", "ts"], ["ts"]])
+def test_previous_row(skewed, bucket):
+    got = S.previous_row(skewed, ["k"], bucket, ["ts", "id"], ["v", "id"])
     plain = skewed.withColumn("previous", F.lag(F.struct("v", "id")).over(W.partitionBy("k").orderBy("ts", "id")))
     same(got, plain.select(got.columns))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 300, 10**6])
-def test_running_totals(skewed, hot_rows):
-    got = S.running_totals(skewed, ["k"], ["hour"], ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)}, hot_rows=hot_rows)
+@pytest.mark.parametrize("bucket", [["hour"], ["none"], ["hour", "ts"], ["ts"]])
+def test_running_totals(skewed, bucket):
+    got = S.running_totals(skewed, ["k"], bucket, ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)})
     w = W.partitionBy("k").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
     same(got, skewed.withColumns({"s": F.sum("v").over(w), "n": F.sum(F.lit(1)).over(w)}))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 300, 10**6])
-def test_latest_before(skewed, hot_rows):
-    got = S.latest_before(skewed, ["k"], ["hour"], "ts", F.col("is_source"), ["id"], hot_rows=hot_rows)
+@pytest.mark.parametrize("bucket", [["hour"], ["none"], ["hour", "ts"], ["ts"]])
+def test_latest_before(skewed, bucket):
+    got = S.latest_before(skewed, ["k"], bucket, "ts", F.col("is_source"), ["id"])
     rows = [(r.id, r.k, r.ts, r.is_source) for r in skewed.collect()]
     sources = {}
     for i, k, ts, is_source in rows:
@@ -54,6 +55,22 @@ def test_latest_before(skewed, hot_rows):
         assert (None if r.latest is None else (r.latest.ts, r.latest.id)) == best
 
 
+def test_all_rows_at_one_instant(spark):
+    """A group in one bucket of time is cut again along the rest of its order."""
+    rows = spark.range(5000).select("id", F.lit(1).alias("k"), F.lit(7).alias("ts"), (F.col("id") % 10).alias("v"))
+    rows = rows.withColumn("block", F.floor(F.col("id") / 500))
+    w = W.partitionBy("k").orderBy("ts", "id")
+    got = S.running_totals(rows, ["k"], ["ts", "block"], ["ts", "id"], {"s": F.col("v")})
+    same(got, rows.withColumn("s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    got = S.previous_row(rows, ["k"], ["ts", "block"], ["ts", "id"], ["id"])
+    same(got, rows.withColumn("previous", F.when(F.lag("id").over(w).isNotNull(), F.struct(F.lag("id").over(w).alias("id")))))
+
+
+def test_two_scans_and_no_broadcast(skewed):
+    plan = S.running_totals(skewed, ["k"], ["hour"], ["ts", "id"], {"s": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0") == 2 and "Broadcast" not in plan
+
+
 def test_range_join_against_brute_force(spark):
     points = spark.range(500).select(F.col("id"), (F.col("id") * 0.37 - 20).alias("x"))
     ranges = spark.range(40).select(
@@ -74,13 +91,15 @@ def vectors(spark):
     return data, spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(5)
 
 
-@pytest.mark.parametrize("max_broadcast", [4096, 7])
+@pytest.mark.parametrize("questions", [20, 7])
 @pytest.mark.parametrize("k", [1, 5, 400])
-def test_similar_items_against_brute_force(spark, vectors, max_broadcast, k):
+def test_similar_items_against_brute_force(spark, vectors, questions, k, monkeypatch):
+    monkeypatch.setattr(V, "QUESTIONS", questions)
+    monkeypatch.setattr(V, "ITEMS", 64)
     data, items = vectors
     queries = items.filter("item_id < 20").withColumnRenamed("item_id", "query_id")
     got = {}
-    for r in V.similar_items(queries, items, k, max_broadcast=max_broadcast).collect():
+    for r in V.similar_items(queries, items, k).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.similarity))
     norm = np.linalg.norm(data, axis=1, keepdims=True)
     unit = np.divide(data, norm, out=np.zeros_like(data), where=norm > 0)
@@ -104,3 +123,14 @@ def test_keep_all_equals_a_left_join(spark):
     kept = spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "k int")
     other = spark.range(50).select(F.expr("IF(id < 40, 2, CAST(id % 3 AS INT))").alias("k"), F.col("id").alias("v"))
     same(keep_all(kept, other, ["k"]), kept.join(other, "k", "left"))
+
+
+def test_vectors_of_other_width_or_with_nulls_are_set_aside(spark):
+    items = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0, 0.0]), (4, [1.0, None, 0.0, 0.0]), (5, [0.0, 1.0, 0.0, 0.0])],
+        "item_id long, embedding array<double>",
+    )
+    asked = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0]), (8, [1.0, None, 0.0, 0.0])], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.item_id, r.similarity) for r in V.similar_items(asked, items, 5).collect())
+    assert got == [(9, 1, 1, 1.0), (9, 2, 5, 0.0)]
+    assert V.unusable(items).filter("NOT usable").select("item_id").collect() == [(4,)]

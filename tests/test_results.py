@@ -31,12 +31,26 @@ def test_pages_cover_all_rows_once_in_spite_of_ties(spark):
 
 
 @pytest.mark.parametrize("page,size", [(1, 7), (3, 7), (9, 40), (13, 8), (14, 8), (50, 8), (1, 500)])
-def test_far_pages_equal_near_pages(spark, page, size):
+def test_far_pages_equal_near_pages(spark, page, size, monkeypatch):
     df = spark.range(100).select(F.col("id"), F.expr("IF(id % 9 = 0, NULL, id % 4)").alias("tie"))
     order = [F.desc("tie"), "id"]
     near = [r.id for r in R.page(df, order, page, size).collect()]
-    far = [r.id for r in R.page(df, order, page, size, shallow_rows=0).collect()]
+    monkeypatch.setattr(R, "SORTED_ROWS", 5)
+    monkeypatch.setattr(R, "SPLITTERS", 4)
+    far = [r.id for r in R.page(df, order, page, size).collect()]
     assert far == near
+    if near and page > 1:
+        key = df.orderBy(*order).offset((page - 1) * size - 1).limit(1).first()
+        assert [r.id for r in R.page_after(df, order, [key.tie, key.id], size).collect()] == near
+
+
+def test_page_where_one_leading_value_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "SORTED_ROWS", 50)
+    df = spark.range(3000).select("id", F.expr("IF(id % 20 = 0, id, 7)").alias("k"), F.expr("concat('n', id % 7)").alias("name"))
+    order = ["k", F.desc("name"), F.col("id").desc_nulls_last()]
+    for page in (1, 40, 140, 150, 151):
+        want = [r.id for r in df.orderBy(*order).offset((page - 1) * 20).limit(20).collect()]
+        assert [r.id for r in R.page(df, order, page, 20).collect()] == want
 
 
 def test_cap_keeps_a_smaller_limit(spark):
@@ -134,13 +148,38 @@ def test_normalised_statement(spark):
 
 
 @pytest.mark.parametrize(
-    "sql", ["DROP TABLE t", "SELECT 1; DELETE\nFROM t", "INSERT INTO t VALUES (1)", "SET a=b", "", "  ", None, "CACHE TABLE t", "-- x\nSET a=b"]
+    "sql", ["DROP TABLE t", "SELECT 1; DELETE\nFROM t", "INSERT INTO t VALUES (1)", "SET a=b", "", "  ", None, "CACHE TABLE t", "-- x\nSET a=b",
+     "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM (SELECT 1 AS a)", "SELECT reflect('java.lang.System', 'currentTimeMillis')",
+     "SELECT `java_method`('java.util.UUID', 'randomUUID')", "WITH q AS (SELECT max(try_reflect('a', 'b')) x FROM range(2)) SELECT * FROM q",
+     "SELECT * FROM parquet.`/root/x`", "SELECT (SELECT count(*) FROM JSON.`/x`)", "SELECT system.builtin.reflect('a', 'b')",
+     "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(60)) + ", reflect('a', 'b')"]
 )
 def test_run_sql_refuses(spark, sql):
     with pytest.raises(ValueError):
         R.run_sql(spark, sql)
 
 
+def test_run_sql_gives_all_rows(spark):
+    assert R.run_sql(spark, "SELECT id FROM range(2500)").count() == 2500
+    assert R.run_sql(spark, "SELECT 'no reflect here, nor parquet' AS reflect FROM range(1)").count() == 1
+
+
+def test_numbers_as_cells(spark):
+    values = [float("nan"), float("inf"), float("-inf"), 1e19, -1e20, 1e300, 2.0**53, -0.0, 0.005, 1.005, 123456789.125, None, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shown = [r.v for r in R.format_cells(df).collect()]
+    assert shown[:5] == ["NaN", "Infinity", "-Infinity", "1" + "0" * 19, "-1" + "0" * 20]
+    assert shown[5] == "1" + "0" * 300 and shown[6] == "9007199254740992"
+    assert shown[8:] == ["0.01", "1.00", "123456789.13", "-", "0.00"]
+
+
+def test_search_finds_every_digit(spark):
+    df = spark.createDataFrame([(1, 1e-15), (2, 1.25e-7), (3, -3.5e22), (4, 12345678.9)], "id int, v double")
+    found = lambda t: [r.id for r in R.search_rows(df, t).collect()]
+    assert found("0.000000000000001") == [1] and found("0.000000125") == [2]
+    assert found("-35000000000000000000000") == [3] and found("12345678.9") == [4]
+
+
 def test_run_sql_binds_and_caps(spark):
     assert cells(R.run_sql(spark, "-- note\nSELECT id FROM range(10) WHERE id >= :low ;", {"low": 3}, max_rows=2)) == [(3,), (4,)]
     assert cells(R.run_sql(spark, "WITH a AS (SELECT 1 AS created_at) SELECT * FROM a")) == [(1,)]

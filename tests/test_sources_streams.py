@@ -1,5 +1,7 @@
 import json
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,40 @@ def test_metadata_sync_over_many_batches(spark, parts):
     assert rows(got) == rows(expected)
 
 
+def test_metadata_sync_out_of_time_order(spark):
+    """A change that comes later but is older does not win; compacting the log changes nothing."""
+    path, out = shared_dir(spark, "late"), shared_dir(spark, "late-out")
+    schema = "doc_id long, source string, updated_at timestamp_ntz"
+    for day, name in ((3, "c"), (1, "a"), (2, "b")):
+        change = spark.sql(f"SELECT 1L AS doc_id, '{name}' AS source, TIMESTAMP_NTZ'2024-01-0{day} 00:00:00' AS updated_at")
+        change.coalesce(1).write.mode("append").parquet(path)
+        changes = H.read_stream(spark, path, change.schema)
+        H.start_metadata_sync(changes, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    base = spark.createDataFrame([(1, "old", datetime(2020, 1, 1)), (2, "kept", datetime(2020, 1, 1))], schema)
+    log = H.read_batches(spark, f"{out}/data", base.schema)
+    assert log.count() == 3
+    assert {(r.doc_id, r.source) for r in H.synced_documents(base, log).collect()} == {(1, "c"), (2, "kept")}
+    assert {(r.doc_id, r.source) for r in H.compact(base, log, f"{out}/base").collect()} == {(1, "c"), (2, "kept")}
+
+
+def test_capped_export_needs_an_order(spark):
+    with pytest.raises(ValueError):
+        X.export_csv(spark.range(3), shared_dir(spark, "csv"), max_rows=2)
+    whole = X.export_csv(spark.range(30), shared_dir(spark, "csv")).first()
+    assert (whole.total, whole.exported, whole.truncated) == (30, 30, False)
+
+
+def test_a_file_whose_name_holds_pattern_characters(spark, tmp_path):
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/x")
+    part = next(tmp_path.glob("x/part-*.parquet"))
+    odd = tmp_path / "x" / "a[1]{b}.parquet"
+    odd.write_bytes(part.read_bytes())
+    stream = H.read_stream(spark, str(odd), spark.range(1).schema)
+    out = shared_dir(spark, "odd")
+    H.start_batches(stream, f"{out}/data", f"{out}/checkpoint", "append").awaitTermination()
+    assert H.read_batches(spark, f"{out}/data", stream.schema).count() == 7
+
+
 def test_timeouts_over_many_batches(spark, parts):
     path, events = parts
     build = lambda s: H.stream_task_timeout(messages(s), gap="60 minutes")
