@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import encoding, minhash, mixing, pii, quality
 from quern.llm.common import read, staged
 from quern.llm.queries import TOKENIZER_FILE
-from quern.session import prepare
+from quern.session import prepare, ship_package
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder before the next."""
-    docs = read(prepare(spark), sf_dir, "documents")
+    ship_package(prepare(spark))
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import shared_path, staged
+from quern.session import write_bytes
 
 #: Words of the automaton: those seen most often. A bound on a cache, results do not depend on it.
 LEXICON_WORDS = 300_000
@@ -277,25 +278,11 @@ def build_lexicon(docs: DataFrame, text_col: str, path: str, words: int = LEXICO
     entries = {row[0].encode("utf-8", "surrogatepass"): rules.merge(row[0]) for row in often.toLocalIterator()}
     block = pack_lexicon(entries)
     target = shared_path(spark, "lexicon") + f"-{hashlib.sha256(block).hexdigest()[:16]}.fst"
-    _write_bytes(spark, target, block)
+    write_bytes(spark, target, block)
     spark.sparkContext.addFile(target)
     return target.rsplit("/", 1)[1]
 
 
-def _write_bytes(spark: SparkSession, target: str, block: bytes) -> None:
-    """Write a file through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.deleteOnExit(path)
-    out = system.create(path)
-    try:
-        for at in range(0, len(block), 1 << 20):
-            out.write(bytearray(block[at : at + (1 << 20)]))
-    finally:
-        out.close()
-
-
 class _Index(dict):
     """Numbers keys in the order they are first asked for; ``new`` collects them."""
 

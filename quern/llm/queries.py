@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import encoding, html_text, licences, minhash, mixing, pii, quality, sharding, suffixes, vectors
 from quern.llm.common import read
-from quern.session import prepare
+from quern.session import prepare, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,8 @@ TOKENIZER_FILE = "/opt/tokenizers/word_bpe_49k.json"
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), sf_dir)
+            ship_package(prepare(spark))
+            return fn(spark, sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
