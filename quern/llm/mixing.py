@@ -238,7 +238,7 @@ def mix(
     )
     small = items.filter((F.col("weight") * LARGE < F.col("source_size")) | (F.col("weight") <= 0)).alias("i")
     small = small.join(passed_on.alias("p"), F.col("i.source").eqNullSafe(F.col("p.source")), "left")
-    moved = F.col("share") + F.coalesce(F.col("rest") / (F.col("source_size") - F.col("held")), F.lit(0.0))
+    moved = F.col("share") + F.coalesce(F.try_divide("rest", F.col("source_size") - F.col("held")), F.lit(0.0))
     small = small.select(
         "i.source", "id_hash", "weight", F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(MOST_COPIES))).alias("share")
     )

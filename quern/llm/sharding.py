@@ -12,6 +12,7 @@ are then packed into the shards with the smallest capacity that suffices.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
@@ -166,7 +167,29 @@ def into_shards(sizes: Sequence[int], shards: int) -> list[int]:
             low = middle + 1
         else:
             best, high = tried, middle
-    return list(range(alone)) + [alone + b for b in best]
+    return list(range(alone)) + [alone + b for b in levelled(left, best, bins)]
+
+
+def levelled(sizes: Sequence[int], placed: list[int], bins: int) -> list[int]:
+    """Move items from the fullest to the emptiest bin while that narrows the gap between the two."""
+    placed = list(placed)
+    load, inside = [0] * bins, [[] for _ in range(bins)]
+    for item in reversed(range(len(sizes))):  # smallest first, so each bin's list ascends
+        load[placed[item]] += sizes[item]
+        inside[placed[item]].append((sizes[item], item))
+    for _ in range(len(sizes)):
+        full, empty = max(range(bins), key=load.__getitem__), min(range(bins), key=load.__getitem__)
+        gap = load[full] - load[empty]
+        at = bisect.bisect_right(inside[full], (gap // 2, len(sizes))) - 1
+        at = max(at, 0)
+        if not inside[full] or not 0 < inside[full][at][0] < gap:
+            break
+        size, item = inside[full].pop(at)
+        bisect.insort(inside[empty], (size, item))
+        placed[item] = empty
+        load[full] -= size
+        load[empty] += size
+    return placed
 
 
 def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
