@@ -332,3 +332,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = staged(roots.select("cls").join(first, "cls", "left_anti"), "minhash-gone")
     kept = one.join(gone, "cls", "left_anti").select("row.*")
     return kept.unionByName(docs.filter(F.col(text_col).isNull()))
+
+
+def oracle() -> str:
+    """DuckDB SQL for :func:`near_duplicates` of ``documents``: all pairs that share a shingle, compared exactly."""
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS t, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT t, regexp_extract_all(text, '{word}') AS ws FROM t),
+grams AS (
+  SELECT t, g, count(*) AS n FROM (
+    SELECT t, ws[i:i + 4] AS g FROM (SELECT t, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+    UNION ALL SELECT t, ws FROM w WHERE len(ws) BETWEEN 1 AND 4) GROUP BY ALL
+),
+sizes AS (SELECT t, sum(n) AS n FROM grams GROUP BY t),
+common AS (
+  SELECT a.t AS a, b.t AS b, sum(least(a.n, b.n)) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.t = c.a JOIN sizes y ON y.t = c.b
+  WHERE c.n::DOUBLE / (x.n + y.n - c.n) >= {SIMILARITY}
+),
+reach AS (SELECT t AS a, t AS b FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS t, min(b) AS root FROM reach GROUP BY a),
+placed AS (SELECT doc_id, root FROM documents JOIN t USING (text) JOIN roots USING (t)),
+groups AS (SELECT root, min(doc_id) AS group_id, count(*) AS group_size FROM placed GROUP BY root)
+SELECT doc_id, group_id, group_size, doc_id = group_id AS kept FROM placed JOIN groups USING (root)
+UNION ALL SELECT doc_id, doc_id, 1, true FROM documents WHERE text IS NULL
+"""

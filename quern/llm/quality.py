@@ -180,3 +180,31 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = R
     ready = _prepared(docs, text_col, [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(columns)])
     kept = ready.filter(first_failure(ordered, lambda rule: _metrics(rule.needs)).isNull())
     return kept.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def oracle() -> str:
+    """DuckDB SQL for :func:`quality_metrics` of ``documents`` under ``RULES``."""
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{word}+') AS ws FROM d),
+windows AS (SELECT r, i, ws[i:i + 4] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+inside AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, i + unnest([0, 1, 2, 3, 4]) AS p FROM twice) GROUP BY r),
+dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
+         WHERE regexp_matches(l, '{word}') GROUP BY r),
+echo AS (SELECT r, count(*) FILTER (ws[i] = ws[i - 1]) AS n FROM (SELECT r, ws, unnest(range(2, len(ws) + 1)) AS i FROM w) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+         coalesce(inside.n, 0) AS n_repeat_words, coalesce(echo.n, 0) AS n_echoes, len(string_split(text, chr(10))) AS n_lines,
+         len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '[0-9]')) AS n_digits
+  FROM w LEFT JOIN inside USING (r) LEFT JOIN dups USING (r) LEFT JOIN echo USING (r)
+),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 15
+            OR n_upper * 10 > word_chars * 4 OR n_echoes * 10 > n_words * 3 OR n_digits * 10 > word_chars * 7
+            OR n_dup_lines * 10 > n_lines * 5) AS kept
+FROM judged
+"""

@@ -50,7 +50,7 @@ def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(read(spark, sf_dir, "documents"), TOKENIZER_FILE, digests=True)
 
 
-@query("op4_embedding_dedup")
+@query("op4_embedding_dedup", sql=vectors.oracle())
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -78,12 +78,12 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
 
 
-@query("op7_minhash_dedup")
+@query("op7_minhash_dedup", sql=minhash.oracle())
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", sql=quality.oracle())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(read(spark, sf_dir, "documents"))
 
