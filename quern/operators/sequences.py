@@ -84,7 +84,7 @@ def latest_before(
     _, earlier, inside = _windows(keys, bucket)
     rows = df.withColumn("_source", F.when(is_source, F.struct(F.col(ts).alias("ts"), *values)))
     whole = _with_front_rows(rows, keys, bucket, {"_source": F.max("_source")}, {"_source": F.max("_source").over(earlier)})
-    instant = F.unix_micros(F.coalesce(F.col(ts), F.col("_source.ts")).cast("timestamp"))
+    instant = F.unix_micros(F.when(F.col("_real"), F.col(ts)).otherwise(F.col("_source.ts")).cast("timestamp"))
     near = inside.orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
     found = whole.withColumn("_at", instant).withColumn(out, F.max("_source").over(near))
     return _finish(found, [*df.columns, out])
