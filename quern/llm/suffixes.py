@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,10 +163,10 @@ _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa
 
 
 def _send(block: int, keys: np.ndarray, own: np.ndarray, buckets: int, narrow: bool, state: bytes) -> pa.Table:
-    """One row per bucket with the block's distinct ascending keys; the block's state goes to bucket -1."""
+    """One row per bucket with the block's distinct ascending keys, and one without ``own`` that brings the block's state along."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys)] if len(keys) else np.zeros(1, int)
-    rows = {"block": [block], "bucket": [-1], "keys": [state], "own": [b""]}
+    rows = {"block": [block], "bucket": [block % buckets], "keys": [state], "own": [None]}
     kind = "<u4" if narrow else "<u8"
     for a, b in zip(edges[:-1], edges[1:]):
         rows["block"].append(block)
@@ -179,6 +180,11 @@ def _settle(narrow: bool, ties: bool) -> Callable[[pa.Table], pa.Table]:
     """Sort one bucket; every key learns whether it occurs twice (``ties``) or is marked by any block."""
 
     def settle(table: pa.Table) -> pa.Table:
+        states = table.filter(pc.is_null(table.column("own")))
+        states = states.set_column(1, "bucket", pa.array([-1] * states.num_rows, pa.int32()))
+        table = table.filter(pc.is_valid(table.column("own")))
+        if not table.num_rows:
+            return states.cast(_MESSAGE)
         blocks, sent, own = (table.column(c).to_pylist() for c in ("block", "keys", "own"))
         parts = [np.frombuffer(k, "<u4" if narrow else "<u8") for k in sent]
         sizes = [len(p) for p in parts]
@@ -195,10 +201,8 @@ def _settle(narrow: bool, ties: bool) -> Callable[[pa.Table], pa.Table]:
         answer[order] = hit[group]
         cuts = np.cumsum([0, *sizes])
         bits = [np.packbits(answer[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table(
-            {"block": blocks, "bucket": table.column("bucket").to_pylist(), "keys": bits, "own": [b""] * len(bits)},
-            schema=_MESSAGE,
-        )
+        answers = {"block": blocks, "bucket": table.column("bucket").to_pylist(), "keys": bits, "own": [None] * len(bits)}
+        return pa.concat_tables([pa.table(answers, schema=_MESSAGE), states.cast(_MESSAGE)])
 
     return settle
 
@@ -348,10 +352,8 @@ def remove_repeats(
     rounds = Rounds(min_len, buckets)
 
     def settled(sent: DataFrame, narrow: bool, ties: bool) -> DataFrame:
-        """One round: sort each bucket and hand the answers back beside the blocks' states."""
-        sent = staged(sent, "suffix-round")
-        asked = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle(narrow, ties), MESSAGE)
-        return asked.unionByName(sent.filter("bucket < 0"))
+        """One round: sort each bucket and hand the answers back beside the blocks' states. Only these few bits are kept."""
+        return staged(sent.groupBy("bucket").applyInArrow(_settle(narrow, ties), MESSAGE), "suffix-round")
 
     def next_round(answers: DataFrame, step: Callable, schema: str = MESSAGE) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda texts, replies: step(texts, replies), schema)
