@@ -11,7 +11,9 @@ a value with the probability of their weighted Jaccard similarity.
 
 Bands of values propose links, each member to one leader per band. Proposed
 links are checked on the exact weighted similarity: first every text's most
-frequent leader, then the links between what those leave apart.
+frequent leader, then the links between what those leave apart. Last, the other
+members of a band that still lie apart are compared with each other, in tiles
+of two bounded blocks that return one link per text, never pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import staged
 from quern.llm.links import components
+from quern.llm.vectors import local_roots
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,6 +44,10 @@ THROWS = (1, 1, 2, 2, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 8, 8, 32)
 #: Words handled at a time, and words remembered.
 BATCH_WORDS = 800_000
 MEMORY_WORDS = 400_000
+#: Texts of a block of a band's members, and their shingles (a longer text stands alone); shingles compared at a time.
+BLOCK = 256
+BLOCK_UNITS = 2_000_000
+STRIP = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -206,6 +213,45 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def common_units(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Number of units that each of the first ``cut`` sets shares with each of the others; with all others if there are none."""
+    n = len(sets)
+    right = slice(cut, n) if cut < n else slice(0, n)
+    total = np.zeros((cut, n - cut if cut < n else n))
+    _, unit, texts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of_text = np.repeat(np.arange(n), [len(x) for x in sets])
+    shared = texts[unit] > 1
+    unit, of_text = unit[shared], of_text[shared]
+    order = np.argsort(unit, kind="stable")
+    unit, of_text = unit[order], of_text[order]
+    column = np.cumsum(np.r_[False, unit[1:] != unit[:-1]]) if len(unit) else unit
+    ends = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + STRIP, STRIP))
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        has = np.zeros((n, STRIP), np.float32)
+        has[of_text[a:b], column[a:b] - k * STRIP] = 1
+        total += has[:cut] @ has[right].T
+    return total
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Links of the texts of two blocks (or one) to the smallest text each reaches by similar pairs of different roots."""
+    table = table.sort_by([("block", "ascending"), ("cls", "ascending")]).combine_chunks()
+    first, last = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    cut = table.column("block").to_pylist().index(last) if first != last else table.num_rows
+    sets = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    both = common_units(sets, cut)
+    right = slice(cut, None) if first != last else slice(None)
+    score = both / (sizes[:cut, None] + sizes[None, right] - both)
+    i, j = np.nonzero((score >= SIMILARITY) & (root[:cut, None] != root[None, right]))
+    if first != last:
+        j = j + cut
+    some = np.union1d(i, j)
+    cls = table.column("cls")
+    return pa.table({"a": cls.take(pa.array(some)), "b": cls.take(pa.array(local_roots(len(sets), i, j)[some]))})
+
+
 def text_class(text_col: str) -> Column:
     """16 bytes that tell different texts apart."""
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
@@ -224,6 +270,33 @@ def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return scored.filter(F.col("score") >= SIMILARITY).select("a", "b")
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """(band, i, j, block, cls, root): members of bands with several roots, once for each tile of two blocks.
+
+    The members of a root that fills blocks have blocks of their own, which do
+    not meet each other; the other roots of a band are dealt into common ones.
+    """
+    need = lambda n, units: F.ceil(F.greatest(n / F.lit(BLOCK), units / F.lit(BLOCK_UNITS))).cast("long")
+    parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))
+    parts = staged(parts.withColumn("own", need(F.col("n"), F.col("units"))), "minhash-parts")
+    few = lambda c: F.coalesce(F.sum(F.when(F.col("own") == 1, F.col(c))), F.lit(0))
+    bands = parts.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), need(few("n"), few("units")).alias("blocks"))
+    bands = bands.filter("low < high").select("band", "blocks")
+    dealt = members.join(parts.join(bands.hint("merge"), "band").select("band", "root", "own", "blocks").hint("merge"), ["band", "root"])
+    alone = F.when(F.col("own") > 1, F.col("root"))
+    block = F.when(
+        F.col("own") > 1, F.concat_ws(":", F.hex("root"), F.pmod(F.xxhash64("cls"), F.col("own")).cast("string"))
+    ).otherwise(F.pmod(F.xxhash64("root"), F.col("blocks")).cast("string"))
+    dealt = staged(dealt.select("band", "cls", "root", alone.alias("alone"), block.alias("block")), "minhash-dealt")
+    blocks = dealt.select("band", "block", "alone").distinct()
+    i = blocks.select("band", F.col("block").alias("i"), F.col("alone").alias("ai"))
+    j = blocks.select("band", F.col("block").alias("j"), F.col("alone").alias("aj"))
+    tiles = i.join(j, "band").filter("i <= j and (ai is null or aj is null or ai != aj)").select("band", "i", "j")
+    tiles = staged(tiles, "minhash-tiles")
+    sides = tiles.withColumn("block", F.col("i")).unionByName(tiles.filter("i != j").withColumn("block", F.col("j")))
+    return dealt.join(sides, ["band", "block"]).select("band", "i", "j", "block", "cls", "root")
+
+
 def class_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(cls, root) of all text classes that are linked to another one."""
     texts = docs.filter(F.col(text_col).isNotNull()).select(
@@ -241,10 +314,11 @@ def class_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .select("band", F.col("lead").bitwiseXOR(F.col("band")).alias("lead"))
     )
     # leaders grow with the texts: never broadcast, so the plan is the same at every size
+    hits = staged(
+        keys.join(leaders.hint("merge"), "band").filter("key != lead").select("band", "key", "lead"), "minhash-hits"
+    )
     met = staged(
-        keys.join(leaders.hint("merge"), "band")
-        .filter("key != lead")
-        .select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb"))
+        hits.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb"))
         .groupBy("ka", "kb")
         .agg(F.count(F.lit(1)).alias("n")),
         "minhash-pairs",
@@ -282,7 +356,15 @@ def class_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = rest.join(side("a", "ra"), "a", "left").join(side("b", "rb"), "b", "left")
     apart = rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = staged(_verified(apart.select("a", "b"), grams), "minhash-links")
-    return components(links.unionByName(more)).select(F.col("node").alias("cls"), "root")
+    # the other members of a band never met each other; those that the first links leave apart do now
+    known = names.join(grams.select("cls", (F.length("grams") / 8).alias("units")).hint("merge"), "cls")
+    known = known.join(roots.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
+    known = known.select("key", "cls", F.coalesce("root", "cls").alias("root"), "units")
+    members = hits.select("band", "key").distinct().join(known.hint("merge"), "key").select("band", "cls", "root", "units")
+    tiles = _apart(staged(members, "minhash-members")).join(grams.hint("merge"), "cls")
+    across = tiles.groupBy("band", "i", "j").applyInArrow(_tile, "a binary, b binary")
+    links = links.unionByName(more).unionByName(staged(across, "minhash-across"))
+    return components(links).select(F.col("node").alias("cls"), "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

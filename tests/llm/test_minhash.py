@@ -94,6 +94,38 @@ def test_large_near_group(spark):
     assert Counter((r.group_id, r.group_size) for r in got) == {(0, 300): 300, (300, 200): 200}
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 8])
+def test_near_copies_inside_a_family(spark, monkeypatch, block):
+    """Texts on one template at 0.74 are apart; pairs among them at 0.82 are found, whoever leads their bands."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(344)
+    texts = []
+    for _ in range(40):
+        twin = fresh(20)
+        texts += [" ".join(template + twin + fresh(40)) for _ in range(2)]
+    bags = [weights(t) for t in texts[:3]]
+    assert 0.81 < similarity(bags[0], bags[1]) < 0.83 and 0.73 < similarity(bags[0], bags[2]) < 0.75
+    # twenty near copies of one of them fill blocks of their own
+    words = texts[0].split()
+    texts += [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(100, 120)]
+    rows = list(enumerate(texts))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_groups(rows)
+    assert {r.doc_id: r.group_id for r in got} == dict(enumerate(want))
+
+
+def test_common_units():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype("<u8")) for _ in range(9)] + [np.zeros(0, "<u8")]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    other = ~np.eye(len(sets), dtype=bool)  # a text is not compared with itself
+    assert (minhash.common_units(sets, len(sets)) == want)[other].all()
+    assert (minhash.common_units(sets, 4) == want[:4, 4:]).all()
+    assert (minhash.common_units(sets[-1:], 1) == 0).all()
+
+
 def test_empty(no_docs):
     assert minhash.near_duplicates(no_docs).collect() == [] == minhash.keep_one(no_docs).collect()
 
