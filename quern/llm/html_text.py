@@ -35,6 +35,10 @@ BLOCKS = frozenset(
 SKIPPED = frozenset("script style noscript template head title svg math iframe object select textarea button canvas".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What leaves <head> open; svg and math inside which other elements start again; skipped elements that may hold blocks and each other.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+FOREIGN, INSIDE = frozenset(("svg", "math")), frozenset("foreignobject desc annotation-xml".split())
+NESTED = frozenset(("template", "object"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 _TOKEN = re.compile(
@@ -82,12 +86,30 @@ def parse(source: str) -> list[Node]:
         del stack[depth:]
 
     at, size = 0, len(source)
+    seen: dict[str, int] = {}
+
+    def ahead(start: str) -> int:
+        """Where the next such tag starts."""
+        if seen.get(start, -1) < at:
+            found = re.compile(rf"{start}(?=[\s/>])", re.I).search(source, at)
+            seen[start] = size if found is None else found.start()
+        return seen[start]
+
+    def unclosed(tag: str) -> bool:
+        """Whether a block ends an open skipped element: it has no end tag of its own ahead, or never holds blocks."""
+        if tag == "head" or tag in FOREIGN:
+            return True
+        end = ahead(f"</{tag}")
+        return end == size or tag not in NESTED and ahead(f"<{tag}") < end
+
     while at < size:
         m = _TOKEN.match(source, at)
         at = m.end()
         tag = m.group(2)
         if tag is None:
             piece = m.group()
+            if stack[-1][0] == "head" and piece[0] != "<" and piece.strip():
+                close(len(stack) - 1)
             if not skip and not (piece[0] == "<" and len(piece) > 1):
                 run.append(piece)
                 if in_link:
@@ -104,12 +126,22 @@ def parse(source: str) -> list[Node]:
                 if tag not in BLOCKS and stack[depth][0] in BLOCKS:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             run.append(" ")
             continue
         block = tag in BLOCKS
         if block:
             flush()
+            cut = len(stack)
+            for depth in range(len(stack) - 1, 0, -1) if skip else ():
+                open_tag = stack[depth][0]
+                if open_tag in SKIPPED and unclosed(open_tag):
+                    cut = depth
+                elif open_tag in SKIPPED or open_tag in BLOCKS or open_tag in INSIDE:
+                    break
+            close(cut)
             shut = CLOSES.get(tag, ())
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = stack[depth][0]

@@ -54,6 +54,21 @@ def test_markup(model):
         html_text.main_text(page[:cut], model)
 
 
+def test_skipped_elements_without_end_tag():
+    """Texts after an unclosed head, button, select, canvas or svg are read; closed ones stay skipped, blocks inside too."""
+    texts = lambda page: [n.text for n in html_text.parse(page) if n.text is not None]
+    assert texts("<html><head><title>x</title><meta charset=a><body><p>One.<p>Two.</html>") == ["One.", "Two."]
+    assert texts("<head><title>x</title><p>One.") == ["One."] == texts("<head><title>x</title>\n One.") == texts("<head><span>One.")
+    for tag in ("button", "select", "canvas", "svg"):
+        assert texts(f"<body><div><{tag}>Go<p>One.</p><div>Two.</div></div><{tag}>Go</{tag}>Three.") == ["One.", "Two.", "Three."]
+    for tag in ("button", "select", "canvas", "template", "object"):
+        assert texts(f"<body><div><{tag}>Go<p>One.</p><div>Two.</div></{tag}></div>Three.") == ["Three."]
+    assert texts("<body><svg><foreignObject><p>One.</p></foreignObject></svg>Two.") == ["Two."]
+    assert texts("<template><template><p>One.</p></template><p>Two.</p></template>Three.") == ["Three."]
+    for page in ("<button><div>" * 9000, "<div><button>" * 9000 + "</button>", "<template>" * 9000 + "<p>"):
+        texts(page)
+
+
 def test_table(spark, model):
     page = "<body><article><h1>Title of it</h1><p>A text of a few words, long enough.</p></article></body>"
     rows = [(1, "u", page, "old"), (1, "u", page, "old"), (None, None, None, None), (2, "u", "", "x"), (3, "u", page * 400, "x")]
