@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -14,6 +14,9 @@ from quern.session import ship_package
 # questions and items of one score matrix
 QUESTIONS = 512
 ITEMS = 8192
+# rows, and numbers in their vectors, of a block of questions and of a chunk of items
+BLOCK_ROWS = 8192
+BLOCK_NUMBERS = 4_000_000
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -51,6 +54,12 @@ def _ready(df: DataFrame, key: str, vector: str) -> DataFrame:
     return kept.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("width"))
 
 
+def _parts() -> Column:
+    """Number of parts of bounded size that the rows of a width make."""
+    n = F.count(F.lit(1))
+    return F.ceil(F.greatest(n / F.lit(BLOCK_ROWS), n * F.first("width") / F.lit(BLOCK_NUMBERS))).cast("long")
+
+
 def similar_items(
     queries: DataFrame,
     items: DataFrame,
@@ -61,17 +70,28 @@ def similar_items(
 ) -> DataFrame:
     """The k most similar items per query, with similarity and rank.
 
-    Items are dealt into as many chunks as the session has shuffle partitions;
-    each item goes to one chunk and each query to all. A chunk returns k
-    candidates per query, so no pair rows exist. Vectors of different width
-    are never compared, and vectors that :func:`unusable` marks are left out.
+    Questions are dealt into blocks of a bounded size and items into chunks of
+    a bounded size, at least as many as the session has shuffle partitions. Each
+    block meets each chunk in a task of its own, which returns k candidates per
+    question, so no pair rows exist and no task holds a whole side. Vectors of
+    different width are never compared, and vectors that :func:`unusable`
+    marks are left out.
     """
     ship_package(items.sparkSession)
-    chunks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = _ready(items, item_id, vector).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    wanted = _ready(queries, query_id, vector).withColumn("chunk", every)
-    found = wanted.groupBy("chunk", "width").cogroup(stored.groupBy("chunk", "width")).applyInArrow(
+    least = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored, wanted = _ready(items, item_id, vector), _ready(queries, query_id, vector)
+    # one row per width of vectors
+    sizes = F.broadcast(
+        wanted.groupBy("width").agg(_parts().alias("blocks"))
+        .join(stored.groupBy("width").agg(F.greatest(_parts(), F.lit(least).cast("long")).alias("chunks")), "width")
+    )
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    stored = stored.join(sizes, "width").withColumn("chunk", dealt("chunks")).withColumn("block", every("blocks"))
+    wanted = wanted.join(sizes, "width").withColumn("block", dealt("blocks")).withColumn("chunk", every("chunks"))
+    columns = ("id", "vector", "width", "block", "chunk")
+    met = wanted.select(*columns).groupBy("block", "chunk", "width").cogroup(stored.select(*columns).groupBy("block", "chunk", "width"))
+    found = met.applyInArrow(
         lambda asked, given: _search(asked, given, k), "query_id long, item_id long, similarity double"
     )
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")

@@ -109,6 +109,23 @@ def test_similar_items_against_brute_force(spark, vectors, questions, k, monkeyp
         assert [(i, s) for _, i, s in sorted(got[q])] == [(int(i), pytest.approx(score[i])) for i in order]
 
 
+def test_no_task_holds_all_questions_or_items(spark, vectors, monkeypatch):
+    """Every vector asks: blocks of questions meet chunks of items, and all of them give what one of each gives."""
+    _, items = vectors
+    asked = items.withColumnRenamed("item_id", "query_id")
+    want = sorted(map(tuple, V.similar_items(asked, items, 5).collect()))
+    search = V._search
+
+    def limited(asked, given, k):
+        assert asked.num_rows <= 100 and given.num_rows <= 100
+        return search(asked, given, k)
+
+    monkeypatch.setattr(V, "_search", limited)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 50, raising=False)
+    assert sorted(map(tuple, V.similar_items(asked, items, 5).collect())) == want
+    assert len(want) == 300 * 5
+
+
 def test_similar_items_edges(spark, vectors):
     _, items = vectors
     none = items.limit(0).withColumnRenamed("item_id", "query_id")
