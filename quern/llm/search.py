@@ -83,6 +83,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     postings = staged(postings, "search-postings")
+    if postings.isEmpty():  # an observation of no rows holds no figures
+        return Index(postings, 0, 0)
     figures = seen.get
     return Index(postings, int(figures.get("N") or 0), int(figures.get("L") or 0))
 
