@@ -5,10 +5,11 @@ pass over the documents and written to the shared folder; the corpus figures
 N (documents with a term) and L (all their terms) are observed while it is
 written. For every query item:
 
-1. Short lists (df at most ``SHORT_SHARE`` of N) are read term at a time and
-   summed into accumulators per (item, document).
-2. The fiftieth best accumulator is a lower bound ``theta`` of the fiftieth
-   best final score, since no weight is negative.
+1. Short lists (an item's rarest lists, their lengths summing to at most
+   ``SHORT_SHARE`` of N, and at least one) are read term at a time and summed
+   into accumulators per (item, document).
+2. The ``TOP`` best accumulators are scored exactly over all lists; the worst
+   of them is a lower bound ``theta`` of the fiftieth best final score.
 3. Long lists are ordered by their upper bound (weight times the largest term
    factor of the list). The longest prefix whose bounds sum below ``theta``
    is non-essential: a document seen in none of the other lists cannot reach
@@ -52,8 +53,9 @@ TOP = 50
 SHORT_SHARE = 0.01
 #: Postings of one term are dealt into blocks of about this many rows.
 BLOCK_ROWS = 100_000
-#: The query vocabulary is broadcast up to this many terms, joined by shuffle beyond.
+#: Tables of the query side are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_TERMS = 200_000
+BROADCAST_ROWS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -68,34 +70,62 @@ class Index:
     n_terms: int  # L
 
 
+def _postings(batches):
+    """(row, doc_id, n, lead, term, tf) of every document with a term, counted in the task that reads it."""
+    import re
+    from collections import Counter
+
+    import pandas as pd
+
+    term = re.compile(TERM)
+    lower = str.maketrans(UPPER, LOWER)
+    for batch in batches:
+        out = {"row": [], "doc_id": [], "n": [], "lead": [], "term": [], "tf": []}
+        for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
+            found = term.findall(text.translate(lower)) if isinstance(text, str) else []
+            if not found:
+                continue
+            counted = Counter(found)
+            k = len(counted)
+            out["row"] += [row] * k
+            out["doc_id"] += [None if pd.isna(doc_id) else int(doc_id)] * k
+            out["n"] += [len(found)] * k
+            out["lead"] += [True] + [False] * (k - 1)
+            out["term"] += list(counted)
+            out["tf"] += list(counted.values())
+        yield pd.DataFrame(out).astype({"row": "int64", "n": "int64", "tf": "int64", "lead": "bool", "doc_id": "Int64"})
+
+
+POSTINGS = "row long, doc_id long, n long, lead boolean, term string, tf long"
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Postings of every document with a term; N and L are observed while they are written."""
+    """Postings of every document with a term, made where the document is read; N and L are observed meanwhile."""
     seen = Observation("corpus")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
-        terms(F.col(text_col)).alias("t"),
-    ).select("doc_id", "row", "t", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("n"))
-    rows = rows.filter("n > 0").observe(seen, F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"))
-    postings = (
-        rows.select("row", "doc_id", "n", F.explode("t").alias("term"))
-        .groupBy("row", "doc_id", "n", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
     )
-    postings = staged(postings, "search-postings")
+    postings = rows.mapInPandas(_postings, POSTINGS).observe(
+        seen, F.count_if("lead").alias("N"), F.sum(F.when(F.col("lead"), F.col("n"))).alias("L")
+    )
+    postings = staged(postings, "search-postings").drop("lead")
     if postings.isEmpty():  # an observation of no rows holds no figures
         return Index(postings, 0, 0)
     figures = seen.get
     return Index(postings, int(figures.get("N") or 0), int(figures.get("L") or 0))
 
 
+def _join_small(big: DataFrame, small: DataFrame, on: list[str], bound: int) -> DataFrame:
+    """Join with ``small`` broadcast when it has at most ``bound`` rows, by shuffle beyond."""
+    return big.join(F.broadcast(small) if small.count() <= bound else small, on)
+
+
 def rank(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The ``TOP`` best documents with a score above 0 for every item: item_id, rank, doc_id, score."""
     n_docs, n_terms = index.n_docs, max(index.n_terms, 1)
-    post = index.postings
     m = F.expr(f"50 + (50 * n * {n_docs}L) div {n_terms}L")
     factor = F.expr("(1000000000L * tf) div (1000L * tf + 20L * __m)")
-    post = post.withColumn("__m", m).withColumn("f", factor).drop("__m")
+    post = index.postings.withColumn("__m", m).withColumn("f", factor).drop("__m")
 
     asked = staged(
         items.select(
@@ -107,74 +137,79 @@ def rank(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str
     )
     vocab = asked.select("term").distinct()
     stats = (
-        post.join(vocab, "term", "left_semi")
+        _join_small(post, vocab, ["term"], BROADCAST_TERMS)
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.max("f").alias("max_f"))
         .withColumn("w", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * n_docs + 2.0)) / (F.col("df") * 2.0 + 1.0))))
         .withColumn("w", F.col("w").cast("long"))
         .withColumn("bound", F.col("w") * F.col("max_f"))
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(BLOCK_ROWS))).cast("int"))
-        .withColumn("short", F.col("df") <= F.lit(SHORT_SHARE * n_docs))
     )
     stats = staged(stats, "search-terms")
-    n_vocab = stats.count()
-    lists = stats.select("term", "w", "blocks", "short")
-    lists = F.broadcast(lists) if n_vocab <= BROADCAST_TERMS else lists
-    # every posting of a query term, with the block its row falls in
-    hits = post.join(lists, "term").select(
-        "row", "doc_id", "term", "f", "w", "short",
-        F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("blk"),
+    # per item: the rarest lists, up to SHORT_SHARE of N in all and at least one, are short
+    rarest = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.join(stats, "term").withColumn("__upto", F.sum("df").over(rarest))
+    asked = asked.withColumn("__k", F.row_number().over(Window.partitionBy("q").orderBy("df", "term")))
+    asked = staged(
+        asked.withColumn("short", (F.col("__k") == 1) | (F.col("__upto") <= F.lit(SHORT_SHARE * n_docs))).drop("__upto", "__k"),
+        "search-asked",
     )
-    asked = asked.join(stats.select("term", "blocks", "short", "bound"), "term")
-    per_block = asked.select("q", "item_id", "term", "short", "bound", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
 
     def read_lists(which: DataFrame) -> DataFrame:
-        return hits.join(which.select("q", "item_id", "term", "blk"), ["term", "blk"]).select(
-            "q", "item_id", "row", "doc_id", (F.col("w") * F.col("f")).alias("part")
-        )
+        """Partial scores (q, item_id, row, doc_id, part) from whole lists."""
+        which = which.select("q", "item_id", "term", "w", "blocks")
+        if which.count() <= BROADCAST_TERMS:
+            hits = post.join(F.broadcast(which), "term")
+        else:  # lists cut into blocks so that no term lands in one task
+            blocked = which.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+            dealt = post.join(F.broadcast(stats.select("term", "blocks")) if stats.count() <= BROADCAST_TERMS else stats.select("term", "blocks"), "term")
+            dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).drop("blocks")
+            hits = dealt.join(blocked.drop("blocks"), ["term", "blk"])
+        return hits.select("q", "item_id", "row", "doc_id", (F.col("w") * F.col("f")).alias("part"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """(q, row, score) over all terms of the item, for given (q, row)."""
+        wanted = pairs.join(asked.select("q", "term", "w"), "q")
+        found = _join_small(post.select("row", "term", "f"), wanted, ["row", "term"], BROADCAST_ROWS)
+        return found.groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("score"))
 
     # 1. term at a time over the short lists
     acc = staged(
-        read_lists(per_block.filter("short")).groupBy("q", "item_id", "row", "doc_id").agg(F.sum("part").alias("part")),
+        read_lists(asked.filter("short")).groupBy("q", "item_id", "row", "doc_id").agg(F.sum("part").alias("part")),
         "search-acc",
     )
-    # 2. the fiftieth accumulator bounds the fiftieth score from below
+    # 2. the best accumulators, scored exactly, bound the fiftieth score from below
     best = Window.partitionBy("q").orderBy(F.desc("part"), "row")
-    theta = (
-        acc.withColumn("__k", F.row_number().over(best))
-        .filter(F.col("__k") <= TOP)
+    seeds = acc.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= TOP).select("q", "row")
+    theta = staged(
+        exact(staged(seeds, "search-seeds"))
         .groupBy("q")
-        .agg(F.when(F.count(F.lit(1)) >= TOP, F.min("part")).otherwise(F.lit(0)).alias("theta"))
+        .agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).otherwise(F.lit(0)).alias("theta")),
+        "search-theta",
     )
     # 3. long lists by bound; the prefix below theta is only probed
     longs = asked.filter("NOT short").join(theta, "q", "left").fillna(0, ["theta"])
     climb = Window.partitionBy("q").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     longs = longs.withColumn("__upto", F.sum("bound").over(climb)).withColumn("probed", F.col("__upto") < F.col("theta"))
-    longs = staged(longs.select("q", "item_id", "term", "blocks", "bound", "theta", "probed"), "search-long")
-    essential = longs.filter("NOT probed").select(
-        "q", "item_id", "term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")
-    )
-    seen = acc.unionByName(read_lists(essential))
+    longs = staged(longs.drop("__upto"), "search-long")
+    seen = acc.unionByName(read_lists(longs.filter("NOT probed")))
     seen = seen.groupBy("q", "item_id", "row", "doc_id").agg(F.sum("part").alias("part"))
-    left = longs.filter("probed").groupBy("q").agg(F.sum("bound").alias("rest"), F.first("theta").alias("theta"))
-    seen = staged(
-        seen.join(left, "q", "left").select("q", "item_id", "row", "doc_id", "part", F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("theta", F.lit(0)).alias("theta")),
-        "search-seen",
-    )
-    # probe the non-essential lists only for documents that can still reach theta
-    open_ = seen.filter(F.col("part") + F.col("rest") >= F.col("theta")).select("q", "row")
-    probes = open_.join(longs.filter("probed").select("q", "term"), "q")
-    found = probes.join(post.select("row", "term", "f"), ["row", "term"]).join(
-        stats.select("term", "w"), "term"
+    left = longs.filter("probed").groupBy("q").agg(F.sum("bound").alias("rest"))
+    seen = seen.join(theta, "q", "left").join(left, "q", "left").select(
+        "q", "item_id", "row", "doc_id", "part",
+        F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("theta", F.lit(0)).alias("theta"),
     )
+    # 4. only documents whose bound still reaches theta are probed in the other lists
+    open_ = staged(seen.filter(F.col("part") + F.col("rest") >= F.col("theta")).drop("rest", "theta"), "search-open")
+    probes = open_.select("q", "row").join(longs.filter("probed").select("q", "term", "w"), "q")
+    found = _join_small(post.select("row", "term", "f"), probes, ["row", "term"], BROADCAST_ROWS)
     extra = found.groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("extra"))
     scored = (
-        seen.filter(F.col("part") + F.col("rest") >= F.col("theta"))
-        .join(extra, ["q", "row"], "left")
+        open_.join(extra, ["q", "row"], "left")
         .select("q", "item_id", "row", "doc_id", (F.col("part") + F.coalesce("extra", F.lit(0))).cast("long").alias("score"))
         .filter("score > 0")
     )
-    # 4. the best TOP per item; the limit is taken before the shuffle as well
+    # 5. the best TOP per item; the limit is taken before the shuffle as well
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
     return top.select("item_id", F.col("rank").cast("int"), "doc_id", "score")

@@ -47,9 +47,12 @@ def key(rows):
     return sorted(rows, key=lambda r: (r[0], r[1]))
 
 
-@pytest.mark.parametrize("short_share", [0.01, 0.5, 1.0])
-def test_against_brute_force(spark, rows, monkeypatch, short_share):
+@pytest.mark.parametrize("short_share,broadcast", [(0.01, True), (0.5, True), (1.0, True), (0.01, False)])
+def test_against_brute_force(spark, rows, monkeypatch, short_share, broadcast):
     monkeypatch.setattr(search, "SHORT_SHARE", short_share)
+    if not broadcast:  # the shuffle joins and the blocked lists
+        monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+        monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(search, "BLOCK_ROWS", 3)  # many blocks per list
     docs = [(r[0], r[1]) for r in rows]
     texts = [t for _, t in docs if t]
