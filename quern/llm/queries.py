@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, html_text, licences, minhash, mixing, pii, quality, search, sharding, suffixes, vectors
+from quern.llm import encoding, html_text, licences, minhash, mixing, pii, quality, search, sharding, substrings, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare, ship_package
 
@@ -107,3 +107,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_lexical_search", sql=search.oracle())
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_substring_dedup", sql=substrings.oracle())
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_windows(read(spark, sf_dir, "documents"))
