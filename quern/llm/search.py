@@ -1,25 +1,30 @@
 """Operator 11, ranked lexical search: term-at-a-time accumulators inside document-at-a-time skipping.
 
-The index is one table of postings (row, doc_id, n, term, tf), built in one
-pass over the documents and written to the shared folder; the corpus figures
-N (documents with a term) and L (all their terms) are observed while it is
-written. For every query item:
-
-1. Short lists (an item's rarest lists, their lengths summing to at most
-   ``SHORT_SHARE`` of N, and at least one) are read term at a time and summed
-   into accumulators per (item, document).
+The index is a forward index: one row per document with a term, holding its
+terms and their counts, made in the task that reads the document and written
+to the shared folder; the corpus figures N (documents with a term) and L (all
+their terms) are observed while it is written. For every query item:
+
+1. Short lists (the item's rarest lists, their lengths summing to at most
+   ``SHORT_SHARE`` of N) are read term at a time and summed into
+   accumulators per (item, document).
 2. The ``TOP`` best accumulators are scored exactly over all lists; the worst
-   of them is a lower bound ``theta`` of the fiftieth best final score.
+   of them is a lower bound ``theta`` of the fiftieth best final score (no
+   weight is negative).
 3. Long lists are ordered by their upper bound (weight times the largest term
    factor of the list). The longest prefix whose bounds sum below ``theta``
-   is non-essential: a document seen in none of the other lists cannot reach
-   the top. The essential lists are read whole, like one more iterator beside
-   the accumulators; the non-essential lists are only probed, by join, for
-   documents already seen whose bound still reaches ``theta``.
-4. Exact scores of the remaining documents give the top ``TOP`` per item.
-
-Lists are cut into blocks of at most about ``BLOCK_ROWS`` postings by a hash
-of the row, so that a term as common as "the" never lands in one task.
+   is non-essential: a document in none of the other lists and without an
+   accumulator cannot reach the top.
+4. Document at a time: each task walks its block of the forward index with
+   the accumulators of each document riding beside it as one more iterator.
+   A document is a candidate for an item if it has an accumulator or an
+   essential term; candidates are scored exactly over all long lists (numpy,
+   per Arrow batch), all others are skipped. A task sends on only its best
+   ``TOP`` per item, and a last ranking over those picks the result.
+
+The query side (items and their terms) is what the driver plans with, one
+pass of at most ``ITEMS_PER_PASS`` items at a time; tables of it are
+broadcast only under a counted bound, joined by shuffle beyond.
 
 Scoring (fixed by the contract): terms are maximal runs of
 ``[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]`` with only A-Z lower-cased;
@@ -51,11 +56,11 @@ TOP = 50
 
 #: A list is short when it holds at most this share of all documents.
 SHORT_SHARE = 0.01
-#: Postings of one term are dealt into blocks of about this many rows.
-BLOCK_ROWS = 100_000
 #: Tables of the query side are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_TERMS = 200_000
 BROADCAST_ROWS = 2_000_000
+#: Items scored in one pass over the forward index; more items take more passes.
+ITEMS_PER_PASS = 500
 
 
 def terms(text: Column) -> Column:
@@ -65,13 +70,13 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # row, doc_id, n, term, tf
+    forward: DataFrame  # row, doc_id, n, terms, tfs
     n_docs: int  # N
     n_terms: int  # L
 
 
-def _postings(batches):
-    """(row, doc_id, n, lead, term, tf) of every document with a term, counted in the task that reads it."""
+def _forward(batches):
+    """(row, doc_id, n, terms, tfs) of every document with a term, counted in the task that reads it."""
     import re
     from collections import Counter
 
@@ -80,139 +85,210 @@ def _postings(batches):
     term = re.compile(TERM)
     lower = str.maketrans(UPPER, LOWER)
     for batch in batches:
-        out = {"row": [], "doc_id": [], "n": [], "lead": [], "term": [], "tf": []}
+        out = {"row": [], "doc_id": [], "n": [], "terms": [], "tfs": []}
         for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
             found = term.findall(text.translate(lower)) if isinstance(text, str) else []
             if not found:
                 continue
             counted = Counter(found)
-            k = len(counted)
-            out["row"] += [row] * k
-            out["doc_id"] += [None if pd.isna(doc_id) else int(doc_id)] * k
-            out["n"] += [len(found)] * k
-            out["lead"] += [True] + [False] * (k - 1)
-            out["term"] += list(counted)
-            out["tf"] += list(counted.values())
-        yield pd.DataFrame(out).astype({"row": "int64", "n": "int64", "tf": "int64", "lead": "bool", "doc_id": "Int64"})
+            out["row"].append(row)
+            out["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
+            out["n"].append(len(found))
+            out["terms"].append(list(counted))
+            out["tfs"].append(list(counted.values()))
+        yield pd.DataFrame(out).astype({"row": "int64", "n": "int64", "doc_id": "Int64"})
 
 
-POSTINGS = "row long, doc_id long, n long, lead boolean, term string, tf long"
+FORWARD = "row long, doc_id long, n long, terms array<string>, tfs array<long>"
+TOPS = "q long, row long, doc_id long, score long"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Postings of every document with a term, made where the document is read; N and L are observed meanwhile."""
+    """One row of (term, tf) lists per document with a term, in the task that reads it; N and L observed meanwhile."""
     seen = Observation("corpus")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
     )
-    postings = rows.mapInPandas(_postings, POSTINGS).observe(
-        seen, F.count_if("lead").alias("N"), F.sum(F.when(F.col("lead"), F.col("n"))).alias("L")
-    )
-    postings = staged(postings, "search-postings").drop("lead")
-    if postings.isEmpty():  # an observation of no rows holds no figures
-        return Index(postings, 0, 0)
+    forward = rows.mapInPandas(_forward, FORWARD).observe(seen, F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"))
+    forward = staged(forward, "search-forward")
+    if forward.isEmpty():  # an observation of no rows holds no figures
+        return Index(forward, 0, 0)
     figures = seen.get
-    return Index(postings, int(figures.get("N") or 0), int(figures.get("L") or 0))
+    return Index(forward, int(figures.get("N") or 0), int(figures.get("L") or 0))
+
+
+def _maybe_broadcast(small: DataFrame, bound: int) -> DataFrame:
+    """``small`` marked for broadcast when it has at most ``bound`` rows; joined by shuffle beyond."""
+    return F.broadcast(small) if small.count() <= bound else small
+
 
+def _factor(tf, n, n_docs: int, n_terms: int):
+    """The term factor ``(10^9 tf) div (1000 tf + 20 m)`` on int64 arrays."""
+    m = 50 + (50 * n * n_docs) // n_terms
+    return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], bound: int) -> DataFrame:
-    """Join with ``small`` broadcast when it has at most ``bound`` rows, by shuffle beyond."""
-    return big.join(F.broadcast(small) if small.count() <= bound else small, on)
+
+def _daat(plan: dict):
+    """Document at a time over blocks of the forward index, accumulators as one more iterator per document.
+
+    ``plan`` holds, per item of the pass, its long terms with weights, which of
+    them are essential, and its threshold. A document is a candidate for an
+    item if it has an accumulator or an essential term of it; only candidates
+    are scored, exactly, over all long terms. Each task keeps its best ``TOP``
+    per item and sends nothing else.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        qs, term_id = plan["qs"], plan["term_id"]
+        pair_q, pair_t, pair_w, pair_e = (np.asarray(plan[k]) for k in ("pair_q", "pair_t", "pair_w", "pair_e"))
+        theta = np.asarray(plan["theta"], dtype=np.int64)
+        order = np.argsort(pair_t, kind="stable")
+        pair_q, pair_t, pair_w, pair_e = pair_q[order], pair_t[order], pair_w[order], pair_e[order]
+        starts = np.searchsorted(pair_t, np.arange(len(term_id) + 1))
+        n_items = len(qs)
+        best = {k: [] for k in ("q", "row", "doc_id", "score")}
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = batch["row"].to_numpy(np.int64)
+            ids = batch["doc_id"]
+            n_docs = len(batch)
+            # long-term postings of the batch: (document, term id, tf, n)
+            d_idx, t_idx, tfs, ns = [], [], [], []
+            for i, (terms, counts, n) in enumerate(zip(batch["terms"], batch["tfs"], batch["n"])):
+                for t, c in zip(terms, counts):
+                    k = term_id.get(t)
+                    if k is not None:
+                        d_idx.append(i), t_idx.append(k), tfs.append(c), ns.append(n)
+            score = np.zeros((n_docs, n_items), dtype=np.int64)
+            cand = np.zeros((n_docs, n_items), dtype=bool)
+            for i, entries in enumerate(batch["acc"]):
+                if entries is not None:
+                    for e in entries:
+                        score[i, e["q"]] += e["part"]
+                        cand[i, e["q"]] = True
+            if d_idx:
+                d_idx, t_idx = np.asarray(d_idx), np.asarray(t_idx)
+                f = _factor(np.asarray(tfs, dtype=np.int64), np.asarray(ns, dtype=np.int64), plan["N"], plan["L"])
+                reach = starts[t_idx + 1] - starts[t_idx]
+                at = np.repeat(starts[t_idx], reach) + (np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach))
+                dd, ff = np.repeat(d_idx, reach), np.repeat(f, reach)
+                qq, ww, ee = pair_q[at], pair_w[at], pair_e[at]
+                cand[dd[ee], qq[ee]] = True
+                keep = cand[dd, qq]
+                np.add.at(score, (dd[keep], qq[keep]), ww[keep] * ff[keep])
+            hit_d, hit_q = np.nonzero(cand & (score > 0) & (score >= theta[None, :]))
+            for q in np.unique(hit_q):
+                sel = hit_d[hit_q == q]
+                got = score[sel, q]
+                ranked = sorted(
+                    zip(-got, [pd.isna(ids.iloc[i]) for i in sel], [0 if pd.isna(ids.iloc[i]) else int(ids.iloc[i]) for i in sel], rows[sel])
+                )[:TOP]
+                for s, _, _, r in ranked:
+                    best["q"].append(qs[q]), best["row"].append(int(r)), best["score"].append(int(-s))
+                best["doc_id"] += [None if nul else d for _, nul, d, _ in ranked]
+        yield pd.DataFrame(best).astype({"q": "int64", "row": "int64", "score": "int64", "doc_id": "Int64"})
+
+    return run
 
 
 def rank(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The ``TOP`` best documents with a score above 0 for every item: item_id, rank, doc_id, score."""
     n_docs, n_terms = index.n_docs, max(index.n_terms, 1)
+    fwd = index.forward
     m = F.expr(f"50 + (50 * n * {n_docs}L) div {n_terms}L")
     factor = F.expr("(1000000000L * tf) div (1000L * tf + 20L * __m)")
-    post = index.postings.withColumn("__m", m).withColumn("f", factor).drop("__m")
 
-    asked = staged(
+    numbered = staged(
         items.select(
             F.col(id_col).cast("long").alias("item_id"),
             F.monotonically_increasing_id().alias("q"),
             F.array_distinct(terms(F.col(text_col))).alias("t"),
-        ).select("item_id", "q", F.explode("t").alias("term")),
+        ),
         "search-items",
     )
-    vocab = asked.select("term").distinct()
+    asked = numbered.select("q", F.explode("t").alias("term"))
+    vocab = _maybe_broadcast(asked.select("term").distinct(), BROADCAST_TERMS)
+    post = fwd.select("row", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(
+        "row", "doc_id", "n", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")
+    )
+    post = post.join(vocab, "term").withColumn("__m", m).withColumn("f", factor).drop("__m")
     stats = (
-        _join_small(post, vocab, ["term"], BROADCAST_TERMS)
-        .groupBy("term")
+        post.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.max("f").alias("max_f"))
-        .withColumn("w", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * n_docs + 2.0)) / (F.col("df") * 2.0 + 1.0))))
-        .withColumn("w", F.col("w").cast("long"))
+        .withColumn("w", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * n_docs + 2.0)) / (F.col("df") * 2.0 + 1.0))).cast("long"))
         .withColumn("bound", F.col("w") * F.col("max_f"))
-        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(BLOCK_ROWS))).cast("int"))
     )
-    stats = staged(stats, "search-terms")
-    # per item: the rarest lists, up to SHORT_SHARE of N in all and at least one, are short
+    # per item: its rarest lists, their lengths summing to at most SHORT_SHARE of N, are short
     rarest = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     asked = asked.join(stats, "term").withColumn("__upto", F.sum("df").over(rarest))
-    asked = asked.withColumn("__k", F.row_number().over(Window.partitionBy("q").orderBy("df", "term")))
-    asked = staged(
-        asked.withColumn("short", (F.col("__k") == 1) | (F.col("__upto") <= F.lit(SHORT_SHARE * n_docs))).drop("__upto", "__k"),
-        "search-asked",
-    )
-
-    def read_lists(which: DataFrame) -> DataFrame:
-        """Partial scores (q, item_id, row, doc_id, part) from whole lists."""
-        which = which.select("q", "item_id", "term", "w", "blocks")
-        if which.count() <= BROADCAST_TERMS:
-            hits = post.join(F.broadcast(which), "term")
-        else:  # lists cut into blocks so that no term lands in one task
-            blocked = which.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-            dealt = post.join(F.broadcast(stats.select("term", "blocks")) if stats.count() <= BROADCAST_TERMS else stats.select("term", "blocks"), "term")
-            dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).drop("blocks")
-            hits = dealt.join(blocked.drop("blocks"), ["term", "blk"])
-        return hits.select("q", "item_id", "row", "doc_id", (F.col("w") * F.col("f")).alias("part"))
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        """(q, row, score) over all terms of the item, for given (q, row)."""
-        wanted = pairs.join(asked.select("q", "term", "w"), "q")
-        found = _join_small(post.select("row", "term", "f"), wanted, ["row", "term"], BROADCAST_ROWS)
-        return found.groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("score"))
+    asked = staged(asked.withColumn("short", F.col("__upto") <= F.lit(SHORT_SHARE * n_docs)).drop("__upto"), "search-asked")
 
     # 1. term at a time over the short lists
+    short = _maybe_broadcast(asked.filter("short").select("q", "term", "w"), BROADCAST_TERMS)
     acc = staged(
-        read_lists(asked.filter("short")).groupBy("q", "item_id", "row", "doc_id").agg(F.sum("part").alias("part")),
+        post.join(short, "term").groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("part")),
         "search-acc",
     )
-    # 2. the best accumulators, scored exactly, bound the fiftieth score from below
+    # 2. the best accumulators, scored exactly over all lists, bound the fiftieth score from below
     best = Window.partitionBy("q").orderBy(F.desc("part"), "row")
     seeds = acc.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= TOP).select("q", "row")
+    seeds = _maybe_broadcast(staged(seeds, "search-seeds"), BROADCAST_ROWS)
+    exact = post.join(seeds, "row").join(asked.select("q", "term", "w"), ["q", "term"])
     theta = staged(
-        exact(staged(seeds, "search-seeds"))
-        .groupBy("q")
-        .agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).otherwise(F.lit(0)).alias("theta")),
+        exact.groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("score"))
+        .groupBy("q").agg(F.when(F.count(F.lit(1)) >= TOP, F.min("score")).otherwise(F.lit(0)).alias("theta")),
         "search-theta",
     )
-    # 3. long lists by bound; the prefix below theta is only probed
+    # 3. long lists by bound; the prefix whose bounds sum below theta is not essential
     longs = asked.filter("NOT short").join(theta, "q", "left").fillna(0, ["theta"])
     climb = Window.partitionBy("q").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    longs = longs.withColumn("__upto", F.sum("bound").over(climb)).withColumn("probed", F.col("__upto") < F.col("theta"))
-    longs = staged(longs.drop("__upto"), "search-long")
-    seen = acc.unionByName(read_lists(longs.filter("NOT probed")))
-    seen = seen.groupBy("q", "item_id", "row", "doc_id").agg(F.sum("part").alias("part"))
-    left = longs.filter("probed").groupBy("q").agg(F.sum("bound").alias("rest"))
-    seen = seen.join(theta, "q", "left").join(left, "q", "left").select(
-        "q", "item_id", "row", "doc_id", "part",
-        F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("theta", F.lit(0)).alias("theta"),
-    )
-    # 4. only documents whose bound still reaches theta are probed in the other lists
-    open_ = staged(seen.filter(F.col("part") + F.col("rest") >= F.col("theta")).drop("rest", "theta"), "search-open")
-    probes = open_.select("q", "row").join(longs.filter("probed").select("q", "term", "w"), "q")
-    found = _join_small(post.select("row", "term", "f"), probes, ["row", "term"], BROADCAST_ROWS)
-    extra = found.groupBy("q", "row").agg(F.sum(F.col("w") * F.col("f")).alias("extra"))
-    scored = (
-        open_.join(extra, ["q", "row"], "left")
-        .select("q", "item_id", "row", "doc_id", (F.col("part") + F.coalesce("extra", F.lit(0))).cast("long").alias("score"))
-        .filter("score > 0")
-    )
+    longs = longs.withColumn("essential", F.sum("bound").over(climb) >= F.col("theta"))
+    longs = staged(longs.select("q", "term", "w", "essential"), "search-long")
+    # 4. document at a time, the accumulators of a document riding with it
+    per_doc = acc.groupBy("row").agg(F.collect_list(F.struct("q", "part")).alias("acc"))
+    rows = fwd.join(_maybe_broadcast(per_doc, BROADCAST_ROWS), "row", "left")
+    q_ids = sorted(r.q for r in numbered.select("q").collect())  # one number per item
+    tops = None
+    for at in range(0, len(q_ids), ITEMS_PER_PASS):
+        block = q_ids[at : at + ITEMS_PER_PASS]
+        where = {q: k for k, q in enumerate(block)}
+        # the query side of one pass: its items' long terms and thresholds, at most ITEMS_PER_PASS items
+        chosen = longs.filter(F.col("q").isin(block)).collect()
+        thetas = {r.q: r.theta for r in theta.filter(F.col("q").isin(block)).collect()}
+        term_id: dict[str, int] = {}
+        for r in chosen:
+            term_id.setdefault(r.term, len(term_id))
+        plan = {
+            "qs": block,
+            "term_id": term_id,
+            "pair_q": [where[r.q] for r in chosen],
+            "pair_t": [term_id[r.term] for r in chosen],
+            "pair_w": [int(r.w) for r in chosen],
+            "pair_e": [bool(r.essential) for r in chosen],
+            "theta": [int(thetas.get(q, 0)) for q in block],
+            "N": n_docs,
+            "L": n_terms,
+        }
+        local = F.transform("acc", lambda e: F.struct(e["q"].alias("q"), e["part"].alias("part")))
+        mine = rows.withColumn("acc", F.filter(local, lambda e: e["q"].isin(block)) if len(block) < len(q_ids) else F.col("acc"))
+        mine = mine.withColumn("acc", F.transform("acc", lambda e: F.struct(_index_of(e["q"], block).alias("q"), e["part"].alias("part"))))
+        part = mine.mapInPandas(_daat(plan), TOPS)
+        tops = part if tops is None else tops.unionByName(part)
+    if tops is None:  # no items
+        return items.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     # 5. the best TOP per item; the limit is taken before the shuffle as well
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
-    return top.select("item_id", F.col("rank").cast("int"), "doc_id", "score")
+    top = tops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
+    return top.join(numbered.select("q", "item_id"), "q").select("item_id", F.col("rank").cast("int"), "doc_id", "score")
+
+
+def _index_of(q, block: list[int]):
+    """Position of q in the pass's block of items, as a column."""
+    return F.array_position(F.array(*[F.lit(x) for x in block]), q).cast("int") - 1
 
 
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:

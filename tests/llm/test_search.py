@@ -50,10 +50,10 @@ def key(rows):
 @pytest.mark.parametrize("short_share,broadcast", [(0.01, True), (0.5, True), (1.0, True), (0.01, False)])
 def test_against_brute_force(spark, rows, monkeypatch, short_share, broadcast):
     monkeypatch.setattr(search, "SHORT_SHARE", short_share)
-    if not broadcast:  # the shuffle joins and the blocked lists
+    if not broadcast:  # the shuffle joins, and several passes of items
         monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
         monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(search, "BLOCK_ROWS", 3)  # many blocks per list
+        monkeypatch.setattr(search, "ITEMS_PER_PASS", 2)
     docs = [(r[0], r[1]) for r in rows]
     texts = [t for _, t in docs if t]
     items = [(0, texts[0][:200]), (1, texts[10][:300]), (2, None), (3, ""), (4, "Word WORD word"), (5, "écrit λόγος 漢字"), (6, texts[4][:40])]
