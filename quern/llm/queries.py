@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, html_text, licences, minhash, mixing, pii, quality, search, sharding, substrings, suffixes, vectors
+from quern.llm import encoding, html_text, licences, minhash, mixing, phrases, pii, quality, search, sharding, substrings, suffixes, vectors
 from quern.llm.common import read
 from quern.session import prepare, ship_package
 
@@ -112,3 +112,8 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_substring_dedup", sql=substrings.oracle())
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_windows(read(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_mining", sql=phrases.oracle())
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
