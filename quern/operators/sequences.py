@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 Names = Sequence[str]
@@ -105,3 +106,75 @@ def range_join(
     placed = points.withColumn("_cell", F.floor(F.col(point) / width).cast("long"))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
     return placed.alias("p").join(cells.alias("r"), (F.col("p._cell") == F.col("r._cell")) & inside, how).drop("_cell")
+
+
+#: Start rows of one cell that one task of an interval join takes at most.
+CELL_ROWS = 50_000
+
+
+def interval_join(
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], base: float = 1.0
+) -> DataFrame:
+    """Pairs of rows whose intervals overlap: ``l.start < r.end AND r.start < l.end``, each pair once.
+
+    Every interval of positive length gets a level, the smallest ``L`` with
+    ``base * 2^L`` at least its length, and is copied to the at most three
+    cells of that width it touches ("covers"). Of two overlapping intervals,
+    the one with the later start has that start inside the other, so each
+    pair is made in one cell only: the other side's start, placed at every
+    level in use, meets the covers of the interval that started first (left
+    first on equal starts). No interval is copied for its length.
+
+    A cell that many starts fall into (a hot instant, or a cell of a very
+    long interval) is cut into salts of at most ``CELL_ROWS`` starts, and the
+    covers of that cell are copied to each salt; so no cell lands in one task.
+
+    Rows with a null start or end, and intervals whose end does not lie after
+    the start, never cover; a null bound makes the predicate unknown, so such
+    rows meet nothing (as in SQL). Both sides keep all their columns; names
+    they share come out as they would from ``left.join(right)``.
+    """
+    first = _covered_starts(left, right, *left_span, *right_span, base, True)
+    second = _covered_starts(right, left, *right_span, *left_span, base, False)
+    return first.union(second)
+
+
+def _side_names(df: DataFrame, side: str) -> list[Column]:
+    return [F.col(f"{side}.{c}") for c in df.columns]
+
+
+def _covered_starts(
+    cover: DataFrame, start: DataFrame, cs: str, ce: str, ss: str, se: str, base: float, cover_first: bool
+) -> DataFrame:
+    """Pairs whose later start is the ``start`` side's, lying inside a ``cover`` interval."""
+    length = F.col(ce) - F.col(cs)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(base)))).cast("int")
+    covers = cover.filter(F.col(cs).isNotNull() & F.col(ce).isNotNull() & (length > 0)).withColumn("_level", level)
+    levels = sorted(r[0] for r in covers.select("_level").distinct().collect())  # at most some tens of levels
+    order = (cover, "_c", start, "_s") if cover_first else (start, "_s", cover, "_c")
+    if not levels:  # nothing covers: no pairs
+        fields = [*order[0].schema.fields, *order[2].schema.fields]
+        return cover.sparkSession.createDataFrame([], T.StructType(fields))
+    width = F.lit(base) * F.pow(F.lit(2.0), F.col("_level"))
+    covers = covers.withColumn(
+        "_cell", F.explode(F.sequence(F.floor(F.col(cs) / width), F.floor(F.col(ce) / width)))
+    )
+    placed = F.array(*[F.struct(F.lit(v).alias("l"), F.floor(F.col(ss) / (base * 2.0**v)).alias("c")) for v in levels])
+    starts = start.filter(F.col(ss).isNotNull() & F.col(se).isNotNull()).withColumn("_at", F.explode(placed))
+    starts = starts.select("*", F.col("_at.l").alias("_level"), F.col("_at.c").alias("_cell")).drop("_at")
+    starts = starts.withColumn("_row", F.xxhash64(*[F.col(c) for c in start.columns], F.monotonically_increasing_id()))
+    # cells with many starts are cut into salts; covers go to every salt of their cell
+    crowd = starts.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = crowd.filter(F.col("_n") > CELL_ROWS).select("_level", "_cell", F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_salts"))
+    starts = starts.join(crowd, ["_level", "_cell"], "left").withColumn(
+        "_salt", F.pmod(F.col("_row"), F.coalesce("_salts", F.lit(1))).cast("int")
+    )
+    covers = covers.join(crowd, ["_level", "_cell"], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    c, s = covers.alias("_c"), starts.alias("_s")
+    later = (F.col(f"_c.{cs}") <= F.col(f"_s.{ss}")) if cover_first else (F.col(f"_c.{cs}") < F.col(f"_s.{ss}"))
+    overlap = (F.col(f"_s.{ss}") < F.col(f"_c.{ce}")) & (F.col(f"_c.{cs}") < F.col(f"_s.{se}"))
+    on = [F.col(f"_c.{k}") == F.col(f"_s.{k}") for k in ("_level", "_cell", "_salt")]
+    joined = c.join(s, on[0] & on[1] & on[2] & later & overlap)
+    return joined.select(*_side_names(order[0], order[1]), *_side_names(order[2], order[3]))

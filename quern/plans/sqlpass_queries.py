@@ -152,6 +152,32 @@ def _asof(spark, d):
     )
 
 
+_RUN_SPAN = "CAST(floor(value * 60000000) AS BIGINT)"
+
+
+@query(
+    "i06_interval_join",
+    f"""
+    SELECT r.event_id, count(*) AS n_errors, min(x.event_id) AS first_error
+    FROM events r JOIN events x
+      ON r.event_type <> 'error' AND x.event_type = 'error'
+     AND epoch_us(r.ts) < epoch_us(x.ts) + {_RUN_SPAN.replace('value', 'x.value')}
+     AND epoch_us(x.ts) < epoch_us(r.ts) + {_RUN_SPAN.replace('value', 'r.value')}
+    GROUP BY r.event_id
+    """,
+)
+def _interval(spark, d):
+    """Runs (events other than errors, lasting ``value`` minutes) against the error windows that overlap them."""
+    events = read_table(spark, d, "events").select("event_id", "ts", "value", "event_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))  # the session clock is UTC
+    span = lambda: [at.alias("s"), (at + F.expr(_RUN_SPAN)).alias("e")]
+    runs = events.filter("event_type <> 'error'").select("event_id", *span())
+    errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), *span())
+    errors = errors.withColumnsRenamed({"s": "es", "e": "ee"})
+    pairs = S.interval_join(runs, errors, ("s", "e"), ("es", "ee"))
+    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_errors"), F.min("error_id").alias("first_error"))
+
+
 _sql(
     "i07_group_having",
     ("lineitem",),
