@@ -61,6 +61,8 @@ BROADCAST_TERMS = 200_000
 BROADCAST_ROWS = 2_000_000
 #: Items scored in one pass over the forward index; more items take more passes.
 ITEMS_PER_PASS = 500
+#: Documents scored at once inside a task.
+DOCS_PER_STEP = 1000
 
 
 def terms(text: Column) -> Column:
@@ -129,68 +131,79 @@ def _factor(tf, n, n_docs: int, n_terms: int):
 
 
 def _daat(plan: dict):
-    """Document at a time over blocks of the forward index, accumulators as one more iterator per document.
+    """Document at a time over slices of the forward index, accumulators as one more iterator per document.
 
     ``plan`` holds, per item of the pass, its long terms with weights, which of
     them are essential, and its threshold. A document is a candidate for an
     item if it has an accumulator or an essential term of it; only candidates
     are scored, exactly, over all long terms. Each task keeps its best ``TOP``
-    per item and sends nothing else.
+    per item across its slices and sends nothing else. Arrow arrays all the
+    way: no Python object per term.
     """
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        qs, term_id = plan["qs"], plan["term_id"]
+        qs, vocab = plan["qs"], pa.array(plan["terms"], pa.string())
         pair_q, pair_t, pair_w, pair_e = (np.asarray(plan[k]) for k in ("pair_q", "pair_t", "pair_w", "pair_e"))
         theta = np.asarray(plan["theta"], dtype=np.int64)
         order = np.argsort(pair_t, kind="stable")
-        pair_q, pair_t, pair_w, pair_e = pair_q[order], pair_t[order], pair_w[order], pair_e[order]
-        starts = np.searchsorted(pair_t, np.arange(len(term_id) + 1))
+        pair_q, pair_t, pair_w, pair_e = pair_q[order], pair_t[order], pair_w[order].astype(np.int64), pair_e[order].astype(bool)
+        starts = np.searchsorted(pair_t, np.arange(len(vocab) + 1))
         n_items = len(qs)
-        best = {k: [] for k in ("q", "row", "doc_id", "score")}
+        kept = [np.zeros((0, 4), np.int64) for _ in range(n_items)]  # score, null id, id, row
+
+        def flat_of(column):
+            return column.flatten(), np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+
         for batch in batches:
-            if batch.empty:
-                continue
-            rows = batch["row"].to_numpy(np.int64)
-            ids = batch["doc_id"]
-            n_docs = len(batch)
-            # long-term postings of the batch: (document, term id, tf, n)
-            d_idx, t_idx, tfs, ns = [], [], [], []
-            for i, (terms, counts, n) in enumerate(zip(batch["terms"], batch["tfs"], batch["n"])):
-                for t, c in zip(terms, counts):
-                    k = term_id.get(t)
-                    if k is not None:
-                        d_idx.append(i), t_idx.append(k), tfs.append(c), ns.append(n)
-            score = np.zeros((n_docs, n_items), dtype=np.int64)
-            cand = np.zeros((n_docs, n_items), dtype=bool)
-            for i, entries in enumerate(batch["acc"]):
-                if entries is not None:
-                    for e in entries:
-                        score[i, e["q"]] += e["part"]
-                        cand[i, e["q"]] = True
-            if d_idx:
-                d_idx, t_idx = np.asarray(d_idx), np.asarray(t_idx)
-                f = _factor(np.asarray(tfs, dtype=np.int64), np.asarray(ns, dtype=np.int64), plan["N"], plan["L"])
-                reach = starts[t_idx + 1] - starts[t_idx]
-                at = np.repeat(starts[t_idx], reach) + (np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach))
-                dd, ff = np.repeat(d_idx, reach), np.repeat(f, reach)
-                qq, ww, ee = pair_q[at], pair_w[at], pair_e[at]
-                cand[dd[ee], qq[ee]] = True
-                keep = cand[dd, qq]
-                np.add.at(score, (dd[keep], qq[keep]), ww[keep] * ff[keep])
-            hit_d, hit_q = np.nonzero(cand & (score > 0) & (score >= theta[None, :]))
-            for q in np.unique(hit_q):
-                sel = hit_d[hit_q == q]
-                got = score[sel, q]
-                ranked = sorted(
-                    zip(-got, [pd.isna(ids.iloc[i]) for i in sel], [0 if pd.isna(ids.iloc[i]) else int(ids.iloc[i]) for i in sel], rows[sel])
-                )[:TOP]
-                for s, _, _, r in ranked:
-                    best["q"].append(qs[q]), best["row"].append(int(r)), best["score"].append(int(-s))
-                best["doc_id"] += [None if nul else d for _, nul, d, _ in ranked]
-        yield pd.DataFrame(best).astype({"q": "int64", "row": "int64", "score": "int64", "doc_id": "Int64"})
+            for at in range(0, batch.num_rows, DOCS_PER_STEP):
+                piece = batch.slice(at, DOCS_PER_STEP)
+                rows = piece.column("row").to_numpy()
+                ids = piece.column("doc_id")
+                no_id = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = pc.fill_null(ids, 0).to_numpy()
+                ns = piece.column("n").to_numpy()
+                score = np.zeros((piece.num_rows, n_items), dtype=np.int64)
+                cand = np.zeros((piece.num_rows, n_items), dtype=bool)
+                acc, acc_doc = flat_of(piece.column("acc"))
+                if len(acc):
+                    aq, ap = acc.field("q").to_numpy(), acc.field("part").to_numpy()
+                    np.add.at(score, (acc_doc, aq), ap)
+                    cand[acc_doc, aq] = True
+                terms, doc = flat_of(piece.column("terms"))
+                tfs = piece.column("tfs").flatten().to_numpy()
+                tid = pc.fill_null(pc.index_in(terms, value_set=vocab), -1).to_numpy()
+                hit = tid >= 0
+                doc, tid, tfs = doc[hit], tid[hit], tfs[hit]
+                if len(tid):
+                    f = _factor(tfs.astype(np.int64), ns[doc].astype(np.int64), plan["N"], plan["L"])
+                    reach = starts[tid + 1] - starts[tid]
+                    first = np.repeat(starts[tid], reach)
+                    at_pair = first + (np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach))
+                    dd, ff = np.repeat(doc, reach), np.repeat(f, reach)
+                    qq, ww, ee = pair_q[at_pair], pair_w[at_pair], pair_e[at_pair]
+                    cand[dd[ee], qq[ee]] = True
+                    on = cand[dd, qq]
+                    np.add.at(score, (dd[on], qq[on]), ww[on] * ff[on])
+                hit_d, hit_q = np.nonzero(cand & (score > 0) & (score >= theta[None, :]))
+                for q in np.unique(hit_q):
+                    sel = hit_d[hit_q == q]
+                    both = np.concatenate([kept[q], np.stack([score[sel, q], no_id[sel], ids[sel], rows[sel]], axis=1)])
+                    best = np.lexsort((both[:, 3], both[:, 2], both[:, 1], -both[:, 0]))[:TOP]
+                    kept[q] = both[best]
+        out = [(qs[q], r) for q in range(n_items) for r in kept[q]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([q for q, _ in out], pa.int64()),
+                pa.array([int(r[3]) for _, r in out], pa.int64()),
+                pa.array([None if r[1] else int(r[2]) for _, r in out], pa.int64()),
+                pa.array([int(r[0]) for _, r in out], pa.int64()),
+            ],
+            ["q", "row", "doc_id", "score"],
+        )
 
     return run
 
@@ -264,7 +277,7 @@ def rank(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str
             term_id.setdefault(r.term, len(term_id))
         plan = {
             "qs": block,
-            "term_id": term_id,
+            "terms": list(term_id),
             "pair_q": [where[r.q] for r in chosen],
             "pair_t": [term_id[r.term] for r in chosen],
             "pair_w": [int(r.w) for r in chosen],
@@ -276,7 +289,7 @@ def rank(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str
         local = F.transform("acc", lambda e: F.struct(e["q"].alias("q"), e["part"].alias("part")))
         mine = rows.withColumn("acc", F.filter(local, lambda e: e["q"].isin(block)) if len(block) < len(q_ids) else F.col("acc"))
         mine = mine.withColumn("acc", F.transform("acc", lambda e: F.struct(_index_of(e["q"], block).alias("q"), e["part"].alias("part"))))
-        part = mine.mapInPandas(_daat(plan), TOPS)
+        part = mine.select("row", "doc_id", "n", "terms", "tfs", "acc").mapInArrow(_daat(plan), TOPS)
         tops = part if tops is None else tops.unionByName(part)
     if tops is None:  # no items
         return items.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
