@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import retrieval as V
 from quern.plans.registry import query
+from quern.session import shared_dir
 from quern.sources.tables import read_table
 
 # the first vector of every label asks, all vectors answer
@@ -55,6 +56,22 @@ def _similar_all(spark, d):
     return V.similar_items(vectors.withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "item_id"), 5)
 
 
+@query("f01_similar_items_indexed")
+def _similar_indexed(spark, d):
+    """Every vector whose id is divisible by 50 asks the inverted-file index; all vectors are indexed.
+
+    Approximate by design, so no checking SQL: recall against the exact
+    query is tested (at least 0.9).
+    """
+    vectors = read_table(spark, d, "embeddings")
+    items = vectors.withColumnRenamed("vec_id", "item_id")
+    centres = V.fit_centres(items)
+    index = V.build_ivf(items, shared_dir(spark, "ivf"), centres)
+    probes = V.calibrate_probes(items, index, centres, 5)
+    asked = vectors.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    return V.search_ivf(asked, index, centres, 5, probes)
+
+
 @query("f02_similar_allowed", _KNN.format(where="WHERE i.label IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"))
 def _allowed(spark, d):
     asked, items = _sides(spark, d)
