@@ -338,3 +338,53 @@ def query_route(df: DataFrame, question: str, routes: Sequence[tuple[str, str]]
     """Name the query a question goes to; the first key word found decides."""
     hits = [F.when(F.contains(F.col(question), F.lit(word)), F.lit(route)) for word, route in routes]
     return df.withColumn("route", F.coalesce(*hits, F.lit(fixed.ROUTE_OTHER)))
+
+
+# --- text search through a trigram posting index ---
+
+#: Folders of the index by a hash of the gram; a search reads only the folders of its grams.
+GRAM_BUCKETS = 64
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of three code points of a text."""
+    return F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda i: F.substring(text, i, 3))
+    )
+
+
+def build_text_index(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Postings (bucket, gram, key) of every cell's lower-case text as ``search_rows`` reads it.
+
+    Written once to ``path``, partitioned by ``bucket``. Cells shorter than
+    three characters make no gram; every row stays findable by the scan of
+    :func:`indexed_search` for short texts.
+    """
+    cells = [F.lower(cell_text(F.col(f.name), f.dataType)) for f in df.schema.fields]
+    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.char_length(c) >= 3, _grams(c)).otherwise(F.array()) for c in cells])))
+    postings = df.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).distinct()
+    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int"))
+    postings.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def indexed_search(df: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of :func:`search_rows`, found through the posting index.
+
+    The text's grams pick their folders and postings; a row that holds every
+    gram is a candidate, and the literal test of ``search_rows`` on the
+    candidates decides. Texts of fewer than three characters (after lower
+    case) have no gram and are answered by the scan itself.
+    """
+    if not text:
+        return df
+    spark = df.sparkSession
+    lowered = spark.range(1).select(F.lower(F.lit(text)).alias("t")).first()["t"]
+    if len(lowered) < 3:
+        return search_rows(df, text)
+    wanted = sorted({lowered[i : i + 3] for i in range(len(lowered) - 2)})
+    buckets = [r["b"] for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(
+        F.pmod(F.xxhash64("g"), F.lit(GRAM_BUCKETS)).cast("int").alias("b")).distinct().collect()]
+    hits = index.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
+    keys = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select(F.col("key").alias(key))
+    return search_rows(df.join(keys, key, "left_semi"), text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.operators import results as R
 from quern.plans.registry import query
+from quern.session import shared_dir
 from quern.plans.views import view
 from quern.sources.tables import read_table
 
@@ -106,6 +107,22 @@ def _search_rows(spark, d):
     return R.search_rows(read_table(spark, d, "customer"), "MA").select("c_custkey", "c_name")
 
 
+@query(
+    "b05_search_rows_indexed",
+    """
+    SELECT c_custkey, c_name FROM customer
+    WHERE contains(lower(CAST(c_custkey AS VARCHAR)), 'mer#0000001') OR contains(lower(c_name), 'mer#0000001')
+       OR contains(lower(CAST(c_nationkey AS VARCHAR)), 'mer#0000001')
+       OR contains(lower(CAST(c_acctbal AS VARCHAR)), 'mer#0000001') OR contains(lower(c_mktsegment), 'mer#0000001')
+    """,
+)
+def _search_indexed(spark, d):
+    """The search of b05 with a three-character text, through a trigram index of the whole table."""
+    customers = read_table(spark, d, "customer")
+    index = R.build_text_index(customers, "c_custkey", shared_dir(spark, "text-index"))
+    return R.indexed_search(customers, index, "c_custkey", "MER#0000001").select("c_custkey", "c_name")
+
+
 @query(
     "b05_search_rows_numbers",
     """
