@@ -107,3 +107,23 @@ def _timeout(spark, d):
     messages = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr(_STATUS).alias("status"))
     written = _drain(spark, H.stream_task_timeout(messages, gap="60 minutes", tie=["event_id"]), "append")
     return written.select("task_id", "last_status", F.col("last_seen").cast("string").alias("last_seen"), "messages", "status")
+
+
+@query(
+    "h04_stream_task_timers",
+    f"""
+    SELECT task_id, last_status, CAST(last_seen AS VARCHAR) AS last_seen, messages, 'timeout' AS status FROM (
+      SELECT task_id, session, last(status ORDER BY ts, event_id) AS last_status, max(ts) AS last_seen, count(*) AS messages FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
+          SELECT user_id AS task_id, ts, event_id, {_STATUS} AS status,
+                 CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS fresh
+          FROM events)) GROUP BY 1, 2)
+    WHERE last_seen + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+      AND last_status NOT IN ('success', 'failed')
+    """,
+)
+def _timers(spark, d):
+    """h04 by a state machine per task with event-time timers."""
+    messages = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", "event_id", F.expr(_STATUS).alias("status"))
+    written = _drain(spark, H.stream_task_timers(messages, gap_ms=3_600_000), "append")
+    return written.select("task_id", "last_status", F.col("last_seen").cast("string").alias("last_seen"), "messages", "status")

@@ -173,3 +173,84 @@ def compact(base: DataFrame, written: DataFrame, path: str, key: str = "doc_id",
     """Write the store with the log worked in; it is the next base, and the log's batches up to now may go."""
     synced_documents(base, written, key, ts).write.parquet(path)
     return base.sparkSession.read.schema(base.schema).parquet(path)
+
+
+# -- tasks as state machines ---------------------------------------------------------
+
+TIMEOUTS = "task_id long, last_status string, last_seen timestamp, messages long, status string"
+
+
+def _task_lifecycle(gap_ms: int, final: tuple[str, ...]):
+    """A stateful processor: one state per task, closed by an event-time timer ``gap_ms`` after its last message."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+
+    held = StructType(
+        [StructField("last_status", StringType()), StructField("last_seen", TimestampType()),
+         StructField("last_tie", LongType()), StructField("messages", LongType())]
+    )
+
+    def closed(key, state) -> pd.DataFrame:
+        status, seen, _, count = state
+        if status in final:
+            return pd.DataFrame(columns=["task_id", "last_status", "last_seen", "messages", "status"])
+        return pd.DataFrame({"task_id": [key[0]], "last_status": [status], "last_seen": [seen], "messages": [count], "status": ["timeout"]})
+
+    class TaskLifecycle(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("task", held)
+
+        def handleInputRows(self, key, rows, timerValues):
+            state = self.state.get() if self.state.exists() else None
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tie"], kind="stable")
+            for ts, tie, status in zip(batch["ts"], batch["tie"], batch["status"]):
+                ts = pd.Timestamp(ts).to_pydatetime()
+                if state is not None and ts >= state[1] + pd.Timedelta(milliseconds=gap_ms):
+                    yield closed(key, state)  # a message after the gap opens a new session
+                    state = None
+                if state is None:
+                    state = (status, ts, tie, 1)
+                elif (ts, tie) >= (state[1], state[2]):
+                    state = (status, ts, tie, state[3] + 1)
+                else:
+                    state = (state[0], state[1], state[2], state[3] + 1)
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.state.update(state)
+            self.handle.registerTimer(int(pd.Timestamp(state[1]).timestamp() * 1000) + gap_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.state.exists():
+                yield closed(key, self.state.get())
+                self.state.clear()
+
+        def close(self) -> None:
+            pass
+
+    return TaskLifecycle()
+
+
+def stream_task_timers(
+    messages: DataFrame, key: str = "task_id", ts: str = "ts", status: str = "status", gap_ms: int = 60_000,
+    lateness: str = LATENESS, tie: str = "event_id",
+) -> DataFrame:
+    """Timeouts by state machine (append mode): a timer ``gap_ms`` after a task's last message closes it.
+
+    A closed task whose last message (by time, then ``tie``) is not final is
+    emitted as a timeout; its state is cleared either way, so state holds only
+    open tasks. (Spark allows no TTL on event-time state; every state has a
+    timer, so each goes once the watermark passes its gap.)
+    """
+    rows = messages.select(F.col(key).alias("task_id"), event_time(ts).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(status).alias("status"))
+    return (
+        rows.withWatermark("ts", lateness)
+        .groupBy("task_id")
+        .transformWithStateInPandas(
+            statefulProcessor=_task_lifecycle(gap_ms, tuple(fixed.FINAL_STATES)),
+            outputStructType=TIMEOUTS,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
