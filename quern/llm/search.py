@@ -78,27 +78,35 @@ class Index:
 
 
 def _forward(batches):
-    """(row, doc_id, n, terms, tfs) of every document with a term, counted in the task that reads it."""
+    """(row, doc_id, n, terms, tfs) of every document with a term, counted in the task that reads it.
+
+    Slices of ``DOCS_PER_STEP`` documents go out one by one, so a worker holds
+    the terms of one slice at a time.
+    """
     import re
     from collections import Counter
 
-    import pandas as pd
+    import pyarrow as pa
 
     term = re.compile(TERM)
     lower = str.maketrans(UPPER, LOWER)
     for batch in batches:
-        out = {"row": [], "doc_id": [], "n": [], "terms": [], "tfs": []}
-        for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-            found = term.findall(text.translate(lower)) if isinstance(text, str) else []
-            if not found:
-                continue
-            counted = Counter(found)
-            out["row"].append(row)
-            out["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
-            out["n"].append(len(found))
-            out["terms"].append(list(counted))
-            out["tfs"].append(list(counted.values()))
-        yield pd.DataFrame(out).astype({"row": "int64", "n": "int64", "doc_id": "Int64"})
+        for at in range(0, batch.num_rows, DOCS_PER_STEP):
+            piece = batch.slice(at, DOCS_PER_STEP)
+            rows, ids, ns, terms, tfs = [], [], [], [], []
+            for row, doc_id, text in zip(piece.column("row").to_pylist(), piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
+                found = term.findall(text.translate(lower)) if text is not None else []
+                if not found:
+                    continue
+                counted = Counter(found)
+                rows.append(row), ids.append(doc_id), ns.append(len(found))
+                terms.append(list(counted)), tfs.append(list(counted.values()))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
+                     pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "n", "terms", "tfs"],
+                )
 
 
 FORWARD = "row long, doc_id long, n long, terms array<string>, tfs array<long>"
@@ -111,7 +119,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
     )
-    forward = rows.mapInPandas(_forward, FORWARD).observe(seen, F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"))
+    forward = rows.mapInArrow(_forward, FORWARD).observe(seen, F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"))
     forward = staged(forward, "search-forward")
     if forward.isEmpty():  # an observation of no rows holds no figures
         return Index(forward, 0, 0)
