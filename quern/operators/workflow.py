@@ -173,3 +173,34 @@ def validate_questions(df: DataFrame, question: str = "user_question", user: str
         F.when(F.col(user).isNull() | (F.col(user) <= 0), F.lit(fixed.QUESTION_BAD_USER)),
     )
     return df.withColumn("reason", reason)
+
+
+# --- duration percentiles from stored KLL sketches ---
+
+#: Accuracy of a sketch: normalised rank error about 1.65 / k ** 0.96 (1.3 % at 200, 99 % confidence).
+SKETCH_K = 200
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+def duration_sketches(nodes: DataFrame, by: Sequence[str] = ("node_type",), period: str = "start_time", value: str = "duration_ms") -> DataFrame:
+    """One KLL sketch of durations per group and day, built in one scan; store it and merge upward later.
+
+    Null durations are left out of the sketches (their rows still count in
+    ``calls``, not in ``measured``); a group without durations has null percentiles.
+    """
+    day = F.date_trunc("day", F.col(period).cast("timestamp")).alias("day")
+    return nodes.groupBy(*by, day).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.count(value).alias("measured"),
+        F.kll_sketch_agg_bigint(F.col(value).cast("long"), SKETCH_K).alias("sketch"),
+    )
+
+
+def duration_percentiles(sketches: DataFrame, by: Sequence[str] = ("node_type",), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Merged sketches of all days per group: calls, and p50, p95, p99 (or the given quantiles) in ms."""
+    merged = sketches.groupBy(*by).agg(
+        F.sum("calls").alias("calls"), F.sum("measured").alias("measured"), F.kll_merge_agg_bigint("sketch").alias("sketch")
+    )
+    values = F.when(F.col("measured") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.array(*[F.lit(q) for q in quantiles])))
+    names = [f"p{round(q * 100):d}" for q in quantiles]
+    return merged.select(*by, "calls", *[F.get(values, i).alias(n) for i, n in enumerate(names)])

@@ -8,6 +8,7 @@ from quern.functions import fixed
 from quern.operators import workflow as G
 from quern.operators.results import page
 from quern.plans.registry import query
+from quern.session import shared_dir
 from quern.plans.views import view
 from quern.sources.tables import read_table
 
@@ -48,6 +49,19 @@ def _durations(spark, d):
     return G.node_durations(view(spark, d, "node_log"))
 
 
+@query("g02_duration_percentiles")
+def _percentiles(spark, d):
+    """p50, p95 and p99 of durations per node type, from sketches stored per type and day and merged.
+
+    Approximate by design (rank error of a KLL sketch), so no checking SQL:
+    tests hold the ranks of the values against exact ranks.
+    """
+    sketches = G.duration_sketches(view(spark, d, "node_log"))
+    stored = shared_dir(spark, "duration-sketches")
+    sketches.write.parquet(stored)
+    return G.duration_percentiles(spark.read.parquet(stored))
+
+
 @query(
     "g03_task_progress",
     """
