@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from quern.functions import fixed
 from quern.functions.columns import (
@@ -388,3 +389,46 @@ def indexed_search(df: DataFrame, index: DataFrame, key: str, text: str) -> Data
     hits = index.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
     keys = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select(F.col("key").alias(key))
     return search_rows(df.join(keys, key, "left_semi"), text)
+
+
+# --- rolling distinct users ---
+
+#: log2 of the registers of a day's sketch: relative standard error about 1.04 / sqrt(2^12) = 1.6 %.
+SKETCH_BITS = 12
+
+
+def day_sketches(df: DataFrame, ts: str = "ts", user: str = "user_id") -> DataFrame:
+    """One mergeable distinct-count sketch of users per day, from one scan; store it and roll it later."""
+    return df.filter(F.col(user).isNotNull() & F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(
+        F.hll_sketch_agg(F.col(user).cast("long"), SKETCH_BITS).alias("sketch")
+    )
+
+
+def rolling_active_users(sketches: DataFrame, spans: Sequence[int] = (7, 30)) -> DataFrame:
+    """Distinct users of the last 7 and 30 days (or ``spans``) up to every day, by unions of day sketches.
+
+    The window runs over one row per day, so it holds days, never users.
+    Days without activity hold no row; frames are ranges of days, so gaps
+    are counted right.
+    """
+    order = W.orderBy(F.unix_date("day"))
+    out = sketches
+    for n in spans:
+        frame = order.rangeBetween(-(n - 1), 0)
+        out = out.withColumn(f"users_{n}d", F.hll_sketch_estimate(F.hll_union_agg("sketch", True).over(frame)))
+    return out.drop("sketch")
+
+
+def rolling_active_users_exact(df: DataFrame, spans: Sequence[int] = (7, 30), ts: str = "ts", user: str = "user_id") -> DataFrame:
+    """The exact counts: each distinct (user, day) counts for the days it reaches; distinct users per day.
+
+    Only days with activity are reported, as in :func:`rolling_active_users`.
+    """
+    days = df.filter(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(F.col(user).alias("u"), F.to_date(ts).alias("seen")).distinct()
+    active = days.select(F.col("seen").alias("day")).distinct()
+    out = active
+    for n in spans:
+        reach = days.select("u", F.explode(F.sequence(F.col("seen"), F.date_add("seen", n - 1))).alias("day"))
+        counted = reach.groupBy("day").agg(F.count_distinct("u").alias(f"users_{n}d"))
+        out = out.join(counted, "day", "left")
+    return out

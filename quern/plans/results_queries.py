@@ -236,6 +236,30 @@ def _audit_summary(spark, d):
     return R.audit_summary(view(spark, d, "sql_log"), "sql_text", list(_AUDIT_SQL))
 
 
+_ROLLING = """
+    WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS seen FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+    SELECT CAST(a.seen AS VARCHAR) AS day,
+           count(DISTINCT CASE WHEN b.seen > a.seen - 7 THEN b.user_id END) AS users_7d,
+           count(DISTINCT b.user_id) AS users_30d
+    FROM (SELECT DISTINCT seen FROM d) a JOIN d b ON b.seen <= a.seen AND b.seen > a.seen - 30
+    GROUP BY a.seen
+"""
+
+
+@query("b12_rolling_active_users_exact", _ROLLING)
+def _rolling_exact(spark, d):
+    out = R.rolling_active_users_exact(read_table(spark, d, "events"))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+@query("b12_rolling_active_users")
+def _rolling(spark, d):
+    """By day sketches stored once and unioned over 7 and 30 days; within the sketch's error of the exact query."""
+    stored = shared_dir(spark, "day-sketches")
+    R.day_sketches(read_table(spark, d, "events")).write.parquet(stored)
+    return R.rolling_active_users(spark.read.parquet(stored)).withColumn("day", F.col("day").cast("string"))
+
+
 @query(
     "b11_daily_order_stats",
     """
