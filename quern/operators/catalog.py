@@ -384,3 +384,71 @@ def schema_diff(live: DataFrame, recorded: DataFrame) -> DataFrame:
         .when(F.col("live_type") != F.col("recorded_type"), "retyped")
     )
     return both.withColumn("change", change).filter("change IS NOT NULL")
+
+
+# -- frequent values by bounded summaries --------------------------------------------
+
+#: Counters per column that each task keeps; a value outside every summary has at most rows / (COUNTERS + 1).
+COUNTERS = 64
+
+
+def _summaries(counters: int):
+    """Per task and column a Misra-Gries summary (value, lower count) and the column's row count."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: dict[str, dict[str, int]] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in set(table.column("c").to_pylist()):
+                values = table.filter(pc.equal(table.column("c"), name)).column("v")
+                rows[name] = rows.get(name, 0) + len(values)
+                summary = held.setdefault(name, {})
+                for item in pc.value_counts(values).to_pylist():
+                    summary[item["values"]] = summary.get(item["values"], 0) + item["counts"]
+                if len(summary) > counters:  # the merge of summaries: lower all by the (counters + 1)-th count
+                    cut = sorted(summary.values(), reverse=True)[counters]
+                    held[name] = {v: c - cut for v, c in summary.items() if c > cut}
+        out = [(n, v, c) for n, s in held.items() for v, c in s.items()] + [(n, None, -r) for n, r in rows.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())],
+                ["c", "v", "n"],
+            )
+
+    return run
+
+
+def frequent_values(df: DataFrame, n: int = 5, counters: int = COUNTERS) -> DataFrame:
+    """The rows of :func:`sample_values` from one scan with bounded summaries and one exact recount.
+
+    Candidates are the values of any task's summary; their counts are taken
+    again exactly. A value in no summary has at most rows / (counters + 1)
+    rows, so where the n-th recounted value has more, the top n is proven
+    complete; other columns are counted exactly (ties at the bound included).
+    """
+    stacked = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("s")
+    ).select("s.c", "s.v").filter(F.col("v").isNotNull())
+    found = stacked.mapInArrow(_summaries(counters), "c string, v string, n long")
+    found = found.groupBy("c", "v").agg(F.sum("n").alias("n"))
+    totals = found.filter(F.col("v").isNull()).select("c", (-F.col("n")).alias("rows"))
+    candidates = found.filter(F.col("v").isNotNull()).select("c", "v")
+    recount = stacked.join(candidates, ["c", "v"], "left_semi").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("c").orderBy(F.desc("n"), "v")
+    best = recount.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n)
+    nth = best.groupBy("c").agg(F.min("n").alias("nth"), F.count(F.lit(1)).alias("got"))
+    proven = nth.join(totals, "c").filter(
+        (F.col("nth") > F.floor(F.col("rows") / (counters + 1))) & (F.col("got") == n)
+    ).select("c")
+    proven_names = {r.c for r in proven.collect()}  # one name per column
+    rest = [c for c in df.columns if c not in proven_names]
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), F.col("v").alias("value"))))
+    shown = best.join(proven, "c").groupBy("c").agg(ranked.alias("s"))
+    shown = shown.select(F.col("c").alias("column_name"), F.transform("s", lambda x: x["value"]).alias("sample_values"))
+    if rest:
+        shown = shown.unionByName(sample_values(df.select(*[F.col(f"`{c}`") for c in rest]), n))
+    return shown

@@ -388,6 +388,23 @@ def _samples(spark, d):
     out = C.sample_values(read_table(spark, d, "part"), 5)
     return out.select("column_name", _joined("sample_values"))
 
+@query(
+    "d21_sample_values_summaries",
+    """
+    SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM (
+      SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rn FROM (
+        SELECT 'p_name' AS column_name, p_name AS value FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL
+        SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part
+        UNION ALL SELECT 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT 'p_retailprice', CAST(p_retailprice AS VARCHAR) FROM part)
+      GROUP BY 1, 2) WHERE rn <= 5 GROUP BY 1
+    """,
+)
+def _samples_summaries(spark, d):
+    """d21 from one scan with bounded summaries per task and one exact recount of the candidates."""
+    out = C.frequent_values(read_table(spark, d, "part"), 5)
+    return out.select("column_name", _joined("sample_values"))
+
+
 
 _DDL_CASE = "CASE field_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.DDL_TYPES.items()) + f" ELSE '{fixed.DDL_DEFAULT_TYPE}' END"
 
