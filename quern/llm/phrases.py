@@ -27,7 +27,8 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import NGram
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import staged
@@ -42,35 +43,26 @@ MIN_COUNT = 100
 TOP = 2000
 
 
-def _grams(words: Column) -> Column:
-    """Edges (LONGEST words) and piece-end corrections (last 1 to LONGEST - 1 words) of one piece."""
-    size = F.size(words)
-    edges = F.when(
-        size >= LONGEST,
-        F.transform(
-            F.sequence(F.lit(0), size - LONGEST),
-            lambda i: F.struct(F.lit(LONGEST).alias("k"), F.array_join(F.slice(words, i + 1, LONGEST), " ").alias("gram")),
-        ),
-    ).otherwise(F.array())
-    ends = F.when(
-        size >= 1,
-        F.transform(
-            F.sequence(F.lit(1), F.least(size, F.lit(LONGEST - 1))),
-            lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, size - k + 1, k), " ").alias("gram")),
-        ),
-    ).otherwise(F.array())
-    return F.concat(edges.cast("array<struct<k:int,gram:string>>"), ends.cast("array<struct<k:int,gram:string>>"))
-
-
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, gram, f) for every phrase of 1 to LONGEST words, derived level by level from the edges."""
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     pieces = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE)).alias("piece")
     )
-    grams = pieces.select("lang", F.explode(_grams(F.array_remove(F.split("piece", GAP), ""))).alias("g"))
+    pieces = pieces.select("lang", F.array_remove(F.split("piece", GAP), "").alias("words")).filter(F.size("words") > 0)
+    # edges: compiled n-grams of the whole piece; piece ends: plain slices, no lambdas
+    edges = NGram(n=LONGEST, inputCol="words", outputCol="__edges").transform(pieces)
+    edges = edges.select("lang", F.lit(LONGEST).alias("k"), F.explode("__edges").alias("gram"))
+    size = F.size("words")
+    ends = pieces.select(
+        "lang",
+        F.explode(
+            F.array(*[F.when(size >= k, F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", -k, k), " ").alias("gram")))
+                      for k in range(1, LONGEST)])
+        ).alias("e"),
+    ).filter(F.col("e").isNotNull()).select("lang", "e.k", "e.gram")
     counted = staged(
-        grams.groupBy("lang", F.col("g.k").alias("k"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("c")),
+        edges.unionByName(ends).groupBy("lang", "k", "gram").agg(F.count(F.lit(1)).alias("c")),
         "phrases-edges",
     )
     level = counted.filter(F.col("k") == LONGEST).select("lang", "gram", F.col("c").alias("f"))
