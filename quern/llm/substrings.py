@@ -115,10 +115,10 @@ def covered_runs(base: DataFrame) -> DataFrame:
     windows = _windows(base)
     held = windows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     recurring = staged(held.filter("first_doc < last_doc").select("h", "first_doc"), "substr-recurring")
-    # text of each recurring window, from its first holder
+    # the windows of recurring fingerprints, joined once; first holders and routing both come from them
+    held_windows = staged(windows.join(recurring, "h").select("h", "first_doc", "doc_id", "row", "pos"), "substr-held")
     at_first = (
-        windows.join(recurring, "h")
-        .filter(F.col("doc_id") == F.col("first_doc"))
+        held_windows.filter(F.col("doc_id") == F.col("first_doc"))
         .groupBy("h", "first_doc")
         .agg(F.min(F.struct("row", "pos")).alias("at"))
         .select("h", "first_doc", F.col("at.row").alias("row"), F.col("at.pos").alias("pos"))
@@ -135,8 +135,7 @@ def covered_runs(base: DataFrame) -> DataFrame:
     )
     # documents that may lose a word, with the shards that hold such phrases
     needs = (
-        windows.join(recurring, "h")
-        .filter(F.col("doc_id") > F.col("first_doc"))
+        held_windows.filter(F.col("doc_id") > F.col("first_doc"))
         .select("row", "h")
         .join(phrases.select("h", "shard"), "h")
         .select("row", "shard")
