@@ -48,8 +48,8 @@ WINDOW = 13
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: Phrase text per automaton and document text per streaming task.
-SHARD_BYTES = 32 << 20
-BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 RUNS = "row long, starts array<int>, ends array<int>"
 
