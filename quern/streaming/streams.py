@@ -182,6 +182,7 @@ TIMEOUTS = "task_id long, last_status string, last_seen timestamp, messages long
 
 def _task_lifecycle(gap_ms: int, final: tuple[str, ...]):
     """A stateful processor: one state per task, closed by an event-time timer ``gap_ms`` after its last message."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
     from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -191,11 +192,13 @@ def _task_lifecycle(gap_ms: int, final: tuple[str, ...]):
          StructField("last_tie", LongType()), StructField("messages", LongType())]
     )
 
-    def closed(key, state) -> pd.DataFrame:
-        status, seen, _, count = state
-        if status in final:
-            return pd.DataFrame(columns=["task_id", "last_status", "last_seen", "messages", "status"])
-        return pd.DataFrame({"task_id": [key[0]], "last_status": [status], "last_seen": [seen], "messages": [count], "status": ["timeout"]})
+    gap = np.timedelta64(gap_ms, "ms")
+
+    def closed(key, status, seen, count) -> pd.DataFrame:
+        return pd.DataFrame({"task_id": key[0], "last_status": status, "last_seen": seen, "messages": count, "status": "timeout"})
+
+    def due(seen) -> int:
+        return int(pd.Timestamp(seen).timestamp() * 1000) + gap_ms
 
     class TaskLifecycle(StatefulProcessor):
         def init(self, handle) -> None:
@@ -203,28 +206,46 @@ def _task_lifecycle(gap_ms: int, final: tuple[str, ...]):
             self.state = handle.getValueState("task", held)
 
         def handleInputRows(self, key, rows, timerValues):
-            state = self.state.get() if self.state.exists() else None
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tie"], kind="stable")
-            for ts, tie, status in zip(batch["ts"], batch["tie"], batch["status"]):
-                ts = pd.Timestamp(ts).to_pydatetime()
-                if state is not None and ts >= state[1] + pd.Timedelta(milliseconds=gap_ms):
-                    yield closed(key, state)  # a message after the gap opens a new session
-                    state = None
-                if state is None:
-                    state = (status, ts, tie, 1)
-                elif (ts, tie) >= (state[1], state[2]):
-                    state = (status, ts, tie, state[3] + 1)
-                else:
-                    state = (state[0], state[1], state[2], state[3] + 1)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.state.update(state)
-            self.handle.registerTimer(int(pd.Timestamp(state[1]).timestamp() * 1000) + gap_ms)
+            """All sessions of the batch at once: one frame for those closed by a later message, one state for the last."""
+            state = self.state.get()
+            batch = pd.concat(list(rows), ignore_index=True)
+            untimed = int(batch["ts"].isna().sum())  # counted, but never first or last
+            batch = batch[batch["ts"].notna()]
+            ts = batch["ts"].to_numpy().astype("datetime64[us]")
+            tie = batch["tie"].fillna(np.iinfo("int64").min).to_numpy().astype("int64")
+            order = np.lexsort((tie, ts))
+            ts, tie, status = ts[order], tie[order], batch["status"].to_numpy()[order]
+            held_count = 0
+            if state is not None:  # the state goes in front; messages older than its last one only count
+                seen = np.datetime64(state[1], "us")
+                old = int(((ts < seen) | ((ts == seen) & (tie < state[2]))).sum())
+                held_count = state[3] + old - 1
+                ts, tie = np.append(seen, ts[old:]), np.append(state[2], tie[old:])
+                status = np.append(np.array([state[0]], dtype=object), status[old:])
+            if not len(ts):
+                return
+            last = np.append(np.flatnonzero(np.diff(ts) >= gap), len(ts) - 1)  # the last message of each session
+            count = np.diff(np.append(-1, last))
+            count[0] += held_count
+            count[-1] += untimed
+            ended = last[:-1]  # a message after the gap opened a new session
+            silent = ~np.isin(status[ended].astype(str), final)
+            if silent.any():
+                yield closed(key, status[ended][silent], ts[ended][silent], count[:-1][silent])
+            end = last[-1]
+            seen_now = ts[end].item()
+            if state is None or seen_now != state[1]:
+                if state is not None:
+                    self.handle.deleteTimer(due(state[1]))
+                self.handle.registerTimer(due(seen_now))
+            self.state.update((status[end], seen_now, int(tie[end]), int(count[-1])))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.state.exists():
-                yield closed(key, self.state.get())
+            state = self.state.get()
+            if state is not None:
                 self.state.clear()
+                if state[0] not in final:
+                    yield closed(key, [state[0]], [state[1]], [state[3]])
 
         def close(self) -> None:
             pass

@@ -46,3 +46,75 @@ def test_restart_and_drain(spark):
     got = sorted((r.task_id, r.last_status, r.last_seen, r.messages) for r in got)
     assert got == expected(first + second, 30, 10)
     assert all(r.status == "timeout" for r in H.read_batches(spark, out, spark.createDataFrame([], H.TIMEOUTS).schema).collect())
+
+
+class Held:
+    """State and timers of one task in memory."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = tuple(value)
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_one_frame_per_task_and_batch():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [(1, at(k * 20 + rng.randint(0, 19)), k, rng.choice(["running", "success", "queued"])) for k in range(3000)]
+    held = Held()
+    machine = H._task_lifecycle(30 * 60_000, ("success", "failed"))
+    machine.init(held)
+    got, frames = [], 0
+    for part in (rows[:2000], rows[2000:]):
+        rng.shuffle(part)
+        batch = pd.DataFrame(part, columns=["task_id", "ts", "tie", "status"]).drop(columns="task_id")
+        for frame in machine.handleInputRows((1,), iter([batch[:700], batch[700:]]), None):
+            frames += 1
+            got += [(r.task_id, r.last_status, r.last_seen.to_pydatetime(), r.messages) for r in frame.itertuples()]
+    assert frames == 2  # one for every batch, however many sessions closed
+    assert held.calls <= 8 and len(held.timers) == 1
+    for frame in machine.handleExpiredTimer((1,), None, None):
+        got += [(r.task_id, r.last_status, r.last_seen.to_pydatetime(), r.messages) for r in frame.itertuples()]
+    assert held.value is None
+    assert sorted(got, key=lambda r: r[2]) == sorted(expected([*rows, (2, at(90_000), 0, "failed")], 30, 10), key=lambda r: r[2])
+
+
+def test_late_message_only_counts():
+    import pandas as pd
+
+    held = Held()
+    machine = H._task_lifecycle(30 * 60_000, ("success", "failed"))
+    machine.init(held)
+    for part in ([(at(100), 5, "running")], [(at(90), 9, "failed"), (at(100), 4, "failed")], [(at(100), 5, "waiting"), (at(101), 1, "queued")]):
+        assert list(machine.handleInputRows((1,), iter([pd.DataFrame(part, columns=["ts", "tie", "status"])]), None)) == []
+    assert held.value == ("queued", at(101), 1, 5) and len(held.timers) == 1
