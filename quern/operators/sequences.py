@@ -15,11 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from quern.session import ship_package
+
 Names = Sequence[str]
 
 
@@ -113,7 +117,8 @@ CELL_ROWS = 50_000
 
 
 def interval_join(
-    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], base: float = 1.0
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], base: float = 1.0,
+    totals: tuple[Names, str] | None = None,
 ) -> DataFrame:
     """Pairs of rows whose intervals overlap: ``l.start < r.end AND r.start < l.end``, each pair once.
 
@@ -133,7 +138,15 @@ def interval_join(
     the start, never cover; a null bound makes the predicate unknown, so such
     rows meet nothing (as in SQL). Both sides keep all their columns; names
     they share come out as they would from ``left.join(right)``.
+
+    The pairs of dense intervals grow with the square of the rows. With
+    ``totals``, columns of the left side and a whole-number column of the
+    right side, the result is what these columns' groups of the pairs give:
+    ``n``, the pairs, and ``first``, the least value. No pair is made for it
+    (see :func:`_overlap_totals`); the bounds have to be whole numbers.
     """
+    if totals:
+        return _overlap_totals(left, right, left_span, right_span, base, *totals)
     first = _covered_starts(left, right, *left_span, *right_span, base, True)
     second = _covered_starts(right, left, *right_span, *left_span, base, False)
     return first.union(second)
@@ -178,3 +191,210 @@ def _covered_starts(
     on = [F.col(f"_c.{k}") == F.col(f"_s.{k}") for k in ("_level", "_cell", "_salt")]
     joined = c.join(s, on[0] & on[1] & on[2] & later & overlap)
     return joined.select(*_side_names(order[0], order[1]), *_side_names(order[2], order[3]))
+
+
+#: Stands for "no value" where least values are taken.
+_NONE = np.iinfo("int64").max
+
+
+def _least_table(values: np.ndarray) -> list[np.ndarray]:
+    """Least values of all runs of 1, 2, 4, ... neighbours."""
+    table = [values]
+    while 2 << (len(table) - 1) <= len(values):
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    return table
+
+
+def _log2(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype("float64"))[1] - 1
+
+
+def _least_between(table: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least of ``values[low:high]`` for many ranges, by two runs each."""
+    out = np.full(len(low), _NONE)
+    k = np.where(high > low, _log2(np.maximum(high - low, 1)), -1)
+    for level in np.unique(k[k >= 0]):
+        at = k == level
+        out[at] = np.minimum(table[level][low[at]], table[level][high[at] - (1 << level)])
+    return out
+
+
+def _least_of_covers(size: int, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Per slot the least value of the ranges ``low:high`` (none empty) that hold it."""
+    k = _log2(high - low)
+    carried = np.full(size, _NONE)
+    for level in range(int(k.max(initial=0)), -1, -1):
+        at = k == level
+        np.minimum.at(carried, low[at], value[at])
+        np.minimum.at(carried, high[at] - (1 << level), value[at])
+        if level:  # a run of 2^level slots hands its value to its two halves
+            half = 1 << (level - 1)
+            halves = carried.copy()
+            np.minimum(halves[half:], carried[:-half], out=halves[half:])
+            carried = halves
+    return carried
+
+
+def _range_pieces(cuts: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Stretches that hold the first and the last point of each range that is not empty."""
+    return np.searchsorted(cuts, low, "right"), np.searchsorted(cuts, high - 1, "right")
+
+
+def _overlap_totals(
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], base: float, keys: Names, value: str
+) -> DataFrame:
+    """Per group of left rows the number of overlapping right rows and their least ``value``, without pairs.
+
+    A right row overlaps a left one if it starts inside it, or covers its
+    start from before. The line is cut into stretches of about ``CELL_ROWS``
+    bounds (quantiles). A range is a piece of its first stretch, a piece of
+    its last one and whole stretches between; the whole ones are answered from
+    one row per stretch, pieces in their stretch by sorted arrays. Left rows
+    make two pieces at most, right rows three, equal right pieces are merged,
+    and a stretch with many left pieces (a hot instant) is cut into salts.
+    Right rows that end where they start lie strictly inside a left row;
+    rows that end before they start are joined as pairs.
+    """
+    ship_package(left.sparkSession)
+    (ls, le), (rs, re) = left_span, right_span
+    l = left.select(*keys, F.col(ls).cast("long").alias("_s"), F.col(le).cast("long").alias("_e")).dropna(subset=["_s", "_e"])
+    r = right.select(F.col(value).cast("long").alias("_v"), F.col(rs).cast("long").alias("_s"), F.col(re).cast("long").alias("_e")).dropna(subset=["_s", "_e"])
+    bounds = l.select(F.explode(F.array("_s", "_e")).alias("t")).unionByName(r.select(F.explode(F.array("_s", "_e")).alias("t")))
+    back = F.col("_e") < F.col("_s")
+    (n_l, back_l), (n_r, back_r) = (d.agg(F.count(F.lit(1)), F.count_if(back)).first() for d in (l, r))
+    parts = max(1, -(-2 * (n_l + n_r) // CELL_ROWS))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = np.unique(np.array(bounds.approxQuantile("t", shares, 0.25 / parts) if shares else [], dtype="float64").astype("int64"))
+    size = len(cuts) + 1
+
+    def right_pieces(batches):
+        for batch in batches:
+            v, s, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_v", "_s", "_e"))
+            if batch.column("_v").null_count:
+                v = batch.column("_v").fill_null(_NONE).to_numpy(zero_copy_only=False)
+            rows = []  # stretch, kind, low, high, n, least
+
+            def add(stretch, kind, low, high, v, n=1):
+                rows.append([stretch, np.full(len(v), kind), low, high, np.full(len(v), n), v])
+
+            starts = np.searchsorted(cuts, s, "right")
+            for kind, at in ((0, e > s), (1, e == s)):
+                add(starts[at], kind, s[at], s[at], v[at])
+            at = e > s + 1
+            low, high, w = s[at] + 1, e[at], v[at]
+            a, b = _range_pieces(cuts, low, high)
+            one = a == b
+            add(a[one], 2, low[one], high[one], w[one])
+            two = ~one
+            a, b, low, high, w = a[two], b[two], low[two], high[two], w[two]
+            add(a, 2, low, cuts[a], w)
+            add(b, 2, cuts[b - 1], high, w)
+            whole = b > a + 1
+            a, b, w = a[whole] + 1, b[whole], w[whole]
+            k = _log2(np.maximum(b - a, 1))
+            none = np.full(len(w), _NONE)
+            add(a, 3, k, k, w, 0)
+            add(b - (1 << k), 3, k, k, w, 0)
+            add(a, 4, a, a, none)
+            add(b, 4, b, b, none, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c).astype("int64")) for c in zip(*rows)], names=["part", "kind", "low", "high", "n", "least"]
+            )
+
+    pieces = (
+        r.filter(~back).mapInArrow(right_pieces, "part long, kind long, low long, high long, n long, least long")
+        .groupBy("part", "kind", "low", "high").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    )
+    # one row per stretch and kind of start; whole covers as runs of 2^low stretches and as steps of their number
+    known = pieces.filter("kind <> 2").withColumn("level", F.when(F.col("kind") == 3, F.col("low")).otherwise(0))
+    known = known.groupBy("part", "kind", "level").agg(F.sum("n").alias("n"), F.min("least").alias("least")).toPandas()
+    inside = []  # starts and empty rows: pieces before each stretch, least values
+    for kind in (0, 1):
+        n, least, of = np.zeros(size + 1, "int64"), np.full(size, _NONE), known[known["kind"] == kind]
+        n[of["part"].to_numpy() + 1], least[of["part"].to_numpy()] = of["n"], of["least"]
+        inside.append((np.cumsum(n), _least_table(least)))
+    steps, runs = known[known["kind"] == 4], known[known["kind"] == 3]
+    over_n = np.zeros(size + 1, "int64")
+    np.add.at(over_n, steps["part"].to_numpy(), steps["n"].to_numpy())
+    over_n, at = np.cumsum(over_n), runs["part"].to_numpy()
+    over_least = _least_of_covers(size, at, at + (1 << runs["level"].to_numpy()), runs["least"].to_numpy())
+
+    def left_pieces(batches):
+        for batch in batches:
+            s, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_s", "_e"))
+            a, b = _range_pieces(cuts, s, np.maximum(e, s + 1))
+            two = np.flatnonzero(b > a)
+            high = e.copy()
+            high[two] = cuts[a[two]]
+            rows = np.append(np.arange(len(s)), two)
+            numbers = [np.append(a, b[two]), np.append(s, cuts[b[two] - 1]), np.append(high, e[two]), np.append(b, np.full(len(two), -1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(pa.array(rows)) for c in key_names] + [pa.array(x.astype("int64")) for x in numbers],
+                names=[*key_names, "part", "low", "high", "until"],
+            )
+
+    key_names = [f"_k{i}" for i in range(len(keys))]
+    kinds = [T.StructField(name, l.schema[key].dataType) for name, key in zip(key_names, keys)]
+    longs = lambda *names: [T.StructField(name, T.LongType()) for name in names]
+    asked = l.filter(~back).select(*[F.col(k).alias(n) for n, k in zip(key_names, keys)], "_s", "_e").mapInArrow(
+        left_pieces, T.StructType([*kinds, *longs("part", "low", "high", "until")])
+    )
+    crowds = asked.groupBy("part").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 4 * CELL_ROWS)
+    crowds = crowds.select("part", F.ceil(F.col("c") / (4 * CELL_ROWS)).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    asked = asked.join(F.broadcast(crowds), "part", "left").withColumn("salt", F.floor(F.rand(1) * salts).cast("int")).drop("salts")
+    held = pieces.filter("kind <= 2").join(F.broadcast(crowds), "part", "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+    def answer(key, ask: pa.Table, have: pa.Table) -> pa.Table:
+        part, low, high, until = (ask.column(c).to_numpy() for c in ("part", "low", "high", "until"))
+        kind, p_low, p_high, p_n, p_least = (have.column(c).to_numpy() for c in ("kind", "low", "high", "n", "least"))
+        n, least, first = np.zeros(len(low), "int64"), np.full(len(low), _NONE), until >= 0
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(p_low[at])]
+            before, table = np.append(0, np.cumsum(p_n[at])), _least_table(p_least[at])
+            i = np.searchsorted(p_low[at], low + (first if k else 0), "left")  # an empty row at the left one's start is not inside
+            j = np.maximum(np.searchsorted(p_low[at], high, "left"), i)
+            n += before[j] - before[i]
+            least = np.minimum(least, _least_between(table, i, j))
+            n_before, whole = inside[k]  # the stretches between
+            i, j = np.where(first, part + 1, 0), np.where(first, np.maximum(until, part + 1), 0)
+            n += n_before[j] - n_before[i]
+            least = np.minimum(least, _least_between(whole, i, j))
+        # covers of the left row's start: of the whole stretch, and pieces
+        least[first] = np.minimum(least[first], over_least[part[first]])
+        n[first] += over_n[part[first]]
+        at = kind == 2
+        if at.any() and first.any():
+            slots = np.unique(np.append(p_low[at], p_high[at]))
+            i, j = np.searchsorted(slots, p_low[at]), np.searchsorted(slots, p_high[at])
+            number = np.zeros(len(slots), "int64")
+            np.add.at(number, i, p_n[at])
+            np.add.at(number, j, -p_n[at])
+            number, lowest = np.cumsum(number), _least_of_covers(len(slots), i, j, p_least[at])
+            slot = np.searchsorted(slots, low[first], "right") - 1
+            n[first] += np.where(slot >= 0, number[slot], 0)
+            least[first] = np.minimum(least[first], np.where(slot >= 0, lowest[slot], _NONE))
+        met = np.flatnonzero(n)
+        columns = [ask.column(c).take(pa.array(met)) for c in key_names]
+        return pa.table([*columns, pa.array(n[met]), pa.array(least[met], mask=least[met] == _NONE)], names=[*key_names, "n", "least"])
+
+    found = asked.groupBy("part", "salt").cogroup(held.groupBy("part", "salt")).applyInArrow(
+        answer, T.StructType([*kinds, *longs("n", "least")])
+    )
+    found = found.select(*[F.col(n).alias(k) for n, k in zip(key_names, keys)], "n", "least")
+    if back_l or back_r:
+        turned = lambda df, span: F.col(span[1]) < F.col(span[0])
+        pairs = interval_join(left.filter(turned(left, left_span)), right, left_span, right_span, base).union(
+            interval_join(left.filter(~turned(left, left_span)), right.filter(turned(right, right_span)), left_span, right_span, base)
+        )
+        names = [f"_{i}" for i in range(len(pairs.columns))]
+        at = [names[left.columns.index(k)] for k in keys]
+        pairs = pairs.toDF(*names).select(
+            *[F.col(n).alias(k) for n, k in zip(at, keys)], F.lit(1).cast("long").alias("n"),
+            F.col(names[len(left.columns) + right.columns.index(value)]).cast("long").alias("least"),
+        )
+        found = found.unionByName(pairs)
+    return found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("first"))

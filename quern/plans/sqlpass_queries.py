@@ -174,8 +174,8 @@ def _interval(spark, d):
     runs = events.filter("event_type <> 'error'").select("event_id", *span())
     errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), *span())
     errors = errors.withColumnsRenamed({"s": "es", "e": "ee"})
-    pairs = S.interval_join(runs, errors, ("s", "e"), ("es", "ee"))
-    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_errors"), F.min("error_id").alias("first_error"))
+    met = S.interval_join(runs, errors, ("s", "e"), ("es", "ee"), totals=(["event_id"], "error_id"))
+    return met.withColumnsRenamed({"n": "n_errors", "first": "first_error"})
 
 
 _sql(
