@@ -346,6 +346,9 @@ def query_route(df: DataFrame, question: str, routes: Sequence[tuple[str, str]]
 #: Folders of the index by a hash of the gram; a search reads only the folders of its grams.
 GRAM_BUCKETS = 64
 
+#: Rows whose grams one task of the build takes, about; a bucket's postings are cut for every 16 times as many rows.
+POSTING_ROWS = 10_000
+
 
 def _grams(text: Column) -> Column:
     """Distinct runs of three code points of a text."""
@@ -363,9 +366,15 @@ def build_text_index(df: DataFrame, key: str, path: str) -> DataFrame:
     """
     cells = [F.lower(cell_text(F.col(f.name), f.dataType)) for f in df.schema.fields]
     grams = F.array_distinct(F.flatten(F.array(*[F.when(F.char_length(c) >= 3, _grams(c)).otherwise(F.array()) for c in cells])))
-    postings = df.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).distinct()
+    rows = df.count()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // POSTING_ROWS))
+    # rows are dealt before they are cut, so that no task holds the grams of a whole file
+    postings = df.repartition(parts).select(F.col(key).alias("key"), F.explode(grams).alias("gram"))
+    postings = postings.repartition(parts, "key", "gram").distinct()
     postings = postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int"))
-    postings.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # a bucket of common grams is cut by key
+    cut = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // (16 * POSTING_ROWS)))))
+    postings.repartition(parts, "bucket", cut).write.mode("overwrite").partitionBy("bucket").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

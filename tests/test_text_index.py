@@ -36,3 +36,14 @@ def test_reads_only_needed_buckets(table):
     scan = next(line for line in plan.split("\n") if "FileScan parquet [key" in line)
     assert "PartitionFilters: [bucket" in scan and " IN (" in scan.split("PartitionFilters: [bucket")[1]
     assert "PushedFilters: [In(gram" in scan
+
+
+def test_build_is_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "POSTING_ROWS", 20, raising=False)
+    df = spark.range(2000).selectExpr("id", "'the same words' AS name").coalesce(1)
+    index = R.build_text_index(df, "id", shared_dir(spark, "text-index-cut"))
+    per_file = index.groupBy("bucket", "_metadata.file_path").count().collect()
+    per_bucket = index.groupBy("bucket").count().collect()
+    assert max(r["count"] for r in per_bucket) >= 2000 > 2 * max(r["count"] for r in per_file)  # no task writes a whole bucket
+    assert index.groupBy("key", "gram").count().filter("count > 1").isEmpty()
+    assert R.indexed_search(df, index, "id", "same w").count() == 2000
