@@ -4,10 +4,14 @@ A window is ``WINDOW`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one
 document. Each word covered by a window whose word sequence also starts in a
 document with a smaller doc_id is removed; windows are judged on the input.
 
-1. Every window is fingerprinted in the JVM and grouped by fingerprint: the
-   smallest and largest doc_id that hold it. Those held by two ids or more are
-   the recurring passages; partial aggregation folds a passage that thousands
-   of documents share before it is shuffled.
+1. Each window has an anchor, the ``ANCHOR``-word run in it with the smallest
+   hash; equal windows have equal anchors, and neighbours mostly share one, so
+   a document has about one anchor for five windows. Anchors are grouped by
+   hash; a window whose anchor no second id holds cannot recur. The others are
+   fingerprinted in the JVM and grouped by fingerprint: the smallest and
+   largest doc_id that hold them. Those held by two ids or more are the
+   recurring passages; partial aggregation folds a passage that thousands of
+   documents share before it is shuffled.
 2. The text of each recurring window is read from its first document. Phrases
    are dealt into shards by ranges of that first doc_id, at most about
    ``SHARD_BYTES`` of phrase text each, so copies of one document meet one
@@ -37,7 +41,9 @@ from __future__ import annotations
 import bisect
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +57,10 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 
+#: Words per anchor, and document text hashed at a time.
+ANCHOR = 5
+CHUNK_BYTES = 1 << 20
+
 RUNS = "row long, starts array<int>, ends array<int>"
 
 
@@ -58,14 +68,102 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+_LETTERS = np.random.default_rng(12).integers(0, 1 << 64, 256, dtype="uint64")
+
+
+def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
+    """Least or greatest of each ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x, size = of(x[:-size], x[size:]), 2 * size
+    return of(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashed(lists: pa.Array):
+    """Per stretch of documents: the first one, each word's document, hashes of word runs, anchors of windows (0 across documents)."""
+    texts, starts = lists.values, lists.offsets.to_numpy()
+    wide = "int64" if pa.types.is_large_string(texts.type) else "int32"
+    at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype("int64")
+    data = np.frombuffer(texts.buffers()[2], "uint8")
+    ends = at[starts]
+    first = 0
+    while first < len(lists):
+        until = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
+        spans = at[starts[first] : starts[until] + 1]
+        letters, cut = data[spans[0] : spans[-1]], spans - spans[0]
+        # a word is a polynomial of its bytes; its place is divided out (the factor is odd)
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(letters), _FACTOR, "uint64")))
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(letters), pow(_FACTOR, -1, 1 << 64), "uint64")))
+        sums = np.append(np.uint64(0), np.cumsum(_LETTERS[letters] * power[:-1]))
+        words_ = _mixed((sums[cut[1:]] - sums[cut[:-1]]) * back[cut[:-1]])
+        runs = np.zeros(len(words_) - ANCHOR + 1, "uint64")
+        for k in range(ANCHOR):
+            runs = runs * np.uint64(_FACTOR) + words_[k : len(words_) - ANCHOR + 1 + k]
+        runs = _mixed(runs)
+        doc = np.repeat(np.arange(first, until), np.diff(starts[first : until + 1]))
+        anchors = _sliding(runs, WINDOW - ANCHOR + 1, np.minimum)
+        anchors[doc[: len(anchors)] != doc[WINDOW - 1 :]] = 0
+        yield doc, runs, anchors
+        first = until
+
+
+def _anchors(batches):
+    """(doc_id, row, h): the distinct anchors of each document."""
+    reach = np.zeros(WINDOW - ANCHOR, "uint64")
+    for batch in batches:
+        for doc, runs, anchors in _hashed(batch.column("words")):
+            # a run is an anchor if it is the least of some window that holds it
+            chosen = np.flatnonzero(_sliding(np.concatenate([reach, anchors, reach]), WINDOW - ANCHOR + 1, np.maximum) == runs)
+            of, h = doc[chosen], runs[chosen]
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            fresh = np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1]))[: len(of)]
+            of = pa.array(of[fresh])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(h[fresh].view("int64"))], names=["doc_id", "row", "h"]
+            )
+
+
+def _places(batches):
+    """(doc_id, row, words, places): the windows whose anchor is among the document's recurring ones."""
+    for batch in batches:
+        lists, held = batch.column("words"), batch.column("hs")
+        starts, from_ = lists.offsets.to_numpy(), held.offsets.to_numpy()
+        known = held.values.to_numpy(zero_copy_only=False).view("uint64")
+        counts, places = np.zeros(len(lists), "int64"), []
+        for doc, _, anchors in _hashed(lists):
+            a, b = doc[0], doc[-1] + 1
+            place = lambda of: of.astype("uint64") * np.uint64(0xD1342543DE82EF95)
+            own = known[from_[a] : from_[b]] + place(np.repeat(np.arange(a, b), np.diff(from_[a : b + 1])))
+            of = doc[: len(anchors)]
+            found = np.flatnonzero((of == doc[WINDOW - 1 :]) & np.isin(anchors + place(of), own))
+            counts += np.bincount(of[found], minlength=len(lists))
+            places.append((found + starts[a] - starts[of[found]]).astype("int32"))
+        offsets = pa.array(np.append(0, np.cumsum(counts)).astype("int32"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row"), lists, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))],
+            names=["doc_id", "row", "words", "places"],
+        )
+
+
 def _windows(base: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, h) of every window of a document with an id."""
+    """(doc_id, row, pos, h) of every window whose anchor more than one id holds."""
+    long_ = base.filter(F.col("doc_id").isNotNull() & (F.size("words") >= WINDOW)).select("doc_id", "row", "words")
+    anchors = long_.mapInArrow(_anchors, "doc_id long, row long, h long")
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
+    held = anchors.select("row", "h").join(staged(shared, "substr-anchors"), "h").groupBy("row").agg(F.collect_set("h").alias("hs"))
+    placed = long_.join(held, "row").mapInArrow(_places, "doc_id long, row long, words array<string>, places array<int>")
     fingerprints = F.transform(
-        F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(F.slice("words", i + 1, WINDOW))
-    )
-    return base.filter(F.col("doc_id").isNotNull() & (F.size("words") >= WINDOW)).select(
-        "doc_id", "row", F.posexplode(fingerprints).alias("pos", "h")
+        "places", lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i + 1, WINDOW)).alias("h"))
     )
+    # both passes over the windows read them from here
+    return staged(placed.select("doc_id", "row", F.explode(fingerprints).alias("w")).select("doc_id", "row", "w.pos", "w.h"), "substr-windows")
 
 
 def _stream(key, phrases: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
