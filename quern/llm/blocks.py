@@ -135,8 +135,8 @@ def heads(ranked: np.ndarray) -> np.ndarray:
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """An ascending order, the start of each group in it, the distinct keys, and each key's place among them."""
-    order = np.argsort(keys, kind="stable")
+    """An ascending order (equal keys in any), the start of each group in it, the distinct keys, and each key's place among them."""
+    order = np.argsort(keys)
     ranked = keys[order]
     first = heads(ranked)
     group = np.zeros(len(keys), np.int64)

@@ -6,11 +6,16 @@ the pieces into words ``[^\\x20\\x09]+``; all counts are per lang (null:
 
 The graph: nodes are phrases of ``LONGEST - 1`` words, edges the phrases of
 ``LONGEST`` words that join their two overlapping nodes, weighted by how often
-they occur. Only edges and piece ends are counted from the text: each piece
-adds its last 1 to ``LONGEST - 1`` words as end corrections. Every shorter
-count follows from the level above by flow: ``f(g) = sum of f(g w) over words
-w + (pieces that end with g)``, one aggregation per level, so the text is read
-once and no shorter phrase is counted from it.
+they occur. No phrase with ``f >= MIN_COUNT`` holds a pair of words with
+``f < MIN_COUNT``, so the pieces are first cut at such pairs: blocks of texts
+(``blocks``) send each distinct pair's fingerprint and count, one bit comes
+back, and each block writes its distinct cut pieces with their counts. Only
+edges and piece ends are counted from these: each piece adds its last 1 to
+``LONGEST - 1`` words as end corrections. Every shorter count follows from the
+level above by flow: ``f(g) = sum of f(g w) over words w + (pieces that end
+with g)``, one aggregation per level. These counts are whole for single words
+and for every phrase with ``f >= MIN_COUNT``; others may be missing or too low,
+never too high. Equal fingerprints of two pairs only keep a pair that could go.
 
 Candidates are phrases of 2 to ``LONGEST`` words with ``f >= MIN_COUNT``. A
 unary step of the graph, an extension by one word to the left or right that
@@ -27,11 +32,18 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged
+from quern.llm.blocks import Words, blocked, bucket_edges, grams, grouped, mixed
+from quern.llm.common import partitions, staged
+from quern.llm.suffixes import _bits
 
 #: Fixed by the contract.
 PIECE = r"[.,;:!?\x0A-\x0D]"
@@ -43,26 +55,123 @@ MIN_COUNT = 100
 TOP = 2000
 
 
+#: Text per block.
+BLOCK_BYTES = 4 << 20
+
+PAIRS = "block long, bucket int, keys binary, counts binary"
+_PAIRS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+PIECES = "lang string, piece string, c long"
+_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+class Block:
+    """The lower-cased words of one block by lang, and its pairs of neighbours within pieces."""
+
+    def __init__(self, table: pa.Table) -> None:
+        langs = table.column("lang").to_pylist()
+        order = sorted(range(len(langs)), key=langs.__getitem__)
+        texts = table.column("text").to_pylist()
+        self.number = table.column("block")[0].as_py()
+        self.langs = [langs[i] for i in order]
+        self.words = words = Words([texts[i].translate(_LOWERED) for i in order], b" \t", b"\n.,;:!?\x0b\x0c\r")
+        own = {lang: int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little") for lang in set(langs)}
+        lang = np.array([own[x] for x in self.langs], np.uint64)
+        self.pairs = np.flatnonzero(~words.ends_phrase)
+        keys = mixed(grams(words.hashes(), 2)[self.pairs] ^ lang[words.of_text[self.pairs]])
+        _, first, self.keys, self.inverse = grouped(keys)
+        self.counts = np.diff(np.r_[first, len(keys)])
+
+
+def _sent(buckets: int, least: int):
+    """Distinct pairs of a block, four bytes each, with their counts up to ``least``."""
+    kind = np.min_scalar_type(least)
+
+    def step(table: pa.Table) -> pa.Table:
+        block = Block(table)
+        counts = np.minimum(block.counts, least).astype(kind)
+        rows = {"block": [], "bucket": [], "keys": [], "counts": []}
+        for bucket, a, b in bucket_edges(block.keys, buckets):
+            rows["block"].append(block.number)
+            rows["bucket"].append(bucket)
+            rows["keys"].append((block.keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+            rows["counts"].append(counts[a:b].tobytes())
+        return pa.table(rows, schema=_PAIRS)
+
+    return step
+
+
+def _weighed(least: int):
+    """Add up one bucket's counts; a bit for each pair that reaches ``least``."""
+    kind = np.min_scalar_type(least)
+
+    def settle(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(k, "<u4") for k in table.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, kind) for c in table.column("counts").to_pylist()])
+        _, _, distinct, inverse = grouped(np.concatenate(parts))
+        enough = (np.bincount(inverse, counts, minlength=len(distinct)) >= least)[inverse]
+        bits = [np.packbits(e).tobytes() for e in np.split(enough, np.cumsum([len(p) for p in parts])[:-1])]
+        rows = {"block": table.column("block"), "bucket": table.column("bucket"), "keys": bits, "counts": [None] * len(bits)}
+        return pa.table(rows, schema=_PAIRS)
+
+    return settle
+
+
+def _cut(buckets: int):
+    """A block's pieces, cut at pairs that do not reach the count, each distinct one with its count."""
+
+    def step(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(table)
+        words = block.words
+        replies = sorted(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist()))
+        joined = _bits(replies, block.keys, buckets)[block.inverse]
+        said = words.said
+        after = words.at + words.lengths
+        said[after] = 10
+        said[after[block.pairs[joined]]] = 32
+        out = {"lang": [], "piece": [], "c": []}
+        bounds = np.r_[0, after + 1]
+        firsts = [k for k, lang in enumerate(block.langs) if k == 0 or lang != block.langs[k - 1]]
+        for k, past in zip(firsts, [*firsts[1:], len(block.langs)]):
+            text = said[bounds[words.last[k] - words.counts[k]] : bounds[words.last[past - 1]]].tobytes()
+            found = Counter(text.split(b"\n")[:-1])
+            out["lang"] += [block.langs[k]] * len(found)
+            out["piece"] += found.keys()
+            out["c"] += found.values()
+        pieces = pa.array(out["piece"], pa.binary()).cast(pa.string())
+        return pa.table({"lang": pa.array(out["lang"], pa.string()), "piece": pieces, "c": pa.array(out["c"], pa.int64())})
+
+    return step
+
+
+def cut_pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, piece, c): the pieces cut at pairs of words with fewer than MIN_COUNT occurrences, words one space apart, with counts."""
+    buckets = partitions(docs.sparkSession)
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    blocks = blocked(docs, F.col(text_col), BLOCK_BYTES, lang=lang).groupBy("block")
+    sent = blocks.applyInArrow(_sent(buckets, MIN_COUNT), PAIRS)
+    answers = staged(sent.groupBy("bucket").applyInArrow(_weighed(MIN_COUNT), PAIRS), "phrases-pairs")
+    pieces = blocks.cogroup(answers.groupBy("block")).applyInArrow(_cut(buckets), PIECES)
+    return pieces.groupBy("lang", "piece").agg(F.sum("c").alias("c"))
+
+
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, k, gram, f) for every phrase of 1 to LONGEST words, derived level by level from the edges."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    pieces = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE)).alias("piece")
-    )
-    pieces = pieces.select("lang", F.array_remove(F.split("piece", GAP), "").alias("words")).filter(F.size("words") > 0)
+    """(lang, k, gram, f) for words and phrases of up to LONGEST words, derived level by level from the edges; whole from MIN_COUNT on."""
+    pieces = staged(cut_pieces(docs, lang_col, text_col), "phrases-pieces")
+    pieces = pieces.select("lang", F.split("piece", " ").alias("words"), "c")
     # edges: compiled n-grams of the whole piece; piece ends: plain slices, no lambdas
-    edges = NGram(n=LONGEST, inputCol="words", outputCol="__edges").transform(pieces)
-    edges = edges.select("lang", F.lit(LONGEST).alias("k"), F.explode("__edges").alias("gram"))
     size = F.size("words")
+    edges = NGram(n=LONGEST, inputCol="words", outputCol="__edges").transform(pieces.filter(size >= LONGEST))
+    edges = edges.select("lang", F.lit(LONGEST).alias("k"), F.explode("__edges").alias("gram"), "c")
     ends = pieces.select(
         "lang",
         F.explode(
             F.array(*[F.when(size >= k, F.struct(F.lit(k).alias("k"), F.array_join(F.slice("words", -k, k), " ").alias("gram")))
                       for k in range(1, LONGEST)])
         ).alias("e"),
-    ).filter(F.col("e").isNotNull()).select("lang", "e.k", "e.gram")
+        "c",
+    ).filter(F.col("e").isNotNull()).select("lang", "e.k", "e.gram", "c")
     counted = staged(
-        edges.unionByName(ends).groupBy("lang", "k", "gram").agg(F.count(F.lit(1)).alias("c")),
+        edges.unionByName(ends).groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")),
         "phrases-edges",
     )
     level = counted.filter(F.col("k") == LONGEST).select("lang", "gram", F.col("c").alias("f"))

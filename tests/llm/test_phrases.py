@@ -79,3 +79,24 @@ def test_empty(spark, low):
 def test_clashing_columns(docs, low):
     out = phrases.collocations(docs.withColumnRenamed("source", "piece").withColumn("g", docs["doc_id"]))
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_edges_only_where_pairs_recur(spark, low, monkeypatch):
+    """Pairs below MIN_COUNT cut the pieces, so what is staged holds single words and the few phrases that recur."""
+    sizes = {}
+
+    def noted(df, purpose, staged=phrases.staged):
+        out = staged(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(phrases, "staged", noted)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 400, raising=False)
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(60)]
+    docs = [("en", " ".join(rng.sample(vocab, 40)) + ". New  york\tcity hall") for _ in range(3)]
+    docs += [("de", " ".join(rng.sample(vocab, 40)) + "! new york city hall") for _ in range(2)]
+    got = run(spark, docs)
+    assert got == brute(docs, 3)
+    assert ("en", 1, "new york city hall") in [r[:3] for r in got]
+    assert sizes["phrases-edges"] <= 2 * 64 + 10
