@@ -53,6 +53,8 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 #: Runs are cut after windows whose fingerprint ends in this many zero bits, one in 32.
 CUT_BITS = 5
+#: First letters of words in an automaton; SHARD_BYTES hold under 2 million words, so second letters stay below the surrogates.
+FAN = 64
 
 ROUTE = "block long, sender long, body binary, phrases binary"
 _ROUTE = pa.schema([("block", pa.int64()), ("sender", pa.int64()), ("body", pa.binary()), ("phrases", pa.binary())])
@@ -203,22 +205,22 @@ def _route(table: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 class _Letters(dict):
-    """A letter per word in order of arrival; 0 is for words of no phrase, surrogates are left out."""
+    """Two letters per word in order of arrival, so that no node has many children; letter 0 is for words of no phrase."""
 
     def __missing__(self, word: bytes) -> str:
-        k = len(self) + 1
-        self[word] = letter = chr(k if k < 0xD800 else k + 0x800)
-        return letter
+        high, low = divmod(len(self), FAN)
+        self[word] = letters = chr(1 + low) + chr(1 + FAN + high)
+        return letters
 
 
-def _automata(block: Block, firsts: np.ndarray):
-    """Automata of the windows at ``firsts`` with their words' letters, each of about SHARD_BYTES of phrases."""
+def _automata(block: Block, firsts: np.ndarray, shard_bytes: int):
+    """Automata of the windows at ``firsts`` with their words' letters, each of about ``shard_bytes`` of phrases."""
     import ahocorasick
 
     words = block.words
     starts = block.starts[firsts]
     sizes = words.at[starts + WINDOW - 1] + words.lengths[starts + WINDOW - 1] - words.at[starts]
-    shard = (np.cumsum(sizes) - sizes) // SHARD_BYTES
+    shard = (np.cumsum(sizes) - sizes) // shard_bytes
     edges = heads(shard)
     for a, b in zip(edges, np.r_[edges[1:], len(starts)]):
         letters = _Letters()
@@ -228,38 +230,42 @@ def _automata(block: Block, firsts: np.ndarray):
             run = words.part(starts[c], starts[d - 1] + WINDOW).split(b" ")
             spelt = "".join([letters[w] for w in run])
             for k in range(d - c):
-                automaton.add_word(spelt[k : k + WINDOW])
+                automaton.add_word(spelt[2 * k : 2 * (k + WINDOW)])
         automaton.make_automaton()
         yield automaton, letters
 
 
-def _stream(table: pa.Table, messages: pa.Table) -> pa.Table:
+def _confirm(shard_bytes: int):
     """Round 4: runs through the automata of the phrases held first here; a bit back for each window of each run."""
-    block = Block(table)
-    kept = messages.filter(pc.is_null(messages.column("sender")))
-    asked = messages.filter(pc.is_valid(messages.column("sender")))
-    firsts = np.frombuffer(b"".join(kept.column("phrases").to_pylist()), "<u4").astype(np.int64)
-    bodies = [body.replace(b"\n", b" \n ").split(b" ") for body in asked.column("body").to_pylist()]
-    found = [np.zeros(len(body), bool) for body in bodies]
-    for automaton, letters in _automata(block, firsts):
+
+    def step(table: pa.Table, messages: pa.Table) -> pa.Table:
+        block = Block(table)
+        kept = messages.filter(pc.is_null(messages.column("sender")))
+        asked = messages.filter(pc.is_valid(messages.column("sender")))
+        firsts = np.frombuffer(b"".join(kept.column("phrases").to_pylist()), "<u4").astype(np.int64)
+        bodies = [body.replace(b"\n", b" \n ").split(b" ") for body in asked.column("body").to_pylist()]
+        found = [np.zeros(len(body), bool) for body in bodies]
+        for automaton, letters in _automata(block, firsts, shard_bytes):
+            for body, hit in zip(bodies, found):
+                spelt = "".join([letters.get(w, "\0\0") for w in body])
+                hit[[end >> 1 for end, _ in automaton.iter(spelt)]] = True
+        replies = []
         for body, hit in zip(bodies, found):
-            spelt = "".join([letters.get(w, "\0") for w in body])
-            hit[[end for end, _ in automaton.iter(spelt)]] = True
-    replies = []
-    for body, hit in zip(bodies, found):
-        # a window is told by its last word: the first words of a run end none
-        parted = np.flatnonzero(np.array([w == b"\n" for w in body]))
-        ends = np.ones(len(body), bool)
-        ends[parted] = False
-        ends[(np.r_[0, parted + 1][:, None] + np.arange(WINDOW - 1)).ravel()] = False
-        replies.append(np.packbits(hit[ends]).tobytes())
-    rows = {
-        "block": asked.column("sender").to_pylist() + [block.number] * kept.num_rows,
-        "sender": [block.number] * len(replies) + [None] * kept.num_rows,
-        "body": replies + kept.column("body").to_pylist(),
-        "phrases": [None] * (len(replies) + kept.num_rows),
-    }
-    return pa.table(rows, schema=_ROUTE)
+            # a window is told by its last word: the first words of a run end none
+            parted = np.flatnonzero(np.array([w == b"\n" for w in body]))
+            ends = np.ones(len(body), bool)
+            ends[parted] = False
+            ends[(np.r_[0, parted + 1][:, None] + np.arange(WINDOW - 1)).ravel()] = False
+            replies.append(np.packbits(hit[ends]).tobytes())
+        rows = {
+            "block": asked.column("sender").to_pylist() + [block.number] * kept.num_rows,
+            "sender": [block.number] * len(replies) + [None] * kept.num_rows,
+            "body": replies + kept.column("body").to_pylist(),
+            "phrases": [None] * (len(replies) + kept.num_rows),
+        }
+        return pa.table(rows, schema=_ROUTE)
+
+    return step
 
 
 def _covered(block: Block, messages: pa.Table) -> np.ndarray:
@@ -317,7 +323,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     answers = settled(by_block.applyInArrow(_tied(buckets), MESSAGE), _settle(True, True))
     answers = settled(cogrouped(answers, _holders(buckets), MESSAGE), _first_holders)
-    confirmed = staged(cogrouped(cogrouped(answers, _route, ROUTE), _stream, ROUTE), "substr-confirmed")
+    confirmed = staged(cogrouped(cogrouped(answers, _route, ROUTE), _confirm(SHARD_BYTES), ROUTE), "substr-confirmed")
     return cogrouped(confirmed, _result, RESULT)
 
 

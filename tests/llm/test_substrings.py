@@ -68,3 +68,32 @@ def test_clashing_columns(docs):
     out = substrings.remove_repeated_windows(docs.withColumnRenamed("lang", "words").withColumn("row", docs["doc_id"]))
     assert out.columns[:4] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
     assert out.count() == docs.count()
+
+
+def test_no_row_per_window_is_staged(spark, monkeypatch):
+    """Copies and near copies: blocks and buckets exchange a few messages, never one row per window."""
+    sizes = {}
+
+    def noted(df, purpose, staged=substrings.staged):
+        out = staged(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "staged", noted)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 4000)
+    rng = random.Random(8)
+    text = [f"w{rng.randint(0, 99)}" for _ in range(400)]
+    docs = [(k, " ".join(text[:k * 9] + [f"other{k}"] + text[k * 9:])) for k in range(40)]
+    assert run(spark, docs) == brute(docs)
+    assert max(sizes.values()) < 1000
+
+
+def test_many_words_in_small_automata(spark, monkeypatch):
+    """More words than first letters, ids far apart and below zero, one id in several blocks."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    rng = random.Random(9)
+    text = [f"{rng.randint(0, 10**6):x}é" for _ in range(3000)]
+    ids = [-(2**62), 2**62, 0, 7, 7, -5]
+    docs = [(i, "\n".join(text[a : a + 700])) for i in ids for a in range(0, 3000, rng.randint(500, 900))]
+    assert run(spark, docs) == brute(docs)
