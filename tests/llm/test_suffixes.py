@@ -60,3 +60,18 @@ def test_edges_whose_partner_is_covered(spark):
 
 def test_empty(no_docs):
     assert suffixes.remove_repeats(no_docs).collect() == []
+
+
+def test_query_returns_the_remaining_text(spark, tmp_path):
+    """The registered query shows what is left of each text, and n_bytes stays the length of the input."""
+    from quern.llm.queries import QUERIES
+
+    passage = "".join(f"{k * 7919 % 100003:05d} " for k in range(80))
+    docs = [(1, "first " + passage + "end"), (2, "é" + passage + "è"), (3, "alone"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    # the space before the passage differs from the é, so it stays
+    assert {k: r["kept_text"] for k, r in got.items()} == {1: "first end", 2: "éè", 3: "alone", 4: ""}
+    assert {k: (r["n_bytes"], r["n_removed"]) for k, r in got.items()} == {1: (489, 480), 2: (484, 480), 3: (5, 0), 4: (0, 0)}
+    for r in got.values():
+        assert r["kept_sha256"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()
